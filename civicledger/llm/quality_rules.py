@@ -70,7 +70,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     out = drop_columns_like(docs, [*_COLUMNS, "__t", "__w", "__h", "__s", "__p", "__l", "__k"])
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = out.withColumn("__t", F.expr(f"trim(BOTH '{SPACE_CHARS.encode('unicode_escape').decode()}' FROM {_name(text_col)})")).withColumn("__t", F.coalesce("__t", F.lit("")))
+    out = out.withColumn("__t", F.trim(text, F.lit(SPACE_CHARS)))
     out = out.withColumn("__w", F.when(F.col("__t") == "", F.array().cast("array<string>")).otherwise(F.split("__t", SPACE)))
     n = F.size("__w")
     out = out.withColumn("__h", F.when(n < 3, F.array().cast("array<bigint>")).otherwise(
@@ -98,10 +98,6 @@ def quality_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.drop("__t", "__w", "__h", "__s", "__p", "__l", "__k")
 
 
-def _name(col: str) -> str:
-    return f"`{col}`"
-
-
 #: The query of op1 in DuckDB.
 ORACLE = """
 with d as (select doc_id, row_number() over () as rid, coalesce(text, '') as text from documents),

@@ -34,11 +34,18 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from civicledger.llm.line_dedup import dedup_lines
+
+    out = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from civicledger.llm import quality_rules
+    from civicledger.llm import line_dedup, quality_rules
 
-    return {"op1_quality_rules": quality_rules.ORACLE}
+    return {"op1_quality_rules": quality_rules.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
