@@ -27,6 +27,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from civicledger.llm.license_scans import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from civicledger.llm.packing import pack, tokenised_pieces
 
@@ -41,11 +47,29 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from uuid import uuid4
+
+    from civicledger.llm.common import scratch_dir
+    from civicledger.llm.warc import page_ids, read_warc, write_warc
+
+    path = f"{scratch_dir(spark)}/warc-{uuid4().hex}"
+    write_warc(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    back = read_warc(spark, path, verify=True)
+    return back.select(page_ids("record_id", "long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_ids("refers_to", "long").alias("refers_to"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from civicledger.llm.html_extraction import extract_main_text
+
+    return extract_main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from civicledger.llm import line_dedup, quality_rules
+    from civicledger.llm import line_dedup, quality_rules, warc
 
-    return {"op1_quality_rules": quality_rules.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
+    return {"op1_quality_rules": quality_rules.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op9_warc": warc.ORACLE}
