@@ -27,12 +27,24 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from civicledger.llm.quality_classifier import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from civicledger.llm.license_scans import scan_licenses
 
     return scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from civicledger.llm.decontamination import find_contamination
+
+    return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from civicledger.llm.packing import pack, tokenised_pieces
 
