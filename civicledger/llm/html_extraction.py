@@ -134,6 +134,14 @@ class Page:
         """Hashes of the subtrees that may be template."""
         return {_signed(h) for h, tag, main, up in zip(self.hash, self.tag, self.main, self.parent) if h and tag not in INLINE and (tag in CONTAINERS or not main) and tag not in ("html", "body", "article", "main", "head", "title")}
 
+    def depends(self) -> bool:
+        """Whether a template subtree could change this page's text: not if all of them are outside its article or boilerplate anyway."""
+        has_main = any(m and not b for m, b in zip(self.main, self.bad))
+        return any(
+            h and not bad and tag not in INLINE and (tag in CONTAINERS if main else not has_main) and tag not in ("html", "body", "article", "main")
+            for h, tag, main, bad in zip(self.hash, self.tag, self.main, self.bad)
+        )
+
     def longest(self) -> int:
         """Hash of the longest block outside boilerplate."""
         return _signed(self._digest(max((self._text(b, frozenset()) for b in self.blocks), key=len, default="")))
@@ -213,14 +221,34 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
     template = found.select("host", "subtree", "longest").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).select("host", "subtree")
     gone = found.select("host", "md5", "subtree").distinct().join(template, ["host", "subtree"]).groupBy("host", "md5").agg(F.collect_list("subtree").alias("__gone"))
     gone = gone.select(F.col("host").alias("__h"), F.col("md5").alias("__m"), "__gone")
-    joined = keyed.join(gone, (F.col("__host") == F.col("__h")) & (F.col("__md5") == F.col("__m")), "left").drop("__h", "__m", "__host", "__md5")
-    names = [c for c in joined.columns if c not in ("__html", "__gone")]
-    joined = joined.select(*[F.col(f"`{c}`") for c in names], "__html", "__gone")
-    kind = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in joined.schema if f.name in names) + "text string, n_chars long"
+    names = [c for c in keyed.columns if c not in ("__html", "__host", "__md5")]
+    kind = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keyed.schema if f.name in names)
+    kept = [F.col(f"`{c}`") for c in names]
+
+    def split(dependent: bool):
+        """Rows whose pages depend on templates or don't, from the same parse in either case."""
+        def choose(batches):
+            for b in batches:
+                pages = [Page(h) for h in b.column(len(names) + 2).to_pylist()]
+                at = [i for i, p in enumerate(pages) if p.depends() == dependent]
+                part = b.take(pa.array(at, pa.int64()))
+                if dependent:
+                    yield part
+                else:
+                    texts = [pages[i].text() for i in at]
+                    yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*names, "text", "n_chars"])
+
+        return choose
+
+    keyed = keyed.select(*kept, "__host", "__md5", "__html")
+    # only pages that templates can change are shuffled
+    direct = keyed.mapInArrow(split(False), kind + "text string, n_chars long")
+    rest = keyed.mapInArrow(split(True), kind + "__host string, __md5 string, __html string")
+    joined = rest.join(gone, (F.col("__host") == F.col("__h")) & (F.col("__md5") == F.col("__m")), "left").select(*kept, "__html", "__gone")
 
     def extract(batches):
         for b in batches:
             texts = [Page(h).text(frozenset(g or ())) for h, g in zip(b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist())]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*names, "text", "n_chars"])
 
-    return joined.mapInArrow(extract, kind)
+    return direct.unionByName(joined.mapInArrow(extract, kind + "text string, n_chars long"))
