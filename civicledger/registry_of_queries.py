@@ -60,14 +60,14 @@ def _plain(name: str, oracle: str, f) -> None:
 
 
 # lookups
-_plain("council_by_slug", "select * from councils where slug = 'france'", lambda t: Q.council_by_slug(t, "france"))
+_plain("council_by_slug", "select * from councils where slug = 'nation-6'", lambda t: Q.council_by_slug(t, "nation-6"))
 _plain("financial_years", "select distinct council_id, fy as label from tx", Q.financial_years)
 _plain("latest_financial_year", "select council_id, max(fy) as label from tx group by 1", Q.latest_financial_year)
 _plain("directorates_list", "select distinct council_id, directorate from tx where directorate <> ''", lambda t: Q.distinct_values(t, "directorate"))
 _plain("categories_list", "select distinct council_id, category from tx where category <> ''", lambda t: Q.distinct_values(t, "category"))
 _plain("council_list", "select *, (select count(*) from tx where council_id = councils.id) as transaction_count from councils", Q.council_list)
 _plain("council_regions", "select coalesce(region, 'Other') as region, count(*) as councils from councils where status = 'active' group by 1", Q.council_regions)
-_plain("council_search", "select id, name, slug, region from councils where status = 'active' and (lower(name) like '%an%' or lower(region) like '%an%')", lambda t: Q.council_search(t, "AN"))
+_plain("council_search", "select id, name, slug, region from councils where status = 'active' and (lower(name) like '%eur%' or lower(region) like '%eur%')", lambda t: Q.council_search(t, "EUR"))
 _plain("registry_status_counts", "select status, count(*) as councils from councils group by 1", Q.registry_status_counts)
 _plain("health_count", "select count(*) as councils from councils", Q.health)
 
@@ -99,7 +99,7 @@ _page("tx_page_2", "", "amount desc nulls last", 50, page=2)
 _page("tx_filter_directorate_category", "and directorate = '2-HIGH' and category = 'REDACTED DATA'", "amount desc nulls last", 0, filters=Q.Filters(directorate="2-HIGH", category="REDACTED DATA"))
 _page("tx_filter_amount", "and amount >= 1000 and amount <= 500000", "amount desc nulls last", 0, filters=Q.Filters(min_amount=1000, max_amount=500000))
 _page("tx_filter_dates", "and date >= '1996-01-01' and date <= '1996-12-31'", "date asc nulls first", 0, filters=Q.Filters(start_date="1996-01-01", end_date="1996-12-31"), sort_by="date", sort_dir="asc")
-_page("tx_search", "and (lower(description) like '%a_t%1%' or lower(service) like '%a_t%1%')", "amount desc nulls last", 0, filters=Q.Filters(search="A_t%1"))
+_page("tx_search", "and (lower(description) like '%r_ng%' or lower(service) like '%r_ng%')", "amount desc nulls last", 0, filters=Q.Filters(search="R_nG"))
 _plain("tx_count", "select count(*) as total, ceil(count(*) / 50.0)::bigint as total_pages from tx where council_id = 6 and fy = '1996-97'", lambda t: Q.transactions_count(t, 6, Q.Filters(fy="1996-97")))
 
 # breakdowns
@@ -159,23 +159,42 @@ select doc_id, md5(trim(regexp_replace(regexp_replace(upper(replace(text, 'ß',
   '[\\s\\x0B\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+', ' ', 'g'))) as name_md5 from documents""", base=False)(
     _over("documents", lambda d: d.select("doc_id", F.md5(X.normalise_name(F.col("text")).cast("binary")).alias("name_md5"))))
 
-_KEY = F.col("c_custkey").cast("string")
-_AMOUNTS = F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("£1,"), _KEY, F.lit(".50"))).when(F.col("c_custkey") % 7 == 1, F.concat(F.lit("-£"), _KEY)).when(F.col("c_custkey") % 7 == 2, F.concat(F.lit("("), _KEY, F.lit(")"))).when(
-    F.col("c_custkey") % 7 == 3, F.concat(F.lit(" "), _KEY, F.lit("abc"))).when(F.col("c_custkey") % 7 == 4, "1e3").when(F.col("c_custkey") % 7 == 5, "").otherwise("n/a")
+
+def _key():
+    return F.col("c_custkey").cast("string")
+
+
+def _amounts():
+    return F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("£1,"), _key(), F.lit(".50"))).when(F.col("c_custkey") % 7 == 1, F.concat(F.lit("-£"), _key())).when(F.col("c_custkey") % 7 == 2, F.concat(F.lit("("), _key(), F.lit(")"))).when(
+    F.col("c_custkey") % 7 == 3, F.concat(F.lit(" "), _key(), F.lit("abc"))).when(F.col("c_custkey") % 7 == 4, "1e3").when(F.col("c_custkey") % 7 == 5, "").otherwise("n/a")
+
+
 _register("parse_amounts", """select c_custkey, case c_custkey % 7 when 0 then ('1' || c_custkey || '.5')::double when 1 then -c_custkey::double when 3 then c_custkey::double when 4 then 1000 else 0 end as amount from customer""", base=False)(
-    _over("customer", lambda d: d.select("c_custkey", X.parse_amount(_AMOUNTS).alias("amount"))))
-
-_ODATE = F.col("o_orderdate")
-_DATES = F.when(F.col("o_orderkey") % 5 == 0, F.date_format(_ODATE, "d/M/yyyy")).when(F.col("o_orderkey") % 5 == 1, F.date_format(_ODATE, "dd.MM.yyyy")).when(F.col("o_orderkey") % 5 == 2, F.concat(F.date_format(_ODATE, "yyyy-MM-dd"), F.lit("T00:00:00"))).when(F.col("o_orderkey") % 5 == 3, F.date_format(_ODATE, "dd/MM/yy")).otherwise("31/02/2024")
-_register("parse_dates", "select o_orderkey, case o_orderkey % 5 when 3 then '' when 4 then '2024-02-31' else strftime(o_orderdate, '%Y-%m-%d') end as date from orders", base=False)(_over("orders", lambda d: d.select("o_orderkey", X.parse_date(_DATES).alias("date"))))
-_FILES = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("spend_"), F.date_format(_ODATE, "yyyy_MM_dd"), F.lit(".csv"))).when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit("Purchase-Card-"), F.date_format(_ODATE, "yyyy-MM"), F.lit(".xlsx"))).when(F.col("o_orderkey") % 4 == 2, "2023-2024.csv").otherwise("spend.csv")
-_register("month_from_filename", "select o_orderkey, case o_orderkey % 4 when 2 then '2023-20' when 3 then '' else strftime(o_orderdate, '%Y-%m') end as month from orders", base=False)(_over("orders", lambda d: d.select("o_orderkey", X.month_of_filename(_FILES).alias("month"))))
-_register("doc_types", "select case o_orderkey % 4 when 1 then 'procurement_card' else 'expenditure' end as type, count(*) as files from orders group by 1", base=False)(_over("orders", lambda d: d.groupBy(X.document_type(_FILES).alias("type")).agg(F.count("*").alias("files"))))
+    _over("customer", lambda d: d.select("c_custkey", X.parse_amount(_amounts()).alias("amount"))))
+
+
+def _odate():
+    return F.col("o_orderdate")
+
+
+def _dates():
+    return F.when(F.col("o_orderkey") % 5 == 0, F.date_format(_odate(), "d/M/yyyy")).when(F.col("o_orderkey") % 5 == 1, F.date_format(_odate(), "dd.MM.yyyy")).when(F.col("o_orderkey") % 5 == 2, F.concat(F.date_format(_odate(), "yyyy-MM-dd"), F.lit("T00:00:00"))).when(F.col("o_orderkey") % 5 == 3, F.date_format(_odate(), "dd/MM/yy")).otherwise("31/02/2024")
+
+
+_register("parse_dates", "select o_orderkey, case o_orderkey % 5 when 3 then '' when 4 then '2024-02-31' else strftime(o_orderdate, '%Y-%m-%d') end as date from orders", base=False)(_over("orders", lambda d: d.select("o_orderkey", X.parse_date(_dates()).alias("date"))))
+
+
+def _file_names():
+    return F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("spend_"), F.date_format(_odate(), "yyyy_MM_dd"), F.lit(".csv"))).when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit("Purchase-Card-"), F.date_format(_odate(), "yyyy-MM"), F.lit(".xlsx"))).when(F.col("o_orderkey") % 4 == 2, "2023-2024.csv").otherwise("spend.csv")
+
+
+_register("month_from_filename", "select o_orderkey, case o_orderkey % 4 when 2 then '2023-20' when 3 then '' else strftime(o_orderdate, '%Y-%m') end as month from orders", base=False)(_over("orders", lambda d: d.select("o_orderkey", X.month_of_filename(_file_names()).alias("month"))))
+_register("doc_types", "select case o_orderkey % 4 when 1 then 'procurement_card' else 'expenditure' end as type, count(*) as files from orders group by 1", base=False)(_over("orders", lambda d: d.groupBy(X.document_type(_file_names()).alias("type")).agg(F.count("*").alias("files"))))
 _register("fy_labels", f"select o_orderkey, {FY_LABEL.format(d='o_orderdate')} as fy, {PREVIOUS.format(f=FY_LABEL.format(d='o_orderdate'))} as previous from orders", base=False)(
-    _over("orders", lambda d: d.select("o_orderkey", X.fy_of_month(F.date_format(_ODATE, "yyyy-MM")).alias("fy"), X.previous_fy(X.fy_of_month(F.date_format(_ODATE, "yyyy-MM"))).alias("previous"))))
+    _over("orders", lambda d: d.select("o_orderkey", X.fy_of_month(F.date_format(_odate(), "yyyy-MM")).alias("fy"), X.previous_fy(X.fy_of_month(F.date_format(_odate(), "yyyy-MM"))).alias("previous"))))
 _register("format_amounts", f"select o_orderkey, {SHORT.format(x='(o_orderkey * 7919 - 4000000)::double')} as short, case when o_orderkey % 2 = 0 and o_orderkey > 0 then '-' else '' end || '£' || format('{{:,}}', o_orderkey * 31) as currency from orders", base=False)(
     _over("orders", lambda d: d.select("o_orderkey", X.short_amount(F.col("o_orderkey") * 7919 - 4000000).alias("short"), X.currency(F.when(F.col("o_orderkey") % 2 == 0, -F.col("o_orderkey") * 31).otherwise(F.col("o_orderkey") * 31)).alias("currency"))))
-_register("month_labels", "select o_orderkey, strftime(o_orderdate, '%b %y') as label from orders", base=False)(_over("orders", lambda d: d.select("o_orderkey", X.month_label(F.date_format(_ODATE, "yyyy-MM")).alias("label"))))
+_register("month_labels", "select o_orderkey, strftime(o_orderdate, '%b %y') as label from orders", base=False)(_over("orders", lambda d: d.select("o_orderkey", X.month_label(F.date_format(_odate(), "yyyy-MM")).alias("label"))))
 _register("truncate_labels", "select p_partkey, case when length(p_name) > 12 then left(p_name, 11) || '…' else p_name end as label from part", base=False)(_over("part", lambda d: d.select("p_partkey", X.truncated(F.col("p_name"), 12).alias("label"))))
 _register("slugify", "select n_nationkey, 'royal-' || trim(regexp_replace(lower(n_name), '[^a-z0-9]+', '-', 'g'), '-') as slug from nation", base=False)(_over("nation", lambda d: d.select("n_nationkey", X.slug(F.concat(F.lit("Royal Borough of "), F.col("n_name"), F.lit(" County Council"))).alias("slug"))))
 
@@ -192,7 +211,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _register("row_skips", "select case when c_custkey % 7 in (2, 5, 6) then 'zero_amount' when c_custkey % 3 = 0 then 'totals_line' else 'kept' end as skip, count(*) as rows from customer group by 1", base=False)(
-    _over("customer", lambda d: I.clean_rows(d.select(F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).otherwise("").alias("supplier"), _AMOUNTS.alias("amount"), *(F.lit("").alias(f) for f in I.FIELDS[2:]), F.lit("spend-2024-05.csv").alias("__file")))
+    _over("customer", lambda d: I.clean_rows(d.select(F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).otherwise("").alias("supplier"), _amounts().alias("amount"), *(F.lit("").alias(f) for f in I.FIELDS[2:]), F.lit("spend-2024-05.csv").alias("__file")))
           .groupBy(F.coalesce("skip", F.lit("kept")).alias("skip")).agg(F.count("*").alias("rows"))))
 _plain("registry_upsert", """, k as (select * from councils where id % 5 <> 0), o as (select slug, name || ' Council' as name, 'https://' || slug as url from councils where id % 2 = 0)
 select slug, coalesce(k.name, o.name) as name, o.url as url, null::varchar as data_gov_id, coalesce(status, 'pending') as status from k full join o using (slug)""",
@@ -201,8 +220,12 @@ select slug, coalesce(k.name, o.name) as name, o.url as url, null::varchar as da
 _register("supplier_url_share", "select count(*) as filled, count(*) filter (s_suppkey % 3 = 0) as urls from (select * from supplier order by s_suppkey limit 100)", base=False)(
     _over("supplier", lambda d: d.orderBy("s_suppkey").limit(100).select(F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit(" HTTPS://x/"), F.col("s_name"))).otherwise(F.col("s_name")).alias("v")).agg(F.count("v").alias("filled"), F.count_if(F.lower(X.full_trim(F.col("v"))).rlike("^https?://")).alias("urls"))))
 
-_LINES = F.when(F.col("o_orderkey") % 6 == 0, "Adults and Health").when(F.col("o_orderkey") % 6 == 1, "PLACE").when(F.col("o_orderkey") % 6 == 2, F.concat(F.lit("Libraries "), F.col("o_orderkey").cast("string"), F.lit(" 1,200"))).when(
+
+def _lines():
+    return F.when(F.col("o_orderkey") % 6 == 0, "Adults and Health").when(F.col("o_orderkey") % 6 == 1, "PLACE").when(F.col("o_orderkey") % 6 == 2, F.concat(F.lit("Libraries "), F.col("o_orderkey").cast("string"), F.lit(" 1,200"))).when(
     F.col("o_orderkey") % 6 == 3, F.concat(F.lit("  Parks (1,"), F.lpad((F.col("o_orderkey") % 1000).cast("string"), 3, "0"), F.lit(") -5"))).when(F.col("o_orderkey") % 6 == 4, "Outturn").otherwise("ab 7")
+
+
 _BOOK = """
 with l as (select o_custkey as file, o_orderkey as line_no, o_orderkey % 6 as k from orders),
 a as (select *, last_value(case k when 0 then 'Adults and Health' when 1 then 'Place' end ignore nulls) over w as directorate, max(case when k = 4 then 1 else 0 end) over w as started
@@ -211,7 +234,7 @@ a as (select *, last_value(case k when 0 then 'Adults and Health' when 1 then 'P
 
 
 def _book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("line_no"), _LINES.alias("line"))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("line_no"), _lines().alias("line"))
 
 
 _register("budget_lines", _BOOK + """select file, line_no, directorate, case k when 2 then 'Libraries' else 'Parks (' end as service, case k when 2 then 1200000.0::double else 5000.0::double end as net_budget,
