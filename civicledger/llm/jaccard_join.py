@@ -33,6 +33,8 @@ from civicledger.llm.common import connected_components, drop_columns_like, mate
 #: Documents of a tree at most; larger blocks are cut into chunks that meet in pairs.
 CELL = 512
 LEAF = 8
+#: Members of a set that gets a sparse bitmap.
+SMALL = 256
 FAN = 4
 #: Words that a worker remembers the hashes of.
 CACHE_WORDS = 1_000_000
@@ -129,8 +131,11 @@ class Routing:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """A bit for each member, at least four times as many bits, a power of two; 64-bit words."""
-    bits = 1 << max(6, int(4 * max(1, len(s)) - 1).bit_length())
+    """A bit for each member, a power of two of them in 64-bit words: at least four for each member, 32 in sets of up to SMALL.
+
+    Clusters of short texts that miss the threshold narrowly need the sparse ones: collisions would let all their pairs through.
+    """
+    bits = 1 << max(6, int((32 if len(s) <= SMALL else 4) * max(1, len(s)) - 1).bit_length())
     at = _mix(s) & np.uint64(bits - 1)
     out = np.zeros(bits // 64, np.uint64)
     np.bitwise_or.at(out, (at % np.uint64(bits // 64)).astype(np.int64), np.uint64(1) << (at // np.uint64(bits // 64)))
