@@ -12,8 +12,10 @@ from __future__ import annotations
 import json
 from array import array
 
+import numpy as np
+
 #: A worker forgets its words when it holds so many; bounds its memory, not the result.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 #: Words longer than this many bytes are encoded but not kept.
 CACHE_WORD_BYTES = 64
 
@@ -31,7 +33,8 @@ def supports_words(description: dict) -> bool:
     """True if splitting at ASCII white space cannot change the ids (see the module's text)."""
     norm = description.get("normalizer") or {}
     parts = norm.get("normalizers", [norm]) if norm else []
-    safe_norm = all(p.get("type") in ("NFC", "Lowercase") or (p.get("type") == "Replace" and p.get("pattern") == {"Regex": "\\s+"} and p.get("content") == " ") for p in parts)
+    lower = any(p.get("type") == "Lowercase" for p in parts)
+    safe_norm = lower and all(p.get("type") in ("NFC", "Lowercase") or (p.get("type") == "Replace" and p.get("pattern") == {"Regex": "\\s+"} and p.get("content") == " ") for p in parts)
     pre = description.get("pre_tokenizer") or {}
     steps = pre.get("pretokenizers", [pre])
     split = steps[0]
@@ -73,19 +76,50 @@ def ids_of(texts: list[bytes], name: str) -> list[bytes]:
     if not by_word:
         return [_pack(e.ids) for e in tok.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
     split = [t.split() for t in texts]
-    words = set().union(*split)
+    table, cores = {}, {}
+    for w in set().union(*split):
+        core, tail = parts_of(w)
+        table[w] = core, tail
+        for x in (core, tail):
+            if x:
+                cores[x] = cache.get(x)
+    missing = [w for w, ids in cores.items() if ids is None]
+    cores.update(_encode_words(tok, [w for w in missing if w.isascii()]))
+    others = [w for w in missing if not w.isascii()]
+    for i in range(0, len(others), 4096):
+        part = others[i : i + 4096]
+        for w, e in zip(part, tok.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
+            cores[w] = _pack(e.ids)
     if len(cache) > CACHE_WORDS:
         cache.clear()
-    missing = [w for w in words if w not in cache]
-    passing = []
-    for i in range(0, len(missing), 4096):
-        part = missing[i : i + 4096]
-        encoded = tok.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-        for w, e in zip(part, encoded):
-            cache[w] = _pack(e.ids)
-            if len(w) > CACHE_WORD_BYTES:
-                passing.append(w)
-    out = [b"".join(map(cache.__getitem__, ws)) for ws in split]
-    for w in passing:
-        del cache[w]
-    return out
+    cache.update((w, cores[w]) for w in missing if len(w) <= CACHE_WORD_BYTES)
+    for w, (core, tail) in table.items():
+        table[w] = cores[core] + cores[tail] if tail else cores[core]
+    return [b"".join(map(table.__getitem__, ws)) for ws in split]
+
+
+def _encode_words(tok, words: list[bytes]):
+    """(word, ids) of ASCII words, many in one text; the tokens' offsets tell which word they belong to."""
+    for i in range(0, len(words), 2048):
+        part = words[i : i + 2048]
+        e = tok.encode(b" ".join(part).decode("ascii"), add_special_tokens=False)
+        ends = np.cumsum([len(w) + 1 for w in part])
+        first = np.searchsorted([o[0] for o in e.offsets], np.r_[0, ends])
+        ids = np.asarray(e.ids, "<u4")
+        for w, lo, hi in zip(part, first, first[1:]):
+            yield w, ids[lo:hi].tobytes()
+
+
+def parts_of(word: bytes) -> tuple[bytes, bytes]:
+    """A word's body, lower-cased where it is plain ASCII, and its closing punctuation where that is a token run of its own.
+
+    The pre-tokenizer parts letters and digits from a run of other characters, so closing punctuation after an ASCII letter
+    or digit is encoded by itself. The tokenizer lower-cases; added tokens are matched before it does, so what may be one stays.
+    """
+    core = word.rstrip(b".,;:!?")
+    tail = word[len(core) :]
+    if tail and not core[-1:].isalnum():
+        core, tail = word, b""
+    if core.isascii() and b"<" not in core:
+        core = core.lower()
+    return core, tail
