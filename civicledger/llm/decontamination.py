@@ -30,6 +30,8 @@ WINDOWS = (32, 64)
 STRIDE = 16
 #: Terms in more than this share of all documents say nothing about a passage, unless it has no others.
 MAX_DF = 0.05
+#: In a small table a term may stand in so many documents all the same.
+MAX_DF_DOCS = 20
 MIN_TERMS = 3
 #: Latent dimensions, those that the random projection adds, and power iterations.
 RANK = 96
@@ -38,7 +40,7 @@ POWER = 2
 MIN_COSINE = 0.5
 #: Share of a passage's words that must stand in the window in their order.
 MIN_LCS = 0.8
-#: A passage's rarest words count as its answer; so many of them must stand in the window.
+#: A passage's last words count as its answer, as items end with it; so many of them must stand in the window.
 ANSWER_WORDS = 3
 MIN_ANSWERS = 2
 
@@ -111,7 +113,7 @@ def randomised_svd(rows: DataFrame, terms: int, rank: int = RANK, oversample: in
 class LatentIndex:
     """A block's passages: term vectors, unit latent passages, and what verification needs."""
 
-    def __init__(self, passages, vocab: dict[bytes, int], weights: np.ndarray, vectors: np.ndarray, idf: dict[bytes, float]):
+    def __init__(self, passages, vocab: dict[bytes, int], weights: np.ndarray, vectors: np.ndarray):
         self.passages, self.vocab = passages, vocab
         self.terms = (weights[:, None] * vectors).astype(np.float32)
         latent = np.zeros((len(passages), vectors.shape[1]), np.float32)
@@ -120,7 +122,7 @@ class LatentIndex:
                 if w in vocab:
                     latent[p] += self.terms[vocab[w]]
         self.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).T.copy()
-        self.answers = [frozenset(sorted(set(words), key=lambda w: (-idf[w], w))[:ANSWER_WORDS]) for _, words in passages]
+        self.answers = [frozenset(words[-ANSWER_WORDS:]) for _, words in passages]
 
     def search(self, words: list[bytes]) -> dict[int, tuple[float, float, int, int]]:
         """{item: (cosine, LCS share, answer words, window's first word)} of what is verified in a text."""
@@ -182,7 +184,7 @@ def build_index(texts: DataFrame, items: list[tuple], rank: int = RANK) -> Laten
     everything = {w for _, ws in passages for w in ws}
     n, df = _frequencies(texts, everything)
     idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1e-3 for w in everything}
-    telling = {w for w in everything if df.get(w, 0) <= MAX_DF * n}
+    telling = {w for w in everything if df.get(w, 0) <= max(MAX_DF_DOCS, MAX_DF * n)}
     for _, ws in passages:
         if len(telling.intersection(ws)) < MIN_TERMS:
             telling.update(sorted(set(ws), key=lambda w: (-idf[w], w))[:MIN_TERMS])
@@ -196,7 +198,7 @@ def build_index(texts: DataFrame, items: list[tuple], rank: int = RANK) -> Laten
         val = np.array([c * weights[i] for i, c in tf.items()])
         matrix.append((list(tf), (val / max(1e-9, np.linalg.norm(val))).tolist()))
     rows = spark.createDataFrame(matrix, "idx array<int>, val array<double>").repartition(max(1, min(64, len(matrix) // 64)))
-    return LatentIndex(passages, vocab, weights, randomised_svd(rows, len(vocab), min(rank, len(passages))), idf)
+    return LatentIndex(passages, vocab, weights, randomised_svd(rows, len(vocab), min(rank, len(passages))))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_items: int = BLOCK_ITEMS) -> DataFrame:

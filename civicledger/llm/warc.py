@@ -116,6 +116,8 @@ class WarcReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
 
+        if partition is None:  # Spark's stand-in where there are no files
+            return
         fs, _ = FileSystem.from_uri(self.path if "://" in self.path or self.path.startswith("file:") else "file://" + self.path)
         with fs.open_input_file(partition.value) as raw:
             stream = io.BufferedReader(raw, 1 << 20)
