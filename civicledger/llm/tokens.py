@@ -14,8 +14,8 @@ from array import array
 
 import numpy as np
 
-#: A worker forgets its words when it holds so many; bounds its memory, not the result.
-CACHE_WORDS = 1_000_000
+#: Words of each of a worker's two generations: when the younger is full, the older is forgotten. Bounds its memory, not the result.
+CACHE_WORDS = 600_000
 #: Words longer than this many bytes are encoded but not kept.
 CACHE_WORD_BYTES = 64
 
@@ -45,7 +45,7 @@ def supports_words(description: dict) -> bool:
 
 
 def load(name: str) -> tuple:
-    """(tokenizer, whether words may be split, cache) of this worker process."""
+    """(tokenizer, whether words may be split, [younger, older generation of word ids]) of this worker process."""
     if name not in _loaded:
         import os
 
@@ -55,7 +55,7 @@ def load(name: str) -> tuple:
         path = tokenizer_path(name)
         with open(path, encoding="utf-8") as f:
             by_word = supports_words(json.load(f))
-        _loaded[name] = (Tokenizer.from_file(path), by_word, {})
+        _loaded[name] = (Tokenizer.from_file(path), by_word, [{}, {}])
     return _loaded[name]
 
 
@@ -72,30 +72,36 @@ def _pack(ids: list[int]) -> bytes:
 
 def ids_of(texts: list[bytes], name: str) -> list[bytes]:
     """The ids of each UTF-8 text, four little-endian bytes each, without added special tokens."""
-    tok, by_word, cache = load(name)
+    tok, by_word, known = load(name)
     if not by_word:
         return [_pack(e.ids) for e in tok.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
     split = [t.split() for t in texts]
-    table, cores = {}, {}
-    for w in set().union(*split):
-        core, tail = parts_of(w)
-        table[w] = core, tail
-        for x in (core, tail):
-            if x:
-                cores[x] = cache.get(x)
-    missing = [w for w, ids in cores.items() if ids is None]
-    cores.update(_encode_words(tok, [w for w in missing if w.isascii()]))
+    if len(known[0]) > CACHE_WORDS:
+        known[:] = [{}, known[0]]
+    young, old = known
+    unknown = []
+    for w in set().union(*split).difference(young):
+        ids = old.get(w)
+        if ids is None:
+            unknown.append(w)
+        else:
+            young[w] = ids
+    parts = {w: parts_of(w) for w in unknown}
+    # a body or an ending is a word too, and its ids are those that it has by itself
+    missing = {x for both in parts.values() for x in both if x}.difference(young)
+    young.update(_encode_words(tok, [w for w in missing if w.isascii()]))
     others = [w for w in missing if not w.isascii()]
     for i in range(0, len(others), 4096):
         part = others[i : i + 4096]
         for w, e in zip(part, tok.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-            cores[w] = _pack(e.ids)
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
-    cache.update((w, cores[w]) for w in missing if len(w) <= CACHE_WORD_BYTES)
-    for w, (core, tail) in table.items():
-        table[w] = cores[core] + cores[tail] if tail else cores[core]
-    return [b"".join(map(table.__getitem__, ws)) for ws in split]
+            young[w] = _pack(e.ids)
+    for w, (core, tail) in parts.items():
+        young[w] = young[core] + young[tail] if tail else young[core]
+    out = [b"".join(map(young.__getitem__, ws)) for ws in split]
+    for w in missing.union(unknown):
+        if len(w) > CACHE_WORD_BYTES:
+            del young[w]
+    return out
 
 
 def _encode_words(tok, words: list[bytes]):
