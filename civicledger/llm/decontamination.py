@@ -123,6 +123,9 @@ class LatentIndex:
                     latent[p] += self.terms[vocab[w]]
         self.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).T.copy()
         self.answers = [frozenset(words[-ANSWER_WORDS:]) for _, words in passages]
+        # small products stay in one thread: a text's windows don't repay waking the library's others
+        self.rows = max(8, 200_000 // self.latent.size)
+        self.reach = max(len(words) for _, words in passages) // 2
 
     def search(self, words: list[bytes]) -> dict[int, tuple[float, float, int, int]]:
         """{item: (cosine, LCS share, answer words, window's first word)} of what is verified in a text."""
@@ -141,9 +144,17 @@ class LatentIndex:
             begin, window = begin[full], (sums[hi[full]] - sums[lo[full]]).astype(np.float32)
             window /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-9)
             for k in range(0, len(begin), 4096):
-                cosine = window[k : k + 4096] @ self.latent
-                for i, p in zip(*np.nonzero(cosine >= MIN_COSINE)):
-                    self._verify(words, int(begin[k + i]), size, int(p), float(cosine[i, p]), out)
+                part = window[k : k + 4096]
+                cosine = np.concatenate([part[j : j + self.rows] @ self.latent for j in range(0, len(part), self.rows)])
+                last, there = -1, set()
+                for i, p in zip(*(x.tolist() for x in np.nonzero(cosine >= MIN_COSINE))):
+                    if i != last:
+                        last, start = i, int(begin[k + i])
+                        there = set(words[max(0, start - self.reach) : start + size + self.reach])
+                    # no common subsequence is longer than the passage's words that stand there at all
+                    pattern = self.passages[p][1]
+                    if sum(map(there.__contains__, pattern)) >= MIN_LCS * len(pattern):
+                        self._verify(words, start, size, p, float(cosine[i, p]), out)
         return out
 
     def _verify(self, words, begin: int, size: int, p: int, cosine: float, out: dict) -> None:
