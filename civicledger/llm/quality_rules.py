@@ -10,6 +10,9 @@ source or a long text changes nothing but that row's cost.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +23,10 @@ SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: A line ends well with one of these, perhaps after closing marks.
-TERMINAL = r"[.!?…。！？:;]['\"”’»)\]]*$"
+CLOSING = r"['\"”’»)\]]"
+TERMINAL = rf"[.!?…。！？:;]{CLOSING}*$"
+#: Characters at a line's end that usually settle this.
+TAIL = 64
 #: Phrases of boilerplate lines, lower case.
 BOILERPLATE = (
     "all rights reserved",
@@ -48,16 +54,31 @@ LONG_LINE_WORDS = 12
 _COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines", "n_lines_removed", "chars_removed_percent", "kept", "clean_text"]
 
 
-def line_fails(line: Column) -> Column:
-    """True for a line, already trimmed and not empty, that a rule removes."""
-    words = F.size(F.split(line, SPACE))
-    symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
-    shouts = (F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("")))) / F.lit(2)
+def _trimmed(text: Column) -> Column:
+    """text without white space at its ends; most texts have none, and looking is cheaper than trimming."""
+    ends = F.left(text, F.lit(1)).isin(*SPACE_CHARS) | F.right(text, F.lit(1)).isin(*SPACE_CHARS)
+    return F.when(ends, F.trim(text, F.lit(SPACE_CHARS))).otherwise(text)
+
+
+def _count(text: Column, part: str) -> Column:
+    """How often part stands in text."""
+    return (F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / F.lit(len(part))
+
+
+def _ends_well(line: Column) -> Column:
+    """The line matches TERMINAL: seen at its last characters, unless these may all be closing marks."""
+    tail = F.right(line, F.lit(TAIL))
+    return tail.rlike(TERMINAL) | (tail.rlike(f"^{CLOSING}{{{TAIL // 2}}}") & line.rlike(TERMINAL))
+
+
+def line_fails(line: Column, words: Column) -> Column:
+    """True for a line of so many words, already trimmed and not empty, that a rule removes; cheap tests first."""
     low = F.lower(line)
-    navigation = (F.length(line) - F.length(F.translate(line, "|", "")) >= MIN_BARS) | low.rlike(r"^(home|menu|next|previous|login|share)( [>»|/-] .*)?$")
-    punctuation = (~line.rlike(TERMINAL) & (words < LONG_LINE_WORDS)) | (symbols * 100 > MAX_SYMBOL_PERCENT * F.length(line)) | (shouts * 100 > MAX_SHOUT_PERCENT * words)
-    boiler = low.rlike("|".join(BOILERPLATE)) & (words < 4 * LONG_LINE_WORDS)
-    return navigation | punctuation | boiler
+    navigation = (_count(line, "|") >= MIN_BARS) | low.rlike(r"^(home|menu|next|previous|login|share)( [>»|/-] .*)?$")
+    symbols = F.regexp_count(line, F.lit(f"[{SYMBOLS}]"))
+    punctuation = ((words < LONG_LINE_WORDS) & ~_ends_well(line)) | (symbols * 100 > MAX_SYMBOL_PERCENT * F.length(line)) | (_count(line, "!!") * 100 > MAX_SHOUT_PERCENT * words)
+    boiler = reduce(or_, (low.contains(phrase) for phrase in BOILERPLATE))
+    return punctuation | navigation | ((words < 4 * LONG_LINE_WORDS) & boiler)
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -70,7 +91,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     out = drop_columns_like(docs, [*_COLUMNS, "__t", "__w", "__h", "__s", "__p", "__l", "__k"])
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = out.withColumn("__t", F.trim(text, F.lit(SPACE_CHARS)))
+    out = out.withColumn("__t", _trimmed(text))
     out = out.withColumn("__w", F.when(F.col("__t") == "", F.array().cast("array<string>")).otherwise(F.split("__t", SPACE)))
     n = F.size("__w")
     out = out.withColumn("__h", F.when(n < 3, F.array().cast("array<bigint>")).otherwise(
@@ -84,12 +105,13 @@ def quality_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     out = out.withColumn("__l", F.split(text, "\n", -1))
     worded = F.filter("__l", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = out.withColumn("n_words", n.cast("long")).withColumn("word_chars", F.length(F.array_join("__w", "")).cast("long"))
-    out = out.withColumn("n_symbols", (F.length("__t") - F.length(F.translate("__t", SYMBOLS, ""))).cast("long"))
+    out = out.withColumn("n_symbols", F.regexp_count("__t", F.lit(f"[{SYMBOLS}]")).cast("long"))
     out = out.withColumn("n_repeat_words", covered).withColumn("__l", worded)
     out = out.withColumn("n_dup_lines", (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"))
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-    trimmed = F.transform("__l", lambda x: F.trim(x, F.lit(SPACE_CHARS)))
-    out = out.withColumn("__l", trimmed).withColumn("__k", F.filter("__l", lambda x: ~line_fails(x)))
+    out = out.withColumn("__l", F.transform("__l", _trimmed))
+    counted = F.transform("__l", lambda x: F.struct(x.alias("line"), F.size(F.split(x, SPACE)).alias("words")))
+    out = out.withColumn("__k", F.filter(counted, lambda x: ~line_fails(x.line, x.words)).getField("line"))
     size = lambda c: F.length(F.array_join(c, ""))
     out = out.withColumn("n_lines", F.size("__l").cast("long")).withColumn("n_lines_removed", (F.size("__l") - F.size("__k")).cast("long"))
     out = out.withColumn("chars_removed_percent", F.when(size("__l") > 0, F.floor(F.lit(100) * (size("__l") - size("__k")) / size("__l"))).otherwise(F.lit(0)).cast("long"))
