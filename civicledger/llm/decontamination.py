@@ -121,7 +121,11 @@ class LatentIndex:
             for w in words:
                 if w in vocab:
                     latent[p] += self.terms[vocab[w]]
-        self.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).T.copy()
+        # a window that holds fewer of the vocabulary's words than this can't hold enough of the passage; the passages stand in this order
+        need = np.array([sum(w in vocab for w in words) - len(words) + math.ceil(MIN_LCS * len(words) - 1e-9) for _, words in passages])
+        self.order = np.argsort(need, kind="stable")
+        self.need = need[self.order]
+        self.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9))[self.order].T.copy()
         self.answers = [frozenset(words[-ANSWER_WORDS:]) for _, words in passages]
         # small products stay in one thread: a text's windows don't repay waking the library's others
         self.rows = max(8, 200_000 // self.latent.size)
@@ -140,21 +144,30 @@ class LatentIndex:
         for size in WINDOWS:
             begin = np.arange(0, max(1, len(words) - size + STRIDE), STRIDE)
             lo, hi = np.searchsorted(at, begin), np.searchsorted(at, begin + size)
-            full = hi - lo >= 1
-            begin, window = begin[full], (sums[hi[full]] - sums[lo[full]]).astype(np.float32)
+            near = np.searchsorted(at, begin + size + self.reach) - np.searchsorted(at, begin - self.reach)
+            full = np.flatnonzero((hi > lo) & (near >= self.need[0]))
+            full = full[np.argsort(near[full], kind="stable")]
+            begin, near, window = begin[full], near[full], (sums[hi[full]] - sums[lo[full]]).astype(np.float32)
             window /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-9)
             for k in range(0, len(begin), 4096):
-                part = window[k : k + 4096]
-                cosine = np.concatenate([part[j : j + self.rows] @ self.latent for j in range(0, len(part), self.rows)])
+                part, held = window[k : k + 4096], near[k : k + 4096]
+                cosine = np.zeros((len(part), len(self.need)), np.float32)
+                for j in range(0, len(part), self.rows):
+                    reached = np.searchsorted(self.need, held[j : j + self.rows][-1], "right")
+                    cosine[j : j + self.rows, :reached] = part[j : j + self.rows] @ self.latent[:, :reached]
+                i, p = np.nonzero(cosine >= MIN_COSINE)
+                able = self.need[p] <= held[i]
+                i, p = i[able], p[able]
+                by_place = np.lexsort((self.order[p], begin[k + i]))
                 last, there = -1, set()
-                for i, p in zip(*(x.tolist() for x in np.nonzero(cosine >= MIN_COSINE))):
+                for i, c, p in zip(i[by_place].tolist(), p[by_place].tolist(), self.order[p[by_place]].tolist()):
                     if i != last:
                         last, start = i, int(begin[k + i])
                         there = set(words[max(0, start - self.reach) : start + size + self.reach])
                     # no common subsequence is longer than the passage's words that stand there at all
                     pattern = self.passages[p][1]
                     if sum(map(there.__contains__, pattern)) >= MIN_LCS * len(pattern):
-                        self._verify(words, start, size, p, float(cosine[i, p]), out)
+                        self._verify(words, start, size, p, float(cosine[i, c]), out)
         return out
 
     def _verify(self, words, begin: int, size: int, p: int, cosine: float, out: dict) -> None:
