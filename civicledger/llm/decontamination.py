@@ -6,6 +6,12 @@ latent vector. Each document's windows are folded in as sums of their terms' vec
 with the passages by cosine; candidates are then verified on the words themselves: the longest common
 subsequence must hold most of the passage, and its answer words must stand in the window.
 
+A latent space serves a few hundred items, so that its rank keeps up with the benchmark. Retrieval by
+cosine still loses windows in which a short passage is drowned, so compact copies (most of a passage's
+words in order, within little more than its length) are also found by an exact way: a passage's rarest
+words are indexed, so many of them that a copy can't lack all, and where enough of them stand together
+the words decide. What the cosine adds are looser copies.
+
 The benchmark is taken in blocks of bounded size, each of which is held against all documents in two
 map-only passes, so only what a block needs is sent to the tasks and documents are never shuffled.
 """
@@ -14,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +31,8 @@ from civicledger.llm.license_scans import words_of
 
 #: Items whose index is held in memory at once; more are taken in further blocks.
 BLOCK_ITEMS = 5_000
+#: Items that share a latent space of RANK dimensions; a block has as many spaces as it takes.
+LATENT_ITEMS = 500
 #: Words of a passage at most, and of the two sizes of window; windows begin STRIDE words apart.
 PASSAGE = 64
 WINDOWS = (32, 64)
@@ -43,6 +52,10 @@ MIN_LCS = 0.8
 #: A passage's last words count as its answer, as items end with it; so many of them must stand in the window.
 ANSWER_WORDS = 3
 MIN_ANSWERS = 2
+#: Rare words of a passage that must stand together before its words are compared, beyond those that a copy may lack.
+SUPPORT = 4
+#: Words of a text whose postings are laid out at once.
+SEGMENT = 16_384
 
 
 def lcs_length(a: list[bytes], b: list[bytes]) -> int:
@@ -124,6 +137,7 @@ class LatentIndex:
         # a window that holds fewer of the vocabulary's words than this can't hold enough of the passage; the passages stand in this order
         need = np.array([sum(w in vocab for w in words) - len(words) + math.ceil(MIN_LCS * len(words) - 1e-9) for _, words in passages])
         self.order = np.argsort(need, kind="stable")
+        self.place = np.argsort(self.order)
         self.need = need[self.order]
         self.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9))[self.order].T.copy()
         self.answers = [frozenset(words[-ANSWER_WORDS:]) for _, words in passages]
@@ -131,6 +145,12 @@ class LatentIndex:
         self.rows = max(8, 200_000 // self.latent.size)
         self.reach = max(len(words) for _, words in passages) // 2
 
+    def cosine(self, words: list[bytes], p: int) -> float:
+        """Of a stretch of words and a passage."""
+        at = [self.vocab[w] for w in words if w in self.vocab]
+        vector = self.terms[at].sum(axis=0)
+        return float(vector @ self.latent[:, self.place[p]] / max(float(np.linalg.norm(vector)), 1e-9))
+
     def search(self, words: list[bytes]) -> dict[int, tuple[float, float, int, int]]:
         """{item: (cosine, LCS share, answer words, window's first word)} of what is verified in a text."""
         vocab = self.vocab
@@ -184,6 +204,98 @@ class LatentIndex:
             out[item] = (cosine, share, answers, begin)
 
 
+class CompactIndex:
+    """A block's passages by their rarest words, for copies of MIN_LCS of a passage's words within 1 / MIN_LCS of its length. Exact.
+
+    A copy lacks at most the share 1 - MIN_LCS of the passage's places, so of that many rarest places and a few more it holds the few.
+    """
+
+    def __init__(self, passages, df: dict[bytes, int]):
+        self.passages = passages
+        self.answers = [frozenset(words[-ANSWER_WORDS:]) for _, words in passages]
+        self.need = [math.ceil(MIN_LCS * len(words) - 1e-9) for _, words in passages]
+        self.span = np.array([math.ceil(len(words) / MIN_LCS - 1e-9) for _, words in passages])
+        self.support = np.array([min(SUPPORT, need) for need in self.need])
+        postings: dict[bytes, list[int]] = {}
+        for p, (_, words) in enumerate(passages):
+            rare = sorted(words, key=lambda w: (df.get(w, 0), w))[: len(words) - self.need[p] + int(self.support[p])]
+            for w in set(rare):
+                postings.setdefault(w, []).append(p)
+        self.word = {w: i for i, w in enumerate(postings)}
+        self.count = np.array([len(x) for x in postings.values()])
+        self.first = np.cumsum(self.count) - self.count
+        self.postings = np.array([p for x in postings.values() for p in x], np.int32)
+
+    def search(self, words: list[bytes]):
+        """(passage, from, to): stretches of a text in which a copy of the passage may lie; each copy lies in one of them."""
+        ids = np.fromiter(map(self.word.get, words, repeat(-1)), np.int64, len(words))
+        places = np.flatnonzero(ids >= 0)
+        if not len(places):
+            return
+        ids = ids[places]
+        reach = int(self.span.max())
+        for begin in range(0, len(words), SEGMENT):
+            lo, hi = np.searchsorted(places, [begin, begin + SEGMENT + reach])
+            count = self.count[ids[lo:hi]]
+            total = int(count.sum())
+            p = self.postings[np.repeat(self.first[ids[lo:hi]] - np.cumsum(count) + count, count) + np.arange(total)]
+            order = np.argsort(p, kind="stable")
+            p, at = p[order], np.repeat(places[lo:hi], count)[order]
+            last = np.arange(total) + self.support[p] - 1
+            able = np.flatnonzero(last < total)
+            last = last[able]
+            close = (p[last] == p[able]) & (at[last] - at[able] < self.span[p[able]])
+            for x, first, end in zip(p[able[close]].tolist(), at[able[close]].tolist(), at[last[close]].tolist()):
+                size = int(self.span[x])
+                yield x, max(0, end - size + 1), first + size
+
+    def verify(self, words: list[bytes], p: int, lo: int, hi: int, best: float) -> tuple[float, int, int] | None:
+        """(LCS share, answer words, first word) of the best copy in a stretch, if it holds more than the share best."""
+        pattern, need, size = self.passages[p][1], self.need[p], int(self.span[p])
+        stretch = words[lo:hi]
+        there = set(stretch)
+        if sum(map(there.__contains__, pattern)) < need:
+            return None
+        n = lcs_length(pattern, stretch)
+        if n < need or n / len(pattern) <= best:
+            return None
+        found, own = None, set(pattern)
+        for begin in range(len(stretch)):
+            if stretch[begin] not in own:
+                continue
+            around = stretch[begin : begin + size]
+            answers = len(self.answers[p].intersection(around))
+            share = lcs_length(pattern, around) / len(pattern)
+            if share > best and share * len(pattern) > need - 0.5 and answers >= min(MIN_ANSWERS, len(self.answers[p])):
+                found, best = (share, answers, lo + begin), share
+                if share == 1.0:
+                    break
+        return found
+
+
+class BlockIndex:
+    """A block's latent spaces and its exact index; passages are numbered through."""
+
+    def __init__(self, latent: list[LatentIndex], compact: CompactIndex):
+        self.latent, self.compact = latent, compact
+        self.space = [(index, p) for index in latent for p in range(len(index.passages))]
+
+    def search(self, words: list[bytes]) -> dict[int, tuple[float, float, int, int]]:
+        """As LatentIndex.search: what is found by cosine, and all compact copies."""
+        out: dict[int, tuple[float, float, int, int]] = {}
+        for index in self.latent:
+            out.update(index.search(words))
+        for p, lo, hi in self.compact.search(words):
+            item = self.compact.passages[p][0]
+            best = out[item][1] if item in out else 0.0
+            hit = self.compact.verify(words, p, lo, hi, best) if best < 1.0 else None
+            if hit:
+                index, own = self.space[p]
+                share, answers, begin = hit
+                out[item] = (index.cosine(words[begin : begin + int(self.compact.span[p])], own), share, answers, begin)
+        return out
+
+
 def _frequencies(texts: DataFrame, vocab: set[bytes]) -> tuple[int, dict[bytes, int]]:
     """Documents in all and those that hold each word of the vocabulary."""
     def count(batches):
@@ -199,14 +311,8 @@ def _frequencies(texts: DataFrame, vocab: set[bytes]) -> tuple[int, dict[bytes,
     return df.pop(b"", 0), df
 
 
-def build_index(texts: DataFrame, items: list[tuple], rank: int = RANK) -> LatentIndex | None:
-    """The index of a block of items (id, text); texts: (id, text as binary) of all documents."""
-    spark = texts.sparkSession
-    passages = passages_of(items)
-    if not passages:
-        return None
+def _latent_index(spark, passages, df: dict[bytes, int], n: int, rank: int) -> LatentIndex:
     everything = {w for _, ws in passages for w in ws}
-    n, df = _frequencies(texts, everything)
     idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1e-3 for w in everything}
     telling = {w for w in everything if df.get(w, 0) <= max(MAX_DF_DOCS, MAX_DF * n)}
     for _, ws in passages:
@@ -225,6 +331,18 @@ def build_index(texts: DataFrame, items: list[tuple], rank: int = RANK) -> Laten
     return LatentIndex(passages, vocab, weights, randomised_svd(rows, len(vocab), min(rank, len(passages))))
 
 
+def build_index(texts: DataFrame, items: list[tuple], rank: int = RANK) -> BlockIndex | None:
+    """The index of a block of items (id, text); texts: (id, text as binary) of all documents."""
+    passages = passages_of(items)
+    if not passages:
+        return None
+    n, df = _frequencies(texts, {w for _, ws in passages for w in ws})
+    spaces: dict[int, list] = {}
+    for passage in passages:
+        spaces.setdefault(passage[0] // LATENT_ITEMS, []).append(passage)
+    return BlockIndex([_latent_index(texts.sparkSession, own, df, n, rank) for own in spaces.values()], CompactIndex(passages, df))
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_items: int = BLOCK_ITEMS) -> DataFrame:
     """One row for each document row and benchmark item found in it: id_col, item_col, cosine, lcs_share, n_answers, first_word.
 

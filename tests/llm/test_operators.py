@@ -94,6 +94,23 @@ def test_decontamination(spark, docs, none):
     assert find_contamination(none, bench).count() == 0 and find_contamination(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_a_large_benchmark(spark):
+    from civicledger.llm.decontamination import find_contamination
+
+    words = [w.lower() for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect() for w in re.findall("[A-Za-z]+", r.text or "")]
+    rng = np.random.default_rng(5)
+    cut = lambda n: (lambda a: words[a : a + n])(int(rng.integers(0, len(words) - n)))
+    # a third short, a third longer, a third with every sixth word changed but the last three
+    items = [cut(int(rng.integers(*((5, 9), (15, 30), (15, 30))[i % 3]))) for i in range(3000)]
+    put = [[f"x{k}" if i % 3 == 2 and k % 6 == 0 and k < len(w) - 3 else x for k, x in enumerate(w)] for i, w in enumerate(items)]
+    texts = [" ".join(cut(60) + w + cut(60)) for w in put]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in find_contamination(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()}
+    assert {(i, i) for i in range(3000)} <= got, len({(i, i) for i in range(3000)} - got)
+    exact = {f" {' '.join(w)} ": i for i, w in enumerate(items)}
+    assert {(k, i) for k, t in enumerate(texts) for w, i in exact.items() if w in f" {t} "} <= got
+
+
 def _components(rows, k, percent):
     sets = defaultdict(list)
     for i, t in rows:
