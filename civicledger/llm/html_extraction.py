@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 
 from civicledger.llm.common import drop_columns_like, materialise
 
-#: A subtree on so many different pages of a host is template.
+#: A subtree on so many different pages of a host, and on so many percent of them, is template.
 MIN_PAGES = 5
+MIN_PERCENT = 10
+#: Parts into which a host's subtrees are dealt when they meet its number of pages.
+SALTS = 32
 
 #: Elements of HTML by their role here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -197,7 +200,7 @@ def host_of(url_col: str):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
+def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_percent: int = MIN_PERCENT) -> DataFrame:
     """pages with `text` and `n_chars` for `html_col`, which goes; columns of these names are replaced, other columns stay.
 
     Null html is empty and gives empty text; null and repeated urls, ids and rows keep their rows. Pages without a host share one.
@@ -210,7 +213,7 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
             rows, hashes, longest = [], [], []
             for i, text in enumerate(b.column(2).to_pylist()):
                 page = Page(text)
-                found = page.subtrees()
+                found = {0, *page.subtrees()}  # 0, which is no subtree's hash, stands for the page
                 rows += [i] * len(found)
                 hashes += found
                 longest += [page.longest()] * len(found)
@@ -218,7 +221,13 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(hashes, pa.int64()), pa.array(longest, pa.int64())], ["host", "md5", "subtree", "longest"])
 
     found = materialise(keyed.select("__host", "__md5", "__html").mapInArrow(subtrees, "host string, md5 string, subtree long, longest long"), "html-subtrees")
-    template = found.select("host", "subtree", "longest").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).select("host", "subtree")
+    # longest is part of the first key and counts are added up in parts, so a large host's pages are counted by many tasks
+    counts = found.select("host", "subtree", "longest").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    counts = materialise(counts, "html-counts")
+    salt = F.pmod("subtree", F.lit(SALTS)).alias("salt")
+    large = counts.filter((F.col("subtree") == 0) & (F.col("n") * min_percent > 100 * min_pages)).select(F.col("host").alias("__h"), F.col("n").alias("pages"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("__s"))
+    often = counts.filter("subtree <> 0").select("*", salt).join(large, (F.col("host") == F.col("__h")) & (F.col("salt") == F.col("__s")), "left")
+    template = often.filter(F.col("pages").isNull() | (100 * F.col("n") >= min_percent * F.col("pages"))).select("host", "subtree")
     gone = found.select("host", "md5", "subtree").distinct().join(template, ["host", "subtree"]).groupBy("host", "md5").agg(F.collect_list("subtree").alias("__gone"))
     gone = gone.select(F.col("host").alias("__h"), F.col("md5").alias("__m"), "__gone")
     names = [c for c in keyed.columns if c not in ("__html", "__host", "__md5")]

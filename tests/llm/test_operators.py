@@ -216,6 +216,25 @@ def test_html_extraction(spark):
     assert got[10] == got[11] == "" and got[12] == "one two"
 
 
+def test_html_template_is_a_share_of_the_host(spark):
+    from civicledger.llm.html_extraction import extract_main_text
+
+    def page(host, i, n):
+        own = f"<p>A paragraph of its own, which is longer than what is shared, on page {i} of {host}.</p>"
+        shared = "<p>Shared by a few.</p>" if i < 6 else ""
+        listed = "<ul><li>Listed by a few</ul>" if i < 6 else ""
+        site = "<div>On every page.</div>"
+        plain = f"<body>{site}{shared}{own}</body>"
+        return [(f"{host}-{n}-plain-{i}", f"http://{host}-plain/{i}", plain), (f"{host}-{n}-article-{i}", f"http://{host}-article/{i}", f"<article>{site}{listed}{own}</article>")]
+
+    rows = [r for host, n in (("large", 300), ("small", 12)) for i in range(n) for r in page(host, i, n)]
+    rows += [(f"none-{i}", f"http://large-plain/none/{i}", f"bare text of page {i}") for i in range(20)]  # pages without elements count too
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    assert len(got) == len(rows) and not any("On every page" in t for t in got.values())
+    assert all("Shared by a few." in got[f"large-300-plain-{i}"] and "Listed by a few" in got[f"large-300-article-{i}"] for i in range(6))
+    assert not any("by a few" in got[f"small-12-{k}-{i}"] for k in ("plain", "article") for i in range(6))
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
