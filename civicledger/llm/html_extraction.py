@@ -48,7 +48,7 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-WORD = re.compile(r"[a-z]+")
+WORD = re.compile(r"[^\W\d_]+")
 
 
 class Page:
@@ -63,6 +63,7 @@ class Page:
         self._parts: list[list[str]] = [[]]
         self._open = [0]
         self._block: list[tuple[int, str]] = []
+        self._named: set[int] = set()
         for m in TOKEN.finditer(html):
             if m.group("text") is not None:
                 text = m.group("text")
@@ -75,6 +76,20 @@ class Page:
         self._flush()
         while len(self._open) > 1:
             self._pop()
+        if self._named:
+            self._mark_named()
+
+    def _mark_named(self) -> None:
+        """Elements whose class or id is a boilerplate word, and all in them: not those that are or hold an article or main."""
+        holds: set[int] = set()
+        for at, tag in enumerate(self.tag):
+            while tag in MAIN_TAGS and at > 0 and at not in holds:
+                holds.add(at)
+                at = self.parent[at]
+        named = self._named - holds
+        if named:
+            for at in range(1, len(self.tag)):
+                self.bad[at] = self.bad[at] or self.bad[self.parent[at]] or at in named
 
     def _flush(self) -> None:
         if self._block:
@@ -113,7 +128,10 @@ class Page:
         self.parent.append(up)
         self.tag.append(tag)
         self.main.append(self.main[up] or (tag in MAIN_TAGS))
-        self.bad.append(self.bad[up] or tag in BOILERPLATE_TAGS or (tag == "header" and not self.main[up]) or (bool(attrs) and tag not in ("html", "body") and _boilerplate(attrs)))
+        marked, named = _boilerplate(attrs) if attrs and tag not in ("html", "body") else (False, False)
+        self.bad.append(self.bad[up] or tag in BOILERPLATE_TAGS or (tag == "header" and not self.main[up]) or marked)
+        if named:
+            self._named.add(len(self.tag) - 1)
         self.hash.append(0)
         self._open.append(len(self.tag) - 1)
         self._parts.append([])
@@ -181,18 +199,18 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _boilerplate(attrs: str) -> bool:
+def _boilerplate(attrs: str) -> tuple[bool, bool]:
+    """Whether an element is boilerplate by role or hidden; whether a word of its class or id says so: a token of such words only."""
+    marked = named = False
     for name, value in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            if any(w in BOILERPLATE_WORDS for w in WORD.findall(value)):
-                return True
+            named = named or any(all(map(BOILERPLATE_WORDS.__contains__, parts)) for token in value.split() if (parts := WORD.findall(token)))
         elif name == "role":
-            if value in BOILERPLATE_ROLES:
-                return True
+            marked = marked or value in BOILERPLATE_ROLES
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            marked = True
+    return marked, named
 
 
 def host_of(url_col: str):

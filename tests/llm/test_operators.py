@@ -235,6 +235,20 @@ def test_html_template_is_a_share_of_the_host(spark):
     assert not any("by a few" in got[f"small-12-{k}-{i}"] for k in ("plain", "article") for i in range(6))
 
 
+def test_html_class_words_keep_the_article():
+    from civicledger.llm.html_extraction import Page
+
+    kept = ["<div class='no-sidebar'>", "<div class='with-sidebar'>", "<div class='layout has-comments'>", "<div id='related'><div class='share'>", "<article class='post share-enabled'>", "<main id=comments>", "<div class='banner'><article class='promo'>"]
+    for wrap in kept:
+        inner = "<p>The text.</p>" if "article" in wrap or "main" in wrap else "<article><p>The text.</p></article>"
+        assert Page(f"<body>{wrap}{inner}").text() == "The text.", wrap
+        assert Page(f"<body>{wrap}{inner}<div class='ad'><p>buy</p></div>").text() == "The text.", wrap
+    assert Page("<body><div class='no-sidebar'><p>The text.</p></div>").text() == "The text."
+    for gone in ("class='ad'", "class='box sidebar'", "class='cookie-banner ad-1'", "id=comments", "class=AD", "role=navigation", "hidden"):
+        assert Page(f"<body><div {gone}><p>Some words.</p></div><p>The text.</p>").text() == "The text.", gone
+    assert Page("<article role=navigation><p>Some words.</p></article>").text() == ""
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
