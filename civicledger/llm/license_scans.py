@@ -2,8 +2,8 @@
 
 The templates' words are indexed with their positions. A first pass counts in how many documents each
 of these words stands (a bounded vocabulary, so Spark adds up a few hundred counts). A second pass
-takes from each text its licence words of highest inverse document frequency, looks their postings
-up, and intersects them by relative position: occurrences that agree on where a template begins
+takes from each text its licence words of highest inverse document frequency, for each template so many
+that no alignment can lack them all, looks their postings up, and intersects them by relative position: occurrences that agree on where a template begins
 support one alignment. An alignment counts if the template's words stand there and every mandatory
 key phrase does. Both passes are map-only over whole texts.
 """
@@ -44,8 +44,8 @@ TEMPLATES = (
 )
 #: Share of a template's words that must stand at their places.
 MIN_SCORE = 0.8
-#: Words of a template that are looked up, at least; its rarest ones.
-RARE_WORDS = 3
+#: Places of a template on which looked-up words must agree before all its words are compared.
+SUPPORT = 2
 #: Places by which the beginning of an alignment may differ between its words.
 SLACK = 2
 
@@ -58,31 +58,40 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Index:
-    """Positional postings of the templates' rarest words, by document frequency."""
+    """Positional postings of the templates' words, those of highest inverse document frequency first."""
 
     def __init__(self, templates, n_docs: int, df: dict[bytes, int]):
-        self.idf = {w: math.log((n_docs + 1) / (df.get(w, 0) + 1)) + 1 for w in vocabulary(templates)}
+        self.words = frozenset(vocabulary(templates))
+        self.idf = {w: math.log((n_docs + 1) / (df.get(w, 0) + 1)) + 1 for w in self.words}
         self.templates = [(label, text.encode().split(), [k.encode().split() for k in keys]) for label, text, keys in templates]
-        self.postings: dict[bytes, list[tuple[int, int]]] = {}
-        for t, (_, words, _) in enumerate(self.templates):
-            rare = sorted(set(words), key=lambda w: (-self.idf[w], w))[:RARE_WORDS]
-            for at, w in enumerate(words):
-                if w in rare:
-                    self.postings.setdefault(w, []).append((t, at))
-        self.rare = frozenset(self.postings)
+        self.order = [sorted(((w, at) for at, w in enumerate(words)), key=lambda x: (-self.idf[x[0]], x)) for _, words, _ in self.templates]
+        self.need = [math.ceil(MIN_SCORE * len(words) - 1e-9) for _, words, _ in self.templates]
+
+    def _postings(self, present: set[bytes]) -> dict[bytes, list[tuple[int, int]]]:
+        """Places of templates by the text's rarest words: an alignment that may lack k places holds SUPPORT of any k + SUPPORT, absent ones among these."""
+        out: dict[bytes, list[tuple[int, int]]] = {}
+        for t, order in enumerate(self.order):
+            here = [x for x in order if x[0] in present]
+            if len(here) >= self.need[t]:
+                for w, place in here[: len(here) - self.need[t] + min(SUPPORT, self.need[t])]:
+                    out.setdefault(w, []).append((t, place))
+        return out
 
     def scan(self, words: list[bytes], present: set[bytes]) -> tuple[set[str], float]:
         """Labels that the templates give, and the best score among them."""
-        votes: dict[tuple[int, int], set[bytes]] = {}
-        for at, w in enumerate(words):
-            for t, place in self.postings.get(w, ()) if w in present else ():
-                votes.setdefault((t, at - place), set()).add(w)
         labels, best = set(), 0.0
-        for (t, begin), _ in sorted(votes.items(), key=lambda v: (-len(v[1]), v[0])):
-            label, pattern, keys = self.templates[t]
-            support = set().union(*(votes.get((t, begin + s), ()) for s in range(-SLACK, SLACK + 1)))
-            if len(support) < min(RARE_WORDS, len(set(pattern)), 2):
+        postings = self._postings(present)
+        if not postings:
+            return labels, best
+        votes: dict[tuple[int, int], set[int]] = {}
+        for at, w in enumerate(words):
+            for t, place in postings.get(w, ()):
+                for s in range(-SLACK, SLACK + 1):
+                    votes.setdefault((t, at - place + s), set()).add(place)
+        for (t, begin), support in votes.items():
+            if len(support) < min(SUPPORT, self.need[t]):
                 continue
+            label, pattern, keys = self.templates[t]
             window = words[max(0, begin - SLACK) : begin + len(pattern) + SLACK]
             score = aligned(pattern, window) / len(pattern)
             if score >= MIN_SCORE and all(places(window, k) for k in keys):
@@ -150,9 +159,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             rows: list[tuple] = []
             for text in b.column(1).to_pylist():
                 words = words_of(text)
-                present = index.rare.intersection(words)
+                present = index.words.intersection(words)
                 starts, named, labels, score = [], set(), set(), 0.0
-                if b"license" in present or b"license" in words:
+                if b"license" in words:
                     for label, phrase in base.items():
                         found = places(words, phrase)
                         starts += found

@@ -77,6 +77,39 @@ def test_license_scans(docs, none):
     assert scan_licenses(docs).count() == len(ROWS) and scan_licenses(none).count() == 0
 
 
+def test_license_alignments_against_sliding():
+    from collections import Counter
+
+    from civicledger.llm import license_scans as L
+
+    rng = np.random.default_rng(4)
+    filler = b"the of and or this a file is to license public software work under x1 x2 x3".split()
+    texts = []
+    for _, text, keys in L.TEMPLATES:
+        words, held = text.encode().split(), {w for k in keys for w in k.encode().split()}
+        free = [i for i, w in enumerate(words) if w not in held]
+        for _ in range(20):
+            lost = set(rng.permutation(free)[: int(rng.integers(0, len(words) // 5 + 2))].tolist())
+            around = [[filler[i] for i in rng.integers(0, len(filler), int(rng.integers(0, 30)))] for _ in "ab"]
+            texts.append(around[0] + [b"changed" if i in lost else w for i, w in enumerate(words)] + around[1])
+    vocab = L.vocabulary(L.TEMPLATES)
+    index = L.Index(L.TEMPLATES, len(texts), Counter(w for t in texts for w in vocab.intersection(t)))
+    found = 0
+    for words in texts:
+        labels, best = set(), 0.0
+        for label, text, keys in L.TEMPLATES:
+            pattern = text.encode().split()
+            for begin in range(-len(pattern), len(words)):
+                window = words[max(0, begin - L.SLACK) : max(0, begin + len(pattern) + L.SLACK)]
+                score = L.aligned(pattern, window) / len(pattern)
+                if score >= L.MIN_SCORE and all(L.places(window, k.encode().split()) for k in keys):
+                    labels.add(label)
+                    best = max(best, score)
+        found += bool(labels)
+        assert index.scan(words, vocab.intersection(words)) == (labels, best)
+    assert found > 200
+
+
 def test_decontamination(spark, docs, none):
     from civicledger.llm.decontamination import find_contamination, lcs_length
 
