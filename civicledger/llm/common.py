@@ -4,22 +4,38 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space that separates words in all operators, as a Java/RE2 class.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
+#: The folder of a local session that names none.
+_own: dict[str, str | None] = {}
+#: What an operator keeps in this worker process between tasks: (its name, the object).
+_memo: list = ["", None]
 
 
-#: The folder of a session that names none.
-_own: dict[str, str | None] = {}
+def worker_memo(owner: str, make: Callable[[], object]):
+    """An operator's memo in this worker. A worker holds one memo at most: another owner's takes its place."""
+    if _memo[0] != owner:
+        _memo[:] = ["", None]
+        _memo[:] = [owner, make()]
+    return _memo[1]
+
+
+def release_memo() -> None:
+    """Called in the tasks of operators that keep nothing, so that none pays for what an earlier one has kept."""
+    _memo[:] = ["", None]
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The shared folder for intermediate tables: spark.checkpoint.dir. Only a local session without one gets a temporary folder."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         conf = _own.setdefault("dir", None) or "file://" + tempfile.mkdtemp(prefix="civicledger-")
         _own["dir"] = conf
     return f"{conf.rstrip('/')}/civicledger"

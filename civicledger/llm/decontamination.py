@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from civicledger.llm.common import release_memo
 from civicledger.llm.license_scans import words_of
 
 #: Items whose index is held in memory at once; more are taken in further blocks.
@@ -365,6 +366,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
         def search(batches, shared=shared):
             index = shared.value
+            release_memo()
             for b in batches:
                 rows, cols = [], []
                 for i, text in enumerate(b.column(1).to_pylist()):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicledger.llm.common import connected_components, drop_columns_like, materialise
+from civicledger.llm.common import connected_components, drop_columns_like, materialise, release_memo
 
 #: Documents of a tree at most; larger blocks are cut into chunks that meet in pairs.
 CELL = 512
@@ -36,24 +36,9 @@ LEAF = 8
 #: Members of a set that gets a sparse bitmap.
 SMALL = 256
 FAN = 4
-#: Words that a worker remembers the hashes of.
-CACHE_WORDS = 1_000_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
-
-        h = xxh3_64_intdigest(word)
-        if len(self) < CACHE_WORDS:
-            self[word] = h
-        return h
-
-
-_hashes = _Hashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _M2
     x = (x ^ (x >> np.uint64(27))) * _M3
@@ -62,10 +47,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def shingle_set(text: bytes, k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles; of all words, if there are fewer; none without words."""
+    from xxhash import xxh3_64_intdigest
+
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    ids = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    ids = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
     width = min(k, len(words))
     acc = np.full(len(words) - width + 1, width, np.uint64)
     for j in range(width):
@@ -250,6 +237,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def sign(batches):
         from xxhash import xxh3_128_digest
 
+        release_memo()
         for b in batches:
             sizes, prints, sigs = [], [], []
             for text in b.column(1).to_pylist():
@@ -265,9 +253,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     usable = signed.filter("id IS NOT NULL AND fp IS NOT NULL")
     groups = materialise(usable.groupBy("fp").agg(F.min("id").alias("node")), "shingle-groups")
     firsts = usable.filter(F.size("sigs") > 0).join(groups.withColumnRenamed("fp", "g"), (F.col("fp") == F.col("g")) & (F.col("id") == F.col("node")))
-    # dealt once by signature; both the aggregation and the join below use this shuffle
-    postings = firsts.select("node", F.explode("sigs").alias("sig")).repartition("sig")
+    # the aggregation combines before it shuffles, and a plain join is one whose skewed keys Spark can split
+    postings = firsts.select("node", F.explode("sigs").alias("sig"))
     blocks = postings.groupBy("sig").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead <> last").select("sig", "lead")
+    blocks = materialise(blocks, "shingle-blocks")
     meetings = materialise(postings.join(blocks, "sig"), "shingle-meetings")
     wanted = meetings.select("node").distinct()
 

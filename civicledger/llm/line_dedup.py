@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicledger.llm.common import drop_columns_like, materialise
+from civicledger.llm.common import drop_columns_like, materialise, release_memo
 
 MIN_CHARS = 10
 SLOTS = 4
@@ -168,6 +168,7 @@ class LineStore:
         min_chars = self.min_chars
 
         def keys(batches):
+            release_memo()
             for b in batches:
                 rows, out = [], []
                 for i, text in enumerate(b.column(1).to_pylist()):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicledger.llm.common import materialise
+from civicledger.llm.common import materialise, release_memo
 
 #: Bounds of the fit: labelled rows, and features that the model keeps.
 MAX_LABELLED = 20_000
@@ -72,6 +72,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_labe
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), "__id").select("text", "low", "toxic")
 
     def count(batches):
+        release_memo()
         n, low, toxic = Counter(), Counter(), Counter()
         for b in batches:
             for text, is_low, is_toxic in zip(*(c.to_pylist() for c in b.columns)):
@@ -184,6 +185,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     def score(batches):
         w = model.value
         known, start = w.keys(), w.get("\t", (0.0, 0.0))
+        release_memo()
         for b in batches:
             low, toxic = [], []
             for text in b.column(3).to_pylist():

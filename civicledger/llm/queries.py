@@ -72,8 +72,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from civicledger.llm.warc import page_ids, read_warc, write_warc
 
     path = f"{scratch_dir(spark)}/warc-{uuid4().hex}"
-    write_warc(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
-    back = read_warc(spark, path, verify=True)
+    write_warc(_table(spark, sf_dir, "pages"), path)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    back = read_warc(spark, path).filter(F.col("record_type").isin("response", "revisit"))
     return back.select(page_ids("record_id", "long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_ids("refers_to", "long").alias("refers_to"))
 
 

@@ -14,13 +14,14 @@ from array import array
 
 import numpy as np
 
-#: Words of each of a worker's two generations: when the younger is full, the older is forgotten. Bounds its memory, not the result.
-CACHE_WORDS = 600_000
+from civicledger.llm.common import worker_memo
+
+#: Words of each of a worker's two generations: when the younger is full, the older is forgotten. With words of at most
+#: CACHE_WORD_BYTES and their ids an entry takes some 250 bytes, so a worker keeps 200 MB at most. Bounds its memory, not the result.
+CACHE_WORDS = 400_000
 #: Words longer than this many bytes are encoded but not kept.
 CACHE_WORD_BYTES = 64
 
-_loaded: dict[str, tuple] = {}
-
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Where the public vocabulary file lies on this machine."""
@@ -46,7 +47,7 @@ def supports_words(description: dict) -> bool:
 
 def load(name: str) -> tuple:
     """(tokenizer, whether words may be split, [younger, older generation of word ids]) of this worker process."""
-    if name not in _loaded:
+    def make() -> tuple:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,8 +56,9 @@ def load(name: str) -> tuple:
         path = tokenizer_path(name)
         with open(path, encoding="utf-8") as f:
             by_word = supports_words(json.load(f))
-        _loaded[name] = (Tokenizer.from_file(path), by_word, [{}, {}])
-    return _loaded[name]
+        return Tokenizer.from_file(path), by_word, [{}, {}]
+
+    return worker_memo(f"tokens of {name}", make)
 
 
 def _pack(ids: list[int]) -> bytes:

@@ -226,16 +226,50 @@ def test_warc(spark, tmp_path):
     from civicledger.llm.warc import page_ids, read_warc, write_warc
 
     big = "<p>é</p>" * 40
-    pages = spark.createDataFrame([(1, "http://a/ b", big), (2, None, big), (3, "http://c", ""), (4, "http://d", None), (None, "http://e", big), (2, "http://f", "x\r\n\r\nWARC/1.1\r\n")], "page_id long, url string, html string")
-    for kind in ("none", "gzip"):
-        path = f"file://{tmp_path}/{kind}"
-        write_warc(pages, path, compression=kind)
-        rows = read_warc(spark, path, payload=True, verify=True).withColumn("page_id", page_ids("record_id", "long")).collect()
-        assert sorted((r.page_id or 0, r.record_type, r.refers_to, r.payload_bytes) for r in rows) == [(0, "revisit", "urn:page:1", 360), (1, "response", None, 360), (2, "response", None, 15), (2, "revisit", "urn:page:1", 360), (3, "response", None, 0), (4, "response", None, 0)]
-        assert {hashlib.sha256(r.payload).hexdigest() == r.payload_digest for r in rows if r.record_type == "response"} == {True}
-        assert read_warc(spark, path).filter(F.col("record_type") == "revisit").count() == 2
-    write_warc(pages.limit(0), f"file://{tmp_path}/empty")
-    assert read_warc(spark, f"file://{tmp_path}/empty").count() == 0
+    rows = [(1, "http://a/ b", big), (2, None, big), (3, "http://c", ""), (4, "http://d", None), (None, "http://e", big), (2, "http://f", "x\r\n\r\nWARC/1.1\r\n"), (1, "http://a/ b", big)]
+    pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, PAYLOAD string, first string")
+    want = [(0, "revisit", "urn:page:1", 360), (1, "response", None, 360), (1, "response", None, 360), (2, "response", None, 15), (2, "revisit", "urn:page:1", 360), (3, "response", None, 0), (4, "response", None, 0)]
+    for push in ("true", "false"):
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", push)
+        for kind in ("none", "gzip"):
+            path = f"file://{tmp_path}/{kind}-{push}"
+            write_warc(pages, path, compression=kind)
+            rows = read_warc(spark, path, payload=True, verify=True).filter("record_type <> 'warcinfo'").withColumn("page_id", page_ids("record_id", "long")).collect()
+            assert sorted(((r.page_id or 0, r.record_type, r.refers_to, r.payload_bytes) for r in rows), key=str) == sorted(want, key=str)
+            assert {hashlib.sha256(r.payload).hexdigest() == r.payload_digest for r in rows if r.record_type == "response"} == {True}
+            assert {r.target_uri for r in rows} == {"http://a/%20b", None, "http://c", "http://d", "http://e", "http://f"}
+            assert read_warc(spark, path).filter(F.col("record_type") == "revisit").count() == 2
+            assert not [x for x in (tmp_path / f"{kind}-{push}").iterdir() if x.name.startswith("_")]
+        write_warc(pages.limit(0), f"file://{tmp_path}/empty-{push}")
+        assert read_warc(spark, f"file://{tmp_path}/empty-{push}").filter("record_type = 'response'").count() == 0
+
+
+def test_warc_skips_without_decoding(tmp_path):
+    import gzip
+    import io
+
+    from civicledger.llm import warc as W
+
+    big = np.random.default_rng(2).integers(0, 256, 1 << 20, np.uint8).tobytes()
+    made = [("response" if i % 3 else "revisit", f"urn:page:{i}", f"http://h/{i}", None, "0" * 64, len(big), big) for i in range(6)]
+    whole = b"".join(W.member(W.record_of(*r)) for r in made)
+    assert gzip.decompress(whole) == b"".join(W.record_of(*r) for r in made)
+
+    class Counting(io.BytesIO):
+        taken = 0
+
+        def readinto(self, into):
+            n = super().readinto(into)
+            Counting.taken += n
+            return n
+
+    found = list(W.records(io.BufferedReader(Counting(whole), 8192), lambda r: r[0] == "revisit", False, False))
+    assert [r[1] for r in found] == ["urn:page:0", "urn:page:3"] and Counting.taken < 200_000 < len(whole)
+    # other writers' files: one member for the whole file, members without lengths, plain
+    plain = b"".join(W.record_of(*r) for r in made)
+    for data in (gzip.compress(plain, 1), b"".join(gzip.compress(W.record_of(*r), 1) for r in made), plain):
+        found = list(W.records(io.BufferedReader(io.BytesIO(data)), lambda r: r[1] != "urn:page:4", True, False))
+        assert [r[1] for r in found] == [r[1] for r in made if r[1] != "urn:page:4"] and all(r[6] == big for r in found)
 
 
 def test_html_extraction(spark):
