@@ -1,14 +1,16 @@
 """Reversible line deduplication: sharded cuckoo filters backed by exact reference-count tables.
 
 A `LineStore` holds which document holds which line key (`holders`), how many documents hold each
-key and the smallest of them (`refs`), and for each shard of the key space cuckoo filters with one
-entry per key (`filters`). An inserted batch probes the filters first: keys that they don't know are
-new for certain and are appended; only the others are joined with the exact table. A deletion takes
-the documents' holder rows away, counts the keys concerned again and removes those without holders
-from the filters, so that insert followed by delete leaves what was there before.
+key, the smallest of them and the filter that has the key's entry (`refs`), and for each shard of the
+key space cuckoo filters with one entry per key (`filters`). An inserted batch probes the filters
+first: keys that they don't know are new for certain and are appended; only the others are joined with
+the exact table, which also shows false alarms, that then get an entry too. A deletion takes the
+documents' holder rows away, counts the keys concerned again and removes those without holders from
+the very filter that has their entry, so that insert followed by delete leaves what was there before.
 
 Lines are reduced to (16-byte key, document) before anything moves, and keys are aggregated before
-they meet a shard, so a line that a third of all documents hold is one row there.
+they meet a shard, so a line that a third of all documents hold is one row there. When the keys have
+outgrown the shards, these are dealt anew, twice as many as needed.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ SLOTS = 4
 #: Share of a filter's slots that may be taken before the next filter of its shard is begun.
 FULL = 0.9
 KICKS = 500
-#: Keys of the first batch for each shard.
+#: Keys of a shard, about, when shards are dealt; at twice as many they are dealt anew.
 KEYS_PER_SHARD = 100_000
+#: Batches in which a whole table goes into a new store.
+BATCHES = 2
 
 
 class CuckooFilter:
@@ -39,6 +43,10 @@ class CuckooFilter:
     def from_bytes(cls, data: bytes) -> CuckooFilter:
         return cls(table=np.frombuffer(data, "<u2").reshape(-1, SLOTS).copy())
 
+    @classmethod
+    def sized(cls, keys: int) -> CuckooFilter:
+        return cls(1 << max(8, int(np.ceil(np.log2(max(1, keys) / (FULL * SLOTS))))))
+
     def to_bytes(self) -> bytes:
         return self.table.astype("<u2").tobytes()
 
@@ -80,10 +88,13 @@ class CuckooFilter:
 
         A key that isn't added leaves the filter without a trace: its chain of kicks is undone.
         """
+        if not len(keys):
+            return np.zeros(0, bool)
         fp, a, b = self._places(keys)
         done = self._settle(a, fp)
         rest = np.flatnonzero(~done)
-        done[rest] = self._settle(b[rest], fp[rest])
+        if len(rest):
+            done[rest] = self._settle(b[rest], fp[rest])
         for k in np.flatnonzero(~done):
             done[k] = self._kick(int(b[k]), int(fp[k]))
         return done
@@ -121,23 +132,30 @@ def key_array(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, 2)
 
 
-def probe_and_add(filters: list[CuckooFilter], keys: np.ndarray) -> np.ndarray:
-    """True where a key may be in the shard; the others are added, beginning further filters as they fill."""
+def maybe_known(filters: list[CuckooFilter], keys: np.ndarray) -> np.ndarray:
+    """True where a key may be in the shard; False is certain."""
     known = np.zeros(len(keys), bool)
     for f in filters:
         known |= f.contains(keys)
-    todo = np.flatnonzero(~known)
+    return known
+
+
+def add_keys(filters: list[CuckooFilter], keys: np.ndarray) -> np.ndarray:
+    """The number of the filter that took each key; further filters are begun as they fill."""
+    gen = np.full(len(keys), -1, np.int32)
+    todo = np.arange(len(keys))
     while len(todo):
         room = filters[-1].free() if filters else 0
         if not room:
-            filters.append(CuckooFilter(1 << max(8, int(np.ceil(np.log2(len(todo) / (FULL * SLOTS)))))))
+            filters.append(CuckooFilter.sized(len(todo)))
             continue
         added = filters[-1].insert(keys[todo[:room]])
+        gen[todo[:room][added]] = len(filters) - 1
         left = todo[:room][~added]
         todo = np.r_[left, todo[room:]]
         if len(left):  # too crowded for these
-            filters.append(CuckooFilter(1 << max(8, int(np.ceil(np.log2(len(todo) / (FULL * SLOTS))) + 1))))
-    return known
+            filters.append(CuckooFilter.sized(2 * len(todo)))
+    return gen
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -158,8 +176,8 @@ class LineStore:
     one empty line. Inserting a document again, or deleting one that isn't there, changes nothing.
     """
 
-    def __init__(self, spark: SparkSession, id_type: str = "long", min_chars: int = MIN_CHARS):
-        self.spark, self.id_type, self.min_chars, self.shards = spark, id_type, min_chars, 0
+    def __init__(self, spark: SparkSession, id_type: str = "long", min_chars: int = MIN_CHARS, keys_per_shard: int = KEYS_PER_SHARD):
+        self.spark, self.id_type, self.min_chars, self.keys_per_shard, self.shards = spark, id_type, min_chars, keys_per_shard, 0
         self.holders: DataFrame | None = None
         self.refs: DataFrame | None = None
         self.filters: DataFrame | None = None
@@ -184,98 +202,108 @@ class LineStore:
     def _shard(self):
         return F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int").alias("shard")
 
-    def _filter_rows(self) -> DataFrame:
-        if self.filters is None:
-            return self.spark.createDataFrame([], "shard int, gen int, bits binary")
-        return self.filters
+    def _through_filters(self, keys: DataFrame, filters: DataFrame | None, add_known: bool, name: str) -> tuple[DataFrame, DataFrame]:
+        """(keys with known and gen, filters) after each shard's keys have met its filters.
 
-    def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        occ = materialise(self._occurrences(docs, id_col, text_col), "line-occurrences")
-        if self.holders is not None:
-            occ = materialise(occ.join(self.holders, ["key", "id"], "left_anti"), "line-occurrences")
-        if not self.shards:
-            self.shards = max(16, -(-occ.count() // KEYS_PER_SHARD))
-        keys = occ.groupBy("key").agg(F.count("*").alias("refs"), F.min("id").alias("keeper")).select(self._shard(), "*")
+        Keys that the filters don't know are added, with add_known the others too; gen is null for those that weren't.
+        keys: key, refs, keeper; a row per key.
+        """
+        if filters is None:
+            filters = self.spark.createDataFrame([], "shard int, gen int, bits binary")
         kind = f"shard int, key binary, refs long, keeper {self.id_type}, known boolean, gen int, bits binary"
 
-        def probe(left: pa.Table, right: pa.Table) -> pa.Table:
+        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
             right = right.sort_by("gen")
-            filters = [CuckooFilter.from_bytes(x) for x in right.column("bits").to_pylist()]
-            known = probe_and_add(filters, key_array(left.column("key"))) if left.num_rows else np.zeros(0, bool)
-            n, m = left.num_rows, len(filters)
+            held = [CuckooFilter.from_bytes(x) for x in right.column("bits").to_pylist()]
+            n = left.num_rows
             shard = (left if n else right).column("shard")[0].as_py()
-            empty = lambda t, k: pa.nulls(k, t)
-            cat = lambda a, t, k: pa.concat_arrays([a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a, empty(t, k)])
+            known, gen = np.zeros(n, bool), np.full(n, -1, np.int32)
+            if n:
+                keys = key_array(left.column("key"))
+                known = maybe_known(held, keys)
+                new = np.arange(n) if add_known else np.flatnonzero(~known)
+                gen[new] = add_keys(held, keys[new])
+            m = len(held)
+            whole = lambda a, t: pa.concat_arrays([a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a, pa.nulls(m, t)])
             cols = [
-                pa.array([shard] * (n + m), pa.int32()), cat(left.column("key"), pa.binary(), m), cat(left.column("refs"), pa.int64(), m),
-                cat(left.column("keeper"), left.schema.field("keeper").type, m), cat(pa.array(known), pa.bool_(), m),
-                pa.concat_arrays([empty(pa.int32(), n), pa.array(range(m), pa.int32())]),
-                pa.concat_arrays([empty(pa.binary(), n), pa.array([f.to_bytes() for f in filters], pa.binary())]),
+                pa.array([shard] * (n + m), pa.int32()), whole(left.column("key"), pa.binary()), whole(left.column("refs"), pa.int64()),
+                whole(left.column("keeper"), left.schema.field("keeper").type), whole(pa.array(known), pa.bool_()),
+                pa.concat_arrays([pa.array(gen, pa.int32(), mask=gen < 0), pa.array(range(m), pa.int32())]),
+                pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([f.to_bytes() for f in held], pa.binary())]),
             ]
             return pa.Table.from_arrays(cols, ["shard", "key", "refs", "keeper", "known", "gen", "bits"])
 
-        probed = materialise(keys.groupBy("shard").cogroup(self._filter_rows().groupBy("shard")).applyInArrow(probe, kind), "line-probed")
-        self.filters = probed.filter("bits IS NOT NULL").select("shard", "gen", "bits")
-        batch = probed.filter("key IS NOT NULL").select("key", "refs", "keeper", "known")
+        sharded = keys.select(self._shard(), "key", "refs", "keeper").groupBy("shard")
+        out = materialise(sharded.cogroup(filters.groupBy("shard")).applyInArrow(meet, kind), name)
+        return out.filter("key IS NOT NULL").select("key", "refs", "keeper", "known", "gen"), out.filter("bits IS NOT NULL").select("shard", "gen", "bits")
+
+    def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
+        """Puts documents in."""
+        occ = materialise(self._occurrences(docs, id_col, text_col), "line-occurrences")
+        if self.holders is not None:
+            occ = materialise(occ.join(self.holders, ["key", "id"], "left_anti"), "line-occurrences")
+        if not self.shards:
+            self.shards = max(16, -(-occ.count() // self.keys_per_shard))
+        keys = occ.groupBy("key").agg(F.count("*").alias("refs"), F.min("id").alias("keeper"))
+        batch, self.filters = self._through_filters(keys, self.filters, False, "line-probed")
         if self.refs is None:
             self.refs, self.holders = batch.drop("known"), occ
             return
         known = batch.filter("known").select("key", F.col("refs").alias("more"), F.col("keeper").alias("low"))
-        merged = self.refs.join(known, "key", "left").select("key", (F.col("refs") + F.coalesce("more", F.lit(0))).alias("refs"), F.least("keeper", "low").alias("keeper"))
-        false_alarms = known.join(self.refs, "key", "left_anti").select("key", F.col("more").alias("refs"), F.col("low").alias("keeper"))
-        self.refs = materialise(merged.unionByName(batch.filter("NOT known").drop("known")).unionByName(false_alarms), "line-refs")
+        merged = self.refs.join(known, "key", "left").select("key", (F.col("refs") + F.coalesce("more", F.lit(0))).alias("refs"), F.least("keeper", "low").alias("keeper"), "gen")
+        # keys that a filter took for known, though they are new, get an entry of their own: each key has one
+        alarms = materialise(known.join(self.refs, "key", "left_anti").select("key", F.col("more").alias("refs"), F.col("low").alias("keeper")), "line-alarms")
+        added = merged.unionByName(batch.filter("NOT known").drop("known"))
+        if not alarms.isEmpty():
+            taken, self.filters = self._through_filters(alarms, self.filters, True, "line-added")
+            added = added.unionByName(taken.drop("known"))
+        self.refs = materialise(added, "line-refs")
         self.holders = materialise(self.holders.unionByName(occ), "line-holders")
-        self._add(false_alarms)
-
-    def _add(self, keys: DataFrame) -> None:
-        """Keys that a filter took for known, though they are new, get an entry of their own: each key has one."""
-        self._rewrite_filters(keys.select("key"), add=True)
-
-    def _rewrite_filters(self, keys: DataFrame, add: bool) -> None:
-        def change(left: pa.Table, right: pa.Table) -> pa.Table:
-            right = right.sort_by("gen")
-            filters = [CuckooFilter.from_bytes(x) for x in right.column("bits").to_pylist()]
-            todo = key_array(left.column("key")) if left.num_rows else np.zeros((0, 2), np.uint64)
-            for f in filters if not add else reversed(filters):
-                if len(todo):
-                    todo = todo[~(f.insert(todo) if add else f.remove(todo))]
-            if add and len(todo):
-                filters.append(CuckooFilter(1 << max(8, int(np.ceil(np.log2(len(todo)))))))
-                filters[-1].insert(todo)
-            shard = (left if left.num_rows else right).column("shard")[0].as_py()
-            return pa.table({"shard": pa.array([shard] * len(filters), pa.int32()), "gen": pa.array(range(len(filters)), pa.int32()), "bits": pa.array([f.to_bytes() for f in filters], pa.binary())})
-
-        sharded = keys.select(self._shard(), "key").groupBy("shard")
-        self.filters = materialise(sharded.cogroup(self._filter_rows().groupBy("shard")).applyInArrow(change, "shard int, gen int, bits binary"), "line-filters")
+        count = self.refs.count()
+        if count > 2 * self.keys_per_shard * self.shards:
+            self.shards = 2 * -(-count // self.keys_per_shard)
+            dealt, self.filters = self._through_filters(self.refs, None, True, "line-dealt")
+            self.refs = dealt.drop("known")
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> None:
         """Takes the documents of these ids out."""
         if self.holders is None:
             return
         ids = ids.select(F.col(id_col).alias("id")).filter("id IS NOT NULL").distinct()
-        touched = materialise(self.holders.join(ids, "id", "left_semi").select("key").distinct(), "line-touched")
+        touched = materialise(self.holders.join(ids, "id", "left_semi").select("key").distinct().join(self.refs.select("key", "gen"), "key"), "line-touched")
         self.holders = materialise(self.holders.join(ids, "id", "left_anti"), "line-holders")
-        again = self.holders.join(touched, "key", "left_semi").groupBy("key").agg(F.count("*").alias("refs"), F.min("id").alias("keeper"))
+        again = self.holders.join(touched, "key").groupBy("key", "gen").agg(F.count("*").alias("refs"), F.min("id").alias("keeper"))
         again = materialise(again, "line-recounted")
         self.refs = materialise(self.refs.join(touched, "key", "left_anti").unionByName(again), "line-refs")
-        self._rewrite_filters(touched.join(again, "key", "left_anti"), add=False)
+        gone = touched.join(again, "key", "left_anti").select(self._shard(), "gen", "key")
+
+        def remove(left: pa.Table, right: pa.Table) -> pa.Table:
+            """A filter, without what is gone from it."""
+            f = CuckooFilter.from_bytes(right.column("bits")[0].as_py())
+            if left.num_rows and not f.remove(key_array(left.column("key"))).all():
+                raise ValueError("a filter lacks a key that was put into it")
+            return pa.table({"shard": right.column("shard"), "gen": right.column("gen"), "bits": pa.array([f.to_bytes()], pa.binary())})
+
+        self.filters = materialise(gone.groupBy("shard", "gen").cogroup(self.filters.groupBy("shard", "gen")).applyInArrow(remove, "shard int, gen int, bits binary"), "line-filters")
 
     def clean(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """docs, which are in the store, with their texts rebuilt and with n_lines and n_dropped; other columns stay.
 
         Lines that another stored document of a smaller id holds go. An id that isn't in the store loses none.
+        Columns called n_lines or n_dropped are replaced.
         """
         min_chars = self.min_chars
-        docs = drop_columns_like(docs, ["n_lines", "n_dropped", "__drop"])
+        docs = drop_columns_like(docs, ["n_lines", "n_dropped", "__drop", "__id"])
         shared = self.refs.filter("refs > 1").select("key", "keeper")
-        drops = self.holders.join(shared, "key").filter("id <> keeper").groupBy("id").agg(F.collect_list("key").alias("__drop"))
-        joined = docs.join(drops, docs[id_col] == drops["id"], "left").drop("id")
+        drops = self.holders.join(shared, "key").filter("id <> keeper").groupBy(F.col("id").alias("__id")).agg(F.collect_list("key").alias("__drop"))
+        joined = docs.join(drops, docs[id_col] == drops["__id"], "left").drop("__id")
         names = [c for c in joined.columns if c != "__drop"]
         at, kind = names.index(text_col), docs.schema[text_col].dataType.simpleString()
         joined = joined.withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
         fields = ", ".join(f"`{f.name}` {'binary' if f.name == text_col else f.dataType.simpleString()}" for f in joined.schema if f.name != "__drop")
 
         def rebuild(batches):
+            release_memo()
             for b in batches:
                 texts, counts, dropped = [], [], []
                 for text, drop in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist()):
@@ -296,10 +324,11 @@ class LineStore:
         return out.withColumn(text_col, F.col(text_col).cast(kind))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """One whole table through a new store: `LineStore.clean` of what has been inserted."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, batches: int = BATCHES) -> DataFrame:
+    """One whole table through a new store, in batches of ids: each batch but the first is probed against the filters of those before it."""
     store = LineStore(docs.sparkSession, docs.schema[id_col].dataType.simpleString(), min_chars)
-    store.insert(docs, id_col, text_col)
+    for k in range(batches):
+        store.insert(docs.filter(F.pmod(F.xxhash64(id_col), F.lit(batches)) == k), id_col, text_col)
     return store.clean(docs, id_col, text_col)
 
 

@@ -210,18 +210,64 @@ def test_line_store_is_reversible(spark, docs, none):
     got = {(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in dedup_lines(docs).collect()}
     assert {(1, "A Shared line here.\nown line number one", 2, 0), (2, "other\n\n", 4, 1), (2, "", 1, 1), (None, "a shared line here.", 1, 0), (3, "", 1, 0)} <= got
     assert dedup_lines(none).count() == 0
+    clash = docs.withColumnRenamed("text_", "id").withColumnRenamed("lang", "KEY")
+    assert dedup_lines(clash).columns == [*clash.columns, "n_lines", "n_dropped"]
     store = LineStore(spark)
     store.insert(docs.filter("doc_id <> 1"))
-    before = sorted(map(tuple, store.refs.collect()))
+    counts = lambda: sorted((bytes(r.key), r.refs, r.keeper) for r in store.refs.collect())
+    before = counts()
     first = docs.filter("doc_id = 1")
     store.insert(first)
     store.insert(first)
     assert {r.n_dropped for r in store.clean(docs.filter("doc_id = 2")).collect()} == {1}
     store.delete(first)
-    assert sorted(map(tuple, store.refs.collect())) == before
+    assert counts() == before
     assert {r.n_dropped for r in store.clean(docs.filter("doc_id = 2")).collect()} == {0}
 
 
+def test_deletion_leaves_other_keys():
+    from civicledger.llm.line_dedup import CuckooFilter, add_keys, maybe_known
+
+    keys = np.random.default_rng(6).integers(0, 1 << 63, (300_000, 2)).astype(np.uint64)
+    filters: list = []
+    gen = add_keys(filters, keys[:100_000])
+    later = keys[100_000:]
+    alarm = maybe_known(filters, later)
+    assert alarm.any()
+    late = np.full(len(later), -1)
+    late[~alarm] = add_keys(filters, later[~alarm])
+    late[alarm] = add_keys(filters, later[alarm])
+    gen = np.r_[gen, late]
+    gone = np.r_[np.zeros(100_000, bool), alarm]
+    for g, f in enumerate(filters):
+        assert f.remove(keys[gone & (gen == g)]).all()
+    assert maybe_known(filters, keys[~gone]).all()
+    for g, f in enumerate(filters):
+        assert f.remove(keys[~gone & (gen == g)]).all() and not f.table.any()
+    assert isinstance(filters[0], CuckooFilter)
+
+
+def test_line_store_grows_in_batches(spark):
+    from civicledger.llm.line_dedup import LineStore
+
+    docs = [(i, "\n".join(f"a line of number {j}" for j in range(3 * i, 3 * i + 5))) for i in range(120)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    store, other = LineStore(spark, keys_per_shard=4), LineStore(spark)
+    for lo in (0, 5, 60):
+        store.insert(table.filter(f"doc_id >= {lo} AND doc_id < {(5, 60, 120)[(0, 5, 60).index(lo)]}"))
+    other.insert(table)
+    rows = lambda s: sorted((bytes(r.key), r.refs, r.keeper) for r in s.refs.collect())
+    assert store.shards > 16 and rows(store) == rows(other) and store.refs.filter("gen IS NULL").isEmpty()
+    store.delete(table.filter("doc_id >= 5"))
+    first = LineStore(spark)
+    first.insert(table.filter("doc_id < 5"))
+    assert rows(store) == rows(first)
+    entries = sum(np.count_nonzero(np.frombuffer(r.bits, "<u2")) for r in store.filters.collect())
+    assert entries == first.refs.count()
+    store.insert(table.filter("doc_id >= 5"))
+    assert rows(store) == rows(other)
+
+
 def test_warc(spark, tmp_path):
     from civicledger.llm.warc import page_ids, read_warc, write_warc
 
