@@ -1,12 +1,16 @@
 """Main text of web pages with removal of site templates.
 
-Every page is read twice. The first pass hashes the element subtrees of each page; Spark counts, for
-each host, on how many different pages a subtree stands. The second pass deletes subtrees that
-recur, parts that are boilerplate by element, class or role, and markup, and joins what is left.
+Every page is parsed once. The parse gives the hashes of its element subtrees and its blocks of text
+outside boilerplate, each with the hashes of the subtrees around it that may be template. Spark counts,
+for each host, on how many different pages a subtree stands; blocks inside a subtree that stands on
+many of the host's pages go, by array functions, and what is left is joined.
 
 Two pages count as different when their longest blocks differ: copies of one page, however many,
 don't turn its article into a template. Inside an article only containers (div, section, lists,
 tables) can be template, not single paragraphs and headings: a passage that articles share stays.
+
+Boilerplate is told by element, role and whole words of class and id. Where every article of a page lies
+in such a part (a form around the page, a class on a wrapper), the parts around articles are none.
 """
 
 from __future__ import annotations
@@ -18,18 +22,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicledger.llm.common import drop_columns_like, materialise
+from civicledger.llm.common import drop_columns_like, materialise, release_memo
 
-#: A subtree on so many different pages of a host, and on so many percent of them, is template.
-MIN_PAGES = 5
+#: A subtree is template if it stands on so many percent of a host's different pages. On a host of few pages that says little:
+#: there it must stand on MIN_PAGES, or on more than half of them and LEAST_PAGES.
 MIN_PERCENT = 10
+MIN_PAGES = 5
+LEAST_PAGES = 3
 #: Parts into which a host's subtrees are dealt when they meet its number of pages.
 SALTS = 32
+#: Pages that are parsed together, to bound a worker's memory.
+SUB_BATCH = 64
 
 #: Elements of HTML by their role here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-BOILERPLATE_TAGS = frozenset("head title nav footer aside form button select textarea dialog menu iframe object canvas svg noscript template script style".split())
+BOILERPLATE_TAGS = frozenset("head title nav footer aside button select textarea dialog menu iframe object canvas svg noscript template script style".split())
+#: Boilerplate, unless all articles of the page are in them.
+SOFT_TAGS = frozenset(("form",))
 CONTAINERS = frozenset("div section ul ol dl table nav aside header footer form figure".split())
 MAIN_TAGS = frozenset(("article", "main"))
 BOILERPLATE_WORDS = frozenset(
@@ -47,7 +57,8 @@ TOKEN = re.compile(
     r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+TELLING = re.compile(r"class|id|role|hidden|style", re.I)
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -80,17 +91,23 @@ class Page:
             self._mark_named()
 
     def _mark_named(self) -> None:
-        """Elements whose class or id is a boilerplate word, and all in them: not those that are or hold an article or main."""
+        """Marks what `_named` holds, and all in it. If that would leave no article or main, those that are or hold one stay."""
+        articles = [at for at, tag in enumerate(self.tag) if tag in MAIN_TAGS and not self.bad[at]]
+        chains = [set(self._around(at)) for at in articles]
         holds: set[int] = set()
-        for at, tag in enumerate(self.tag):
-            while tag in MAIN_TAGS and at > 0 and at not in holds:
-                holds.add(at)
-                at = self.parent[at]
+        if not any(not (chain & self._named) for chain in chains):
+            holds = set().union(*chains)
         named = self._named - holds
         if named:
             for at in range(1, len(self.tag)):
                 self.bad[at] = self.bad[at] or self.bad[self.parent[at]] or at in named
 
+    def _around(self, at: int):
+        """An element and those around it."""
+        while at > 0:
+            yield at
+            at = self.parent[at]
+
     def _flush(self) -> None:
         if self._block:
             self.blocks.append(self._block)
@@ -128,9 +145,9 @@ class Page:
         self.parent.append(up)
         self.tag.append(tag)
         self.main.append(self.main[up] or (tag in MAIN_TAGS))
-        marked, named = _boilerplate(attrs) if attrs and tag not in ("html", "body") else (False, False)
+        marked, named = _boilerplate(attrs) if attrs and tag not in ("html", "body") and TELLING.search(attrs) else (False, False)
         self.bad.append(self.bad[up] or tag in BOILERPLATE_TAGS or (tag == "header" and not self.main[up]) or marked)
-        if named:
+        if named or tag in SOFT_TAGS:
             self._named.add(len(self.tag) - 1)
         self.hash.append(0)
         self._open.append(len(self.tag) - 1)
@@ -151,47 +168,51 @@ class Page:
             if inline and now not in INLINE:
                 return
 
+    def _removable(self, at: int) -> bool:
+        """Whether an element could be template."""
+        tag = self.tag[at]
+        return bool(self.hash[at]) and tag not in INLINE and (tag in CONTAINERS or not self.main[at]) and tag not in ("html", "body", "article", "main", "head", "title")
+
     def subtrees(self) -> set[int]:
         """Hashes of the subtrees that may be template."""
-        return {_signed(h) for h, tag, main, up in zip(self.hash, self.tag, self.main, self.parent) if h and tag not in INLINE and (tag in CONTAINERS or not main) and tag not in ("html", "body", "article", "main", "head", "title")}
-
-    def depends(self) -> bool:
-        """Whether a template subtree could change this page's text: not if all of them are outside its article or boilerplate anyway."""
-        has_main = any(m and not b for m, b in zip(self.main, self.bad))
-        return any(
-            h and not bad and tag not in INLINE and (tag in CONTAINERS if main else not has_main) and tag not in ("html", "body", "article", "main")
-            for h, tag, main, bad in zip(self.hash, self.tag, self.main, self.bad)
-        )
+        return {_signed(self.hash[at]) for at in range(1, len(self.tag)) if self._removable(at)}
 
     def longest(self) -> int:
         """Hash of the longest block outside boilerplate."""
-        return _signed(self._digest(max((self._text(b, frozenset()) for b in self.blocks), key=len, default="")))
+        return _signed(self._digest(max(map(self._text, self.blocks), key=len, default="")))
 
-    def _text(self, block: list[tuple[int, str]], gone: frozenset) -> str:
-        pieces = "".join(t for at, t in block if not self.bad[at] and at not in gone)
+    def _text(self, block: list[tuple[int, str]]) -> str:
+        pieces = "".join(t for at, t in block if not self.bad[at])
         if "&" in pieces:
             pieces = html_lib.unescape(pieces)
         return " ".join(pieces.split())
 
-    def text(self, template: frozenset = frozenset()) -> str:
-        gone: set[int] = set()
-        if template:
-            for at in range(1, len(self.tag)):
-                if self.parent[at] in gone or (self.hash[at] and _signed(self.hash[at]) in template and self.tag[at] not in INLINE and (self.tag[at] in CONTAINERS or not self.main[at])):
-                    gone.add(at)
+    def parts(self) -> list[tuple[str, list[int]]]:
+        """The page's text in page order: (blocks joined by line ends, hashes of the subtrees around them that may be template).
+
+        A block never crosses the border of an element that isn't inline, and inline ones are no template, so it goes or stays whole.
+        """
         has_main = any(m and not b for m, b in zip(self.main, self.bad))
-        out = []
+        out: list[tuple[list[str], list[int]]] = []
         for block in self.blocks:
             if has_main:
                 block = [x for x in block if self.main[x[0]]]
-            text = self._text(block, gone) if block else ""
-            if text and (has_main or not self._links(block, gone, text)):
-                out.append(text)
-        return "\n".join(out)
+            text = self._text(block) if block else ""
+            if text and (has_main or not self._links(block, text)):
+                around = [_signed(self.hash[at]) for at in self._around(block[0][0]) if self._removable(at)]
+                if out and out[-1][1] == around:
+                    out[-1][0].append(text)
+                else:
+                    out.append(([text], around))
+        return [("\n".join(texts), around) for texts, around in out]
+
+    def text(self) -> str:
+        """The text if nothing is template."""
+        return "\n".join(t for t, _ in self.parts())
 
-    def _links(self, block: list[tuple[int, str]], gone: set[int], text: str) -> bool:
+    def _links(self, block: list[tuple[int, str]], text: str) -> bool:
         """True for a block outside any article that is mostly links and no sentence."""
-        linked = sum(len(t) for at, t in block if at not in gone and self.tag[at] == "a")
+        linked = sum(len(t) for at, t in block if self.tag[at] == "a")
         return 2 * linked > len(text) and text[-1:] not in ".!?"
 
 
@@ -218,64 +239,66 @@ def host_of(url_col: str):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_percent: int = MIN_PERCENT) -> DataFrame:
+def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_percent: int = MIN_PERCENT, min_pages: int = MIN_PAGES, least_pages: int = LEAST_PAGES) -> DataFrame:
     """pages with `text` and `n_chars` for `html_col`, which goes; columns of these names are replaced, other columns stay.
 
     Null html is empty and gives empty text; null and repeated urls, ids and rows keep their rows. Pages without a host share one.
     """
     pages = drop_columns_like(pages, [c for c in ("text", "n_chars") if c != html_col])
-    keyed = pages.withColumn("__host", host_of(url_col)).withColumn("__html", F.coalesce(F.col(html_col), F.lit(""))).withColumn("__md5", F.md5(F.col("__html").cast("binary"))).drop(html_col)
+    keyed = pages.withColumn("__host", host_of(url_col)).withColumn("__html", F.coalesce(F.col(html_col), F.lit(""))).drop(html_col)
+    names = [c for c in keyed.columns if c not in ("__html", "__host")]
+    kept = [F.col(f"`{c}`") for c in names]
+    kind = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keyed.schema if f.name in names)
+    part = pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))]))
+
+    def parse(batches):
+        from xxhash import xxh3_64_intdigest
 
-    def subtrees(batches):
+        release_memo()
         for b in batches:
-            rows, hashes, longest = [], [], []
-            for i, text in enumerate(b.column(2).to_pylist()):
-                page = Page(text)
-                found = {0, *page.subtrees()}  # 0, which is no subtree's hash, stands for the page
-                rows += [i] * len(found)
-                hashes += found
-                longest += [page.longest()] * len(found)
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(hashes, pa.int64()), pa.array(longest, pa.int64())], ["host", "md5", "subtree", "longest"])
-
-    found = materialise(keyed.select("__host", "__md5", "__html").mapInArrow(subtrees, "host string, md5 string, subtree long, longest long"), "html-subtrees")
+            for i in range(0, b.num_rows, SUB_BATCH):
+                some = b.slice(i, SUB_BATCH)
+                pages, prints = [], []
+                for html in some.column(len(names) + 1).to_pylist():
+                    pages.append(Page(html))
+                    prints.append(_signed(xxh3_64_intdigest(html)))
+                parts = [[{"text": t, "around": a} for t, a in p.parts()] for p in pages]
+                # 0, which is no subtree's hash, stands for the page
+                found = [sorted({0, *p.subtrees()}) for p in pages]
+                yield pa.RecordBatch.from_arrays(
+                    [*(some.column(k) for k in range(len(names) + 1)), pa.array(prints, pa.int64()), pa.array([p.longest() for p in pages], pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(parts, part)],
+                    [*names, "__host", "__page", "__longest", "__subtrees", "__parts"])
+
+    parsed = keyed.select(*kept, "__host", "__html").mapInArrow(parse, kind + "__host string, __page long, __longest long, __subtrees array<long>, __parts array<struct<text:string,around:array<long>>>")
+    parsed = materialise(parsed, "html-parsed", compression="zstd")
     # longest is part of the first key and counts are added up in parts, so a large host's pages are counted by many tasks
-    counts = found.select("host", "subtree", "longest").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    found = parsed.select(F.col("__host").alias("host"), F.col("__longest").alias("longest"), F.explode("__subtrees").alias("subtree"))
+    counts = found.distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).filter((F.col("subtree") == 0) | (F.col("n") >= least_pages))
     counts = materialise(counts, "html-counts")
-    salt = F.pmod("subtree", F.lit(SALTS)).alias("salt")
-    large = counts.filter((F.col("subtree") == 0) & (F.col("n") * min_percent > 100 * min_pages)).select(F.col("host").alias("__h"), F.col("n").alias("pages"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("__s"))
-    often = counts.filter("subtree <> 0").select("*", salt).join(large, (F.col("host") == F.col("__h")) & (F.col("salt") == F.col("__s")), "left")
-    template = often.filter(F.col("pages").isNull() | (100 * F.col("n") >= min_percent * F.col("pages"))).select("host", "subtree")
-    gone = found.select("host", "md5", "subtree").distinct().join(template, ["host", "subtree"]).groupBy("host", "md5").agg(F.collect_list("subtree").alias("__gone"))
-    gone = gone.select(F.col("host").alias("__h"), F.col("md5").alias("__m"), "__gone")
-    names = [c for c in keyed.columns if c not in ("__html", "__host", "__md5")]
-    kind = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keyed.schema if f.name in names)
-    kept = [F.col(f"`{c}`") for c in names]
-
-    def split(dependent: bool):
-        """Rows whose pages depend on templates or don't, from the same parse in either case."""
-        def choose(batches):
-            for b in batches:
-                pages = [Page(h) for h in b.column(len(names) + 2).to_pylist()]
-                at = [i for i, p in enumerate(pages) if p.depends() == dependent]
-                part = b.take(pa.array(at, pa.int64()))
-                if dependent:
-                    yield part
-                else:
-                    texts = [pages[i].text() for i in at]
-                    yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*names, "text", "n_chars"])
-
-        return choose
-
-    keyed = keyed.select(*kept, "__host", "__md5", "__html")
+    template = _templates(counts, min_percent, min_pages)
+    gone = parsed.select(F.col("__host").alias("host"), F.col("__page").alias("page"), F.explode("__subtrees").alias("subtree")).distinct().join(template, ["host", "subtree"])
+    gone = gone.groupBy(F.col("host").alias("__h"), F.col("page").alias("__p")).agg(F.collect_list("subtree").alias("__gone"))
+    depends = F.exists("__parts", lambda x: F.size(x.around) > 0)
+    text = lambda parts: F.array_join(F.transform(parts, lambda x: x.text), "\n")
     # only pages that templates can change are shuffled
-    direct = keyed.mapInArrow(split(False), kind + "text string, n_chars long")
-    rest = keyed.mapInArrow(split(True), kind + "__host string, __md5 string, __html string")
-    joined = rest.join(gone, (F.col("__host") == F.col("__h")) & (F.col("__md5") == F.col("__m")), "left").select(*kept, "__html", "__gone")
+    direct = parsed.filter(~depends).select(*kept, text("__parts").alias("text"))
+    joined = parsed.filter(depends).select(*kept, "__host", "__page", "__parts").join(gone, (F.col("__host") == F.col("__h")) & (F.col("__page") == F.col("__p")), "left")
+    stays = F.filter("__parts", lambda x: ~F.coalesce(F.arrays_overlap(x.around, F.col("__gone")), F.lit(False)))
+    out = direct.unionByName(joined.select(*kept, text(stays).alias("text")))
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
 
-    def extract(batches):
-        for b in batches:
-            texts = [Page(h).text(frozenset(g or ())) for h, g in zip(b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*names, "text", "n_chars"])
 
-    return direct.unionByName(joined.mapInArrow(extract, kind + "text string, n_chars long"))
+def _templates(counts: DataFrame, min_percent: int, min_pages: int) -> DataFrame:
+    """(host, subtree) of what is template, from (host, subtree, n), subtree 0 counting the host's different pages.
+
+    A subtree needs min_percent of the pages; where that is less than min_pages, it needs min_pages, or more than half of the pages.
+    Hosts of so many pages that the share decides are joined in SALTS parts, as their subtrees may be many.
+    """
+    hosts = counts.filter("subtree = 0").select(F.col("host").alias("h"), F.col("n").alias("pages"))
+    trees = counts.filter("subtree <> 0")
+    share = 100 * F.col("n") >= min_percent * F.col("pages")
+    large = hosts.filter(F.col("pages") * min_percent > 100 * min_pages).withColumn("s", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    often = trees.filter(F.col("n") >= min_pages).join(large, (F.col("host") == F.col("h")) & (F.pmod("subtree", F.lit(SALTS)) == F.col("s")), "left").filter(F.col("pages").isNull() | share)
+    small = hosts.filter(F.col("pages") < 2 * min_pages)
+    mostly = trees.filter(F.col("n") < min_pages).join(small, F.col("host") == F.col("h")).filter((2 * F.col("n") > F.col("pages")) & share)
+    return often.select("host", "subtree").unionByName(mostly.select("host", "subtree"))

@@ -348,18 +348,59 @@ def test_html_template_is_a_share_of_the_host(spark):
     assert not any("by a few" in got[f"small-12-{k}-{i}"] for k in ("plain", "article") for i in range(6))
 
 
-def test_html_class_words_keep_the_article():
+@pytest.mark.parametrize("wrap", ["<div class='no-sidebar'>", "<div class='with-sidebar'>", "<div class='layout has-comments'>", "<div id='related'><div class='share'>", "<article class='post share-enabled'>", "<main id=comments>", "<div class='banner'><article class='promo'>",
+                                  "<form action='/x'>", "<form class=newsletter><div>", "<div class='page no-sidebar'>", "<div class='post-12 comments-open'>", "<div data-hidden='false'>", "<div data-class=ad title='a hidden gem'>"])
+def test_html_wrappers_keep_the_article(wrap):
     from civicledger.llm.html_extraction import Page
 
-    kept = ["<div class='no-sidebar'>", "<div class='with-sidebar'>", "<div class='layout has-comments'>", "<div id='related'><div class='share'>", "<article class='post share-enabled'>", "<main id=comments>", "<div class='banner'><article class='promo'>"]
-    for wrap in kept:
-        inner = "<p>The text.</p>" if "article" in wrap or "main" in wrap else "<article><p>The text.</p></article>"
-        assert Page(f"<body>{wrap}{inner}").text() == "The text.", wrap
-        assert Page(f"<body>{wrap}{inner}<div class='ad'><p>buy</p></div>").text() == "The text.", wrap
-    assert Page("<body><div class='no-sidebar'><p>The text.</p></div>").text() == "The text."
-    for gone in ("class='ad'", "class='box sidebar'", "class='cookie-banner ad-1'", "id=comments", "class=AD", "role=navigation", "hidden"):
+    inner = "<p>The text.</p>" if "article" in wrap or "main" in wrap else "<article><p>The text.</p></article>"
+    assert Page(f"<body>{wrap}{inner}").text() == "The text."
+    assert Page(f"<body>{wrap}{inner}<div class='ad'><p>buy</p></div>").text() == "The text."
+
+
+def test_html_attributes():
+    from civicledger.llm.html_extraction import Page
+
+    assert Page('<p>See <a href="/hidden-valley">the valley</a> now.</p>').text() == "See the valley now."
+    assert Page("<p>See <a href=/x?hidden title=hidden>the valley</a> now.</p>").text() == "See the valley now."
+    for kept in ('title="a hidden gem"', "data-hidden='false'", "aria-hidden=false", "data-id=ad", "style='color:red'", "class='no-sidebar'"):
+        assert Page(f"<body><div {kept}><p>Some words.</p></div><p>The text.</p>").text() == "Some words.\nThe text.", kept
+    for gone in ("class='ad'", "class='box sidebar'", "class='cookie-banner ad-1'", "id=comments", "class=AD", "role=navigation", "hidden", "x=1 hidden", "HIDDEN=''", "aria-hidden = \"true\"", "style='display: none'"):
         assert Page(f"<body><div {gone}><p>Some words.</p></div><p>The text.</p>").text() == "The text.", gone
     assert Page("<article role=navigation><p>Some words.</p></article>").text() == ""
+    # readers' comments and teasers are articles too, but not the page's
+    assert Page("<article><p>The text.</p><section class=comments><article class=comment><p>First!</p></article></section></article><div class=related><article><p>More</p></article></div>").text() == "The text."
+    assert Page("<form><input><p>Name</p></form><p>The text.</p>").text() == "The text."
+
+
+def test_html_templates_against_brute_force(spark):
+    """Random pages of several hosts against the rule in plain Python over the same parse."""
+    from civicledger.llm.html_extraction import Page, extract_main_text
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for host, n in (("a", 3), ("b", 4), ("c", 9), ("d", 60), ("e", 1)):
+        for i in range(n):
+            shared = "".join(f"<div><p>shared part {k} of {host}, in some words</p></div>" for k in range(6) if rng.random() < (0.04, 0.1, 0.3, 0.6, 0.9, 1.0)[k])
+            own = f"<p>Text of page {i} of {host}, which is longer than any of the shared parts.</p>"
+            rows.append((len(rows), f"http://{host}/{i}", f"<body>{shared}{own}{'<article>' + own + shared + '</article>' if i % 7 == 3 else ''}"))
+    rows.append((len(rows), "http://d/0", rows[7][2]))  # a copy
+    rows += [(len(rows), None, "x " * 200_000), (len(rows) + 1, "http://a/", None)]
+    pages = [(u.split("/")[2] if u else "", Page(h or "")) for _, u, h in rows]
+    seen = defaultdict(set)
+    for host, p in pages:
+        for t in {0, *p.subtrees()}:
+            seen[host, t].add(p.longest())
+    want = []
+    for host, p in pages:
+        total = len(seen[host, 0])
+        gone = {t for t in p.subtrees() if 100 * len(seen[host, t]) >= 10 * total and (len(seen[host, t]) >= 5 or len(seen[host, t]) >= 3 and 2 * len(seen[host, t]) > total)}
+        want.append("\n".join(t for t, around in p.parts() if not gone.intersection(around)))
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = extract_main_text(table).collect()
+    assert sorted((r.page_id, r.text, r.n_chars) for r in got) == [(i, t, len(t)) for i, t in enumerate(want)]
+    assert any(t != p.text() for t, (_, p) in zip(want, pages))
+    assert extract_main_text(table.limit(0)).count() == 0
 
 
 def test_pipeline(spark):
