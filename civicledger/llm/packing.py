@@ -1,7 +1,7 @@
 """Best-fit packing of documents into sequences by bin completion.
 
 Lengths are whole numbers up to the capacity, so what a packing needs to know of any corpus is a
-histogram of at most `capacity` counts: Spark builds it, the branch-and-bound plans on it, and Spark
+histogram of at most `capacity` counts: Spark builds it, branch and bound plans on it, and Spark
 deals the pieces to the plan's slots by their rank among pieces of equal length. Nothing that grows
 with the corpus passes the driver.
 """
@@ -21,8 +21,10 @@ from civicledger.llm.tokens import ids_of
 CAPACITY = 4096
 #: The id that ends every document.
 END_ID = 1
-#: Nodes that one completion may search before its best filling so far is taken.
-NODES = 600
+#: Nodes of a bounded search; nodes=None searches to the end.
+NODES = 20_000
+#: Up to so many different lengths the lower bound looks at all its cases.
+DETAILED = 1_500
 #: Pieces for each group that is ranked by itself.
 RANKED = 100_000
 SUB_BATCH = 256
@@ -54,11 +56,17 @@ def tokenised_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__text")).mapInArrow(cut, kind)
 
 
+def numbered(pieces: DataFrame) -> DataFrame:
+    """pieces with `row`, a number of their own each, to be written before they are packed."""
+    return pieces.withColumn("row", F.monotonically_increasing_id())
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, key_cols: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """pieces (any columns, among them `length` from 1 to capacity) with sequence_id and offset.
 
     Pieces of one length are interchangeable, so ties need no rule; columns called sequence_id or
-    offset are replaced. `pieces` is read twice and should be a written table.
+    offset are replaced. `pieces` is read twice and should be a written table. Pieces are dealt and
+    ranked by key_cols: where many rows may share a key (null ids), give a row number (`numbered`).
     """
     from civicledger.llm.common import drop_columns_like
 
@@ -111,24 +119,46 @@ def slot_table(patterns: list[tuple[dict[int, int], int]]) -> dict[int, tuple[li
     return table
 
 
-def plan(hist: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+def plan(hist: dict[int, int], capacity: int, nodes: int | None = NODES) -> list[tuple[dict[int, int], int]]:
     """Fillings {length: count} with how many sequences take each; few sequences in all.
 
-    Best fit decreasing is the first incumbent. Bin completion then fills sequences around the
-    largest piece left, with several ways to break ties; it stops when its waste exceeds what beats
-    the incumbent, or an incumbent reaches ceil(sum / capacity), which nothing can beat.
+    Best fit decreasing is the first incumbent. While it is above the lower bound, bin completion
+    searches for a packing with one sequence less, which becomes the incumbent. With nodes=None the
+    search is exhaustive and the result a proven optimum; a bounded one ends with the incumbent after
+    so many nodes (the problem is NP-hard), which `lower_bound` says the distance of.
     """
     hist = {k: v for k, v in hist.items() if v}
-    least = -(-sum(k * v for k, v in hist.items()) // capacity)
     best = best_fit_decreasing(hist, capacity)
-    for spare in (0, 1, 2):
-        count = sum(t for _, t in best)
-        if count <= least:
+    least = lower_bound(hist, capacity)
+    while (count := sum(t for _, t in best)) > least:
+        found = complete(hist, capacity, count - 1, nodes)
+        if found is None:
+            break
+        best = found
+    return best
+
+
+def lower_bound(hist: dict[int, int], capacity: int) -> int:
+    """Sequences that any packing takes: Martello and Toth's L2, the sum's bound among its cases.
+
+    For each k, pieces longer than capacity - k share a sequence with none of at least k; those of over half the capacity
+    share one with none of each other; what pieces from k to half the capacity exceed their room by takes more.
+    """
+    lengths = sorted(hist)
+    best = -(-sum(k * v for k, v in hist.items()) // capacity)
+    for k in [0, *(x for x in lengths if 2 * x <= capacity)]:
+        long = wide = wide_sum = small = 0
+        for x in lengths:
+            if x > capacity - k:
+                long += hist[x]
+            elif 2 * x > capacity:
+                wide += hist[x]
+                wide_sum += x * hist[x]
+            elif x >= k:
+                small += x * hist[x]
+        best = max(best, long + wide + max(0, -(-(small - (wide * capacity - wide_sum)) // capacity)))
+        if len(lengths) > DETAILED:
             break
-        allowed = (count - 1) * capacity - sum(k * v for k, v in hist.items())
-        found = complete(hist, capacity, allowed, spare)
-        if found is not None and sum(t for _, t in found) < count:
-            best = found
     return best
 
 
@@ -157,74 +187,142 @@ def best_fit_decreasing(hist: dict[int, int], capacity: int) -> list[tuple[dict[
     return [p for g in groups.values() for p in g]
 
 
-def complete(hist: dict[int, int], capacity: int, allowed: int, spare: int) -> list[tuple[dict[int, int], int]] | None:
-    """Bin completion over the histogram; None once the waste exceeds `allowed`. spare: how many equally good fillings to pass over."""
-    left = dict(hist)
-    lengths = sorted(left)
-    out: list[tuple[dict[int, int], int]] = []
-    waste = 0
-    while lengths:
-        largest = lengths[-1]
-        left[largest] -= 1
-        filling = fill(left, lengths, capacity - largest, spare)
-        left[largest] += 1
-        pattern = dict(filling)
-        pattern[largest] = pattern.get(largest, 0) + 1
-        times = min(left[k] // m for k, m in pattern.items())
-        waste += times * (capacity - sum(k * m for k, m in pattern.items()))
-        if waste > allowed:
-            return None
-        out.append((pattern, times))
-        for k, m in pattern.items():
-            left[k] -= m * times
-        lengths = [k for k in lengths if left[k]]
-    return out
-
-
-def fill(left: dict[int, int], lengths: list[int], room: int, spare: int) -> dict[int, int]:
-    """The best undominated filling of `room`: least waste, then larger pieces first.
-
-    Depth-first from the largest piece that fits. A filling to which another piece fits, or one that
-    swaps a piece for a smaller one at equal waste, is dominated and not visited: pieces are taken in
-    falling order and only an improvement of the waste replaces the incumbent. A branch is cut when
-    all that could still be added leaves more waste than the incumbent.
+class Completion:
+    """Bin completion, depth first: is there a packing into `bins` sequences?
+
+    A state is the pieces that are left and the waste that may still be made (bins * capacity less the sum,
+    less what was wasted). Each node takes the largest piece left and branches over the undominated fillings around it,
+    least waste first, larger pieces first. States that have failed are remembered, so the order of equal choices
+    isn't searched twice.
     """
-    smallest = lengths[0]
-    best: list = [room + 1, {}]
-    budget = [NODES]
-    passed = [spare]
-
-    def go(hi: int, room: int, taken: dict[int, int]) -> bool:
-        budget[0] -= 1
-        if room < best[0]:
-            best[0], best[1] = room, dict(taken)
-        if room == 0:
-            passed[0] -= 1
-            if passed[0] < 0:
-                best[1] = dict(taken)
-                return True
-            return False
-        if budget[0] <= 0:
-            return True
-        i = bisect_right(lengths, min(hi, room)) - 1
-        while i >= 0:
-            k = lengths[i]
-            have = left[k] - taken.get(k, 0)
-            if have > 0:
-                # waste bound: a filling of pieces of at most k, as many as there are, leaves at least room mod 1 = 0; with one kind left it is exact
-                if k == smallest and room - min(have, room // k) * k >= best[0]:
-                    return False
-                taken[k] = taken.get(k, 0) + 1
-                if go(k, room - k, taken):
-                    return True
-                taken[k] -= 1
-                if not taken[k]:
-                    del taken[k]
-            i -= 1
+
+    def __init__(self, capacity: int, nodes: int | None, descending: bool):
+        self.capacity, self.nodes, self.descending = capacity, nodes, descending
+        self.failed: set[tuple] = set()
+
+    def fillings(self, lengths: list[int], left: list[int], room: int, slack: int):
+        """Undominated fillings of the room, as lists of (index, count), with at most `slack` of waste; lengths are in falling order."""
+        n = len(lengths)
+        first = next((i for i in range(n) if lengths[i] <= room), n)
+        reach = [1] * (n + 1)  # bit s of reach[i]: pieces from i on can fill exactly s
+        mask = (2 << room) - 1
+        for i in range(n - 1, first - 1, -1):
+            bits, step, c = reach[i + 1], 1, min(left[i], room // lengths[i])
+            while c:
+                k = min(step, c)
+                bits |= bits << (lengths[i] * k)
+                c -= k
+                step *= 2
+            reach[i] = bits & mask
+
+        def exact(i: int, target: int):
+            if not target:
+                yield []
+                return
+            places = [j for j in range(i, n) if lengths[j] <= target and left[j] and reach[j] >> target & 1]
+            for j in places if self.descending else reversed(places):
+                for k in range(min(left[j], target // lengths[j]), 0, -1):
+                    if reach[j + 1] >> (target - k * lengths[j]) & 1:
+                        for rest in exact(j + 1, target - k * lengths[j]):
+                            yield [(j, k), *rest]
+
+        for waste in range(min(slack, room) + 1):
+            if first < n and reach[first] >> (room - waste) & 1 or room == waste:
+                for filling in exact(first, room - waste):
+                    if not self.dominated(filling, lengths, left, waste):
+                        yield filling, waste
+
+    def dominated(self, filling: list[tuple[int, int]], lengths: list[int], left: list[int], waste: int) -> bool:
+        """Whether a piece left out could take the place of none, one or two of the filling's, leaving less waste, or as little with fewer pieces.
+
+        Whatever the filling leaves to others, the other filling leaves the same or smaller pieces (Martello and Toth).
+        """
+        used = dict(filling)
+        sums = {(0, 0)}
+        singles = [lengths[i] for i, _ in filling]
+        sums.update((x, 1) for x in singles)
+        sums.update((x + y, 2) for a, x in enumerate(singles) for b, y in enumerate(singles) if a < b or filling[a][1] > 1 and a == b)
+        for i, length in enumerate(lengths):
+            if left[i] - used.get(i, 0) > 0:
+                for x, m in sums:
+                    if x < length <= x + waste or m == 2 and length == x:
+                        return True
         return False
 
-    if room >= smallest:
-        go(room, room, {})
-    elif room >= 0:
-        best[1] = {}
-    return best[1]
+    def hopeless(self, lengths: list[int], left: list[int], slack: int) -> bool:
+        """True if some piece can't be completed without more waste than may be made."""
+        if slack >= lengths[-1]:
+            return False
+        bits = 1
+        mask = (2 << self.capacity) - 1
+        for length, c in zip(lengths, left):
+            step = 1
+            while c:
+                k = min(step, c)
+                bits |= bits << (length * k) & mask
+                c -= k
+                step *= 2
+        window = (2 << slack) - 1
+        return any(not bits >> max(0, self.capacity - length - slack) & window for length in lengths if self.capacity - length > slack)
+
+    def search(self, hist: dict[int, int], bins: int) -> tuple[list | None, bool]:
+        """(fillings with their numbers of sequences, or None; whether the search came to its end)."""
+        slack = bins * self.capacity - sum(k * v for k, v in hist.items())
+        if slack < 0:
+            return None, True
+        state = tuple(sorted(hist.items(), reverse=True))
+        path: list[tuple[dict[int, int], int]] = []
+        stack = [(state, slack, self.branches(state, slack))]
+        visited = 0
+        while stack:
+            state, slack, options = stack[-1]
+            step = next(options, None)
+            if step is None:
+                self.failed.add((state, slack))
+                stack.pop()
+                if path:
+                    path.pop()
+                continue
+            pattern, times, after, slack = step
+            if (after, slack) in self.failed:
+                continue
+            path.append((pattern, times))
+            if not after:
+                return path, True
+            visited += 1
+            if self.nodes is not None and visited > self.nodes:
+                return None, False
+            stack.append((after, slack, self.branches(after, slack)))
+        return None, True
+
+    def branches(self, state: tuple, slack: int):
+        """(pattern, sequences, state after, waste left): each filling as often as it goes, then once."""
+        lengths, left = [k for k, _ in state], [v for _, v in state]
+        if self.hopeless(lengths, left, slack):
+            return
+        largest = lengths[0]
+        left[0] -= 1
+        for filling, waste in self.fillings(lengths, left, self.capacity - largest, slack):
+            need = [0] * len(lengths)
+            need[0] = 1
+            for i, k in filling:
+                need[i] += k
+            most = min((left[i] + (i == 0)) // k for i, k in enumerate(need) if k)
+            if waste:
+                most = min(most, slack // waste)
+            pattern = {lengths[i]: k for i, k in enumerate(need) if k}
+            for times in (most, 1) if most > 1 else (1,):
+                after = tuple((lengths[i], left[i] + (i == 0) - times * k) for i, k in enumerate(need) if left[i] + (i == 0) > times * k)
+                yield pattern, times, after, slack - times * waste
+
+
+def complete(hist: dict[int, int], capacity: int, bins: int, nodes: int | None = NODES) -> list[tuple[dict[int, int], int]] | None:
+    """A packing into `bins` sequences, or None if there is none or none was found within the nodes.
+
+    A bounded search is made twice, larger and smaller pieces first among fillings of equal waste.
+    """
+    for descending in (True, False) if nodes is not None else (True,):
+        found, ended = Completion(capacity, nodes, descending).search(hist, bins)
+        if ended:
+            return found
+    return None

@@ -52,10 +52,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from civicledger.llm.packing import pack, tokenised_pieces
+    from civicledger.llm.packing import numbered, pack, tokenised_pieces
 
-    pieces = materialise(tokenised_pieces(_table(spark, sf_dir, "documents")).drop("ids"), "pieces")
-    return pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    pieces = materialise(numbered(tokenised_pieces(_table(spark, sf_dir, "documents")).drop("ids")), "pieces")
+    return pack(pieces, key_cols=("row",)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

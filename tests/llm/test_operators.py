@@ -201,6 +201,76 @@ def test_packing(docs, none):
     assert pack(tokenised_pieces(none)).count() == 0
 
 
+def test_packing_ids_against_the_library(docs):
+    import zlib
+
+    from civicledger.llm.packing import numbered, pack, tokenised_pieces
+    from civicledger.llm.tokens import load
+
+    tok = load("word_bpe_49k.json")[0]
+    want = []
+    for doc_id, text in (r[:2] for r in ROWS):
+        ids = np.array([*tok.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        want += [(doc_id, k // 4096, k, len(ids[k : k + 4096]), zlib.crc32(ids[k : k + 4096].tobytes())) for k in range(0, len(ids), 4096)]
+    got = [(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in pack(numbered(tokenised_pieces(docs)), key_cols=("row",)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and max(r[1] for r in got) > 2
+
+
+def _held(plan, hist, capacity):
+    """The number of sequences of a plan that holds each piece once."""
+    left = defaultdict(int, hist)
+    for pattern, times in plan:
+        assert times > 0 and sum(k * v for k, v in pattern.items()) <= capacity
+        for k, v in pattern.items():
+            left[k] -= v * times
+    assert not any(left.values())
+    return sum(t for _, t in plan)
+
+
+def test_packing_finds_optima():
+    from collections import Counter
+
+    from civicledger.llm import packing as P
+
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 5, 10, 20):  # triples that fill their sequences
+        for _ in range(4):
+            triples = []
+            while len(triples) < n:
+                a, b = sorted(rng.integers(1, 4095, 2).tolist())
+                if 0 < a < b:
+                    triples.append((a, b - a, 4096 - b))
+            hist = Counter(x for t in triples for x in t)
+            assert _held(P.plan(hist, 4096), hist, 4096) == n
+
+    def fewest(items, capacity):
+        best = [len(items)]
+
+        def put(i, rooms):
+            if len(rooms) >= best[0]:
+                return
+            if i == len(items):
+                best[0] = len(rooms)
+                return
+            for r in sorted(set(rooms)):
+                if r >= items[i]:
+                    rest = list(rooms)
+                    rest.remove(r)
+                    put(i + 1, [*rest, r - items[i]])
+            put(i + 1, [*rooms, capacity - items[i]])
+
+        put(0, [])
+        return best[0]
+
+    for _ in range(150):  # small cases of any kind, searched to the end
+        capacity = int(rng.integers(8, 40))
+        items = sorted(rng.integers(1, capacity + 1, int(rng.integers(1, 10))).tolist(), reverse=True)
+        hist, want = Counter(items), fewest(items, capacity)
+        assert P.lower_bound(hist, capacity) <= want == _held(P.plan(hist, capacity, nodes=None), hist, capacity) == _held(P.plan(hist, capacity), hist, capacity)
+    hist = Counter(np.clip(rng.exponential(700, 200_000).astype(int) + 1, 1, 4096).tolist())  # a large table
+    assert _held(P.plan(hist, 4096), hist, 4096) == P.lower_bound(hist, 4096)
+
+
 def test_line_store_is_reversible(spark, docs, none):
     from civicledger.llm.line_dedup import CuckooFilter, LineStore, dedup_lines
 
