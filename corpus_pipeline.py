@@ -16,7 +16,7 @@ from civicledger.llm.common import materialise, scratch_dir
 from civicledger.llm.decontamination import find_contamination
 from civicledger.llm.jaccard_join import drop_near_copies
 from civicledger.llm.line_dedup import dedup_lines
-from civicledger.llm.packing import pack, tokenised_pieces
+from civicledger.llm.packing import numbered, pack, tokenised_pieces
 from civicledger.llm.quality_classifier import classify
 
 
@@ -32,7 +32,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document holds go; a document stays, even if it loses all of them."""
-    out = dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    out = dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
@@ -48,8 +50,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences: a row per piece."""
-    pieces = materialise(tokenised_pieces(docs).drop("ids"), "pieces")
-    return pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    pieces = materialise(numbered(tokenised_pieces(docs).drop("ids")), "pieces")
+    return pack(pieces, key_cols=("row",)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 STAGES = [
@@ -60,7 +62,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: The classifier's fit, latent retrieval and packing have no SQL form; tests hold the stages against brute force.
+#: The classifier's fit, latent retrieval and packing have no SQL form; tests hold each stage of a run against plain Python.
 ORACLE_SQL = None
 
 
