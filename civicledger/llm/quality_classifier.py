@@ -5,7 +5,7 @@ gives each document evidence (log odds beyond the prior's) of low quality and of
 the resulting probabilities over all documents give each host and each path of a host a rate; sparse
 paths shrink to their host and sparse hosts to the global rate, by strengths that the method of
 moments estimates from the grouped sums themselves. A document's evidence then meets its path's
-posterior rate instead of one global prior.
+posterior rate, its own share left out, instead of one global prior.
 
 Evidence is computed once in a map-only pass. Sites are aggregated with partial sums, so a host with
 a third of all rows is a few rows after the map side.
@@ -27,8 +27,8 @@ from civicledger.llm.common import materialise, release_memo
 MAX_LABELLED = 20_000
 MAX_FEATURES = 2_000
 #: A feature must stand in so many labelled documents, and differ between classes by so many standard errors.
-MIN_SUPPORT = 8
-MIN_Z = 5.0
+MIN_SUPPORT = 5
+MIN_Z = 4.0
 CLASSES = ("low_quality", "toxic")
 THRESHOLD = 0.5
 
@@ -69,7 +69,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_labe
     known = labels.select(F.col(id_col).alias("__id"), (F.col("quality") == 0).cast("int").alias("low"), (F.col("toxic") == 1).cast("int").alias("toxic")).dropna()
     known = known.groupBy("__id").agg(F.max("low").alias("low"), F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("__id"), "__id").limit(max_labelled)  # bounded, so it may be broadcast
-    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), "__id").select("text", "low", "toxic")
+    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), "__id")
+    # a labelled id may have any number of rows: its text of smallest hash stands for it, so the fit has as many rows as labels
+    rows = rows.groupBy("__id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("low").alias("low"), F.first("toxic").alias("toxic"))
+    rows = materialise(rows.select("text", "low", "toxic"), "labelled")
 
     def count(batches):
         release_memo()
@@ -144,8 +147,11 @@ def logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def site_posteriors(scored: DataFrame) -> DataFrame:
-    """__host, __path, site_low_quality, site_toxic from rows with __host, __path and a probability p_<class> each."""
+def site_posteriors(scored: DataFrame) -> tuple[DataFrame, dict[str, tuple[float, float, float]]]:
+    """Sums by path from rows with __host, __path and a probability p_<class> each, and {class: (rate, strength of hosts, of paths)}.
+
+    A row per path: __host, __path, n and s_<class> of the path, hn and h_<class> of its host.
+    """
     paths = materialise(scored.groupBy("__host", "__path").agg(F.count("*").alias("n"), *(F.sum(f"p_{c}").alias(f"s_{c}") for c in CLASSES)), "site-paths")
     hosts = paths.groupBy("__host").agg(F.sum("n").alias("hn"), *(F.sum(f"s_{c}").alias(f"h_{c}") for c in CLASSES))
     total = hosts.agg(F.sum("hn").alias("n"), F.count("*").alias("k"), *(F.sum(f"h_{c}").alias(c) for c in CLASSES)).first()
@@ -161,18 +167,20 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
         between = max(1e-6, ((squares or 0.0) - noise * max(0, groups - 1)) / max(1, n))
         return min(1e5, max(1.0, noise / between))
 
-    out = joined
-    for c in CLASSES:
-        k_host, k_path = strength(c, spread[c], total["k"] or 0), strength(c, inner[c], inner["k"] or 0)
-        host = (F.col(f"h_{c}") + F.lit(k_host * rates[c])) / (F.col("hn") + F.lit(k_host))
-        out = out.withColumn(f"site_{c}", (F.col(f"s_{c}") + F.lit(k_path) * host) / (F.col("n") + F.lit(k_path)))
-    return out.select("__host", "__path", *(f"site_{c}" for c in CLASSES))
+    return joined, {c: (rates[c], strength(c, spread[c], total["k"] or 0), strength(c, inner[c], inner["k"] or 0)) for c in CLASSES}
+
+
+def site_rate(c: str, rate: float, k_host: float, k_path: float):
+    """A document's site rate of a class, its own probability alone_<class> left out of the sums: path shrunk to host, host to all."""
+    own = F.col(f"alone_{c}")
+    host = (F.col(f"h_{c}") - own + F.lit(k_host * rate)) / (F.col("hn") - 1 + F.lit(k_host))
+    return (F.col(f"s_{c}") - own + F.lit(k_path) * host) / (F.col("n") - 1 + F.lit(k_path))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", max_labelled: int = MAX_LABELLED, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: id_col, host, path, evidence_<class>, site_<class>, p_<class> for low_quality and toxic, kept.
 
-    kept: both probabilities are below the threshold. A null text is empty and judged by its surface
+    site_<class> is the rate of the document's site without the document itself, whose evidence counts once. kept: both probabilities are below the threshold. A null text is empty and judged by its surface
     (no words) and site; null hosts and paths are sites named by an empty string; null and repeated ids
     keep their rows. Without labels the evidence is 0 and everything is kept.
     """
@@ -202,9 +210,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     alone = scored
     for c, p in zip(CLASSES, prior):
         alone = alone.withColumn(f"p_{c}", sigmoid(F.col(f"evidence_{c}") + F.lit(p)))
-    sites = site_posteriors(alone)
-    out = scored.join(sites, ["__host", "__path"])
+    sites, shrinkage = site_posteriors(alone)
+    out = alone.withColumnsRenamed({f"p_{c}": f"alone_{c}" for c in CLASSES}).join(sites, ["__host", "__path"])
     for c in CLASSES:
+        out = out.withColumn(f"site_{c}", site_rate(c, *shrinkage[c]))
         p = F.least(F.greatest(F.col(f"site_{c}"), F.lit(1e-6)), F.lit(1 - 1e-6))
         out = out.withColumn(f"p_{c}", sigmoid(F.col(f"evidence_{c}") + F.log(p / (1 - p))))
     kept = (F.col("p_low_quality") < threshold) & (F.col("p_toxic") < threshold)
