@@ -1,6 +1,6 @@
 """Licence detection by a positional rare-token index.
 
-The templates' words are indexed with their positions. A first pass counts in how many documents each
+The templates (licence texts, notices, tags) are indexed by their words with positions. A first pass counts in how many documents each
 of these words stands (a bounded vocabulary, so Spark adds up a few hundred counts). A second pass
 takes from each text its licence words of highest inverse document frequency, for each template so many
 that no alignment can lack them all, looks their postings up, and intersects them by relative position: occurrences that agree on where a template begins
@@ -13,35 +13,86 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from civicledger.llm.common import release_memo
+
 #: Phrases that give a label wherever they stand.
 BASE_PHRASES = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
 
-#: Licence notices, one template a row: (label, text, mandatory key phrases).
-TEMPLATES = (
+#: Licence texts and notices, one template a row: (label, text, mandatory key phrases).
+TEXTS = (
     ("mit", "released under the mit license", ("mit license",)),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+     "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+     "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+     ("permission is hereby granted free of charge", "shall be included in all copies or substantial portions")),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ("permission is hereby granted free of charge", "without restriction")),
     ("apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2 0",)),
     ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at", ("may not use this file except in compliance with the license",)),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+     "see the license for the specific language governing permissions and limitations under the license", ("distributed on an as is basis without warranties or conditions of any kind", "governing permissions and limitations under the license")),
     ("gpl-2.0", "this work is licensed under the gnu general public license version 2", ("general public license version 2",)),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3", ("general public license version 3",)),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ("terms of the gnu general public license",)),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+     ("in the hope that it will be useful", "see the gnu general public license for more details")),
     ("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ("gnu lesser general public license",)),
     ("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", ("gnu affero general public license",)),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms", "following conditions are met")),
+    ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+     "1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+     "2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+     "3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+     ("redistribution and use in source and binary forms", "may be used to endorse or promote products derived from this software")),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+     ("names of its contributors may be used to endorse or promote products",)),
+    ("bsd-3-clause", "licensed under the bsd 3 clause license", ("bsd 3 clause",)),
+    ("bsd-2-clause", "licensed under the bsd 2 clause license", ("bsd 2 clause",)),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+     ("distribute this software for any purpose with or without fee",)),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("distribute this software for any purpose with or without fee",)),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+     "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+     ("to alter it and redistribute it freely subject to the following restrictions",)),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", ("mozilla public license v 2 0",)),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license v 2 0",)),
+    ("mpl-2.0", "licensed under the mozilla public license version 2 0", ("mozilla public license version 2 0",)),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ("eclipse public license 2 0",)),
+    ("epl-2.0", "licensed under the eclipse public license version 2 0", ("eclipse public license version 2 0",)),
+    ("epl-1.0", "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0", ("eclipse public license v1 0",)),
+    ("bsl-1.0", "distributed under the boost software license version 1 0", ("boost software license version 1 0",)),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", ("unencumbered software released into the public domain",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software released into the public domain",)),
+    ("wtfpl", "do what the fuck you want to public license", ("what the fuck you want to public license",)),
     ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright and related or neighboring rights",)),
-    ("cc-by-4.0", "licensed under cc by 4 0", ("cc by 4 0",)),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ("cc by sa 4 0",)),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("cc by nc 4 0",)),
-    ("cc-by-nc-sa-4.0", "licensed under cc by nc sa 4 0", ("cc by nc sa 4 0",)),
-    ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
+    ("cc0-1.0", "dedicated to the public domain under cc0 1 0 universal", ("cc0 1 0 universal",)),
+)
+#: Short names as files state them in a tag, and the two spellings of a Creative Commons licence's terms.
+TAGS = (
+    "MIT", "Apache-2.0", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later",
+    "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "MPL-2.0", "EPL-1.0", "EPL-2.0", "BSL-1.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "0BSD", "EUPL-1.2", "Artistic-2.0",
+)
+COMMONS = (
+    ("by", "attribution"), ("by sa", "attribution sharealike"), ("by nc", "attribution noncommercial"), ("by nd", "attribution noderivatives"), ("by nc sa", "attribution noncommercial sharealike"), ("by nc nd", "attribution noncommercial noderivatives"),
 )
+VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
+
+
+def _tag(short: str) -> tuple[str, str, tuple[str, ...]]:
+    words = " ".join(short.lower().replace("-", " ").replace(".", " ").split())
+    return short.lower(), f"spdx license identifier {words}", (f"license identifier {words}",)
+
+
+def _commons(terms: str, name: str, version: str) -> list[tuple[str, str, tuple[str, ...]]]:
+    label = f"cc-{terms.replace(' ', '-')}-{version.replace(' ', '.')}"
+    return [(label, f"licensed under cc {terms} {version}", (f"cc {terms} {version}",)), (label, f"licensed under a creative commons {name} {version} international license", (f"creative commons {name} {version}",))]
+
+
+TEMPLATES = (*TEXTS, *map(_tag, TAGS), *(t for terms, name in COMMONS for version in VERSIONS for t in _commons(terms, name, version)))
 #: Share of a template's words that must stand at their places.
 MIN_SCORE = 0.8
 #: Places of a template on which looked-up words must agree before all its words are compared.
@@ -65,16 +116,23 @@ class Index:
         self.idf = {w: math.log((n_docs + 1) / (df.get(w, 0) + 1)) + 1 for w in self.words}
         self.templates = [(label, text.encode().split(), [k.encode().split() for k in keys]) for label, text, keys in templates]
         self.order = [sorted(((w, at) for at, w in enumerate(words)), key=lambda x: (-self.idf[x[0]], x)) for _, words, _ in self.templates]
-        self.need = [math.ceil(MIN_SCORE * len(words) - 1e-9) for _, words, _ in self.templates]
+        self.need = np.array([math.ceil(MIN_SCORE * len(words) - 1e-9) for _, words, _ in self.templates])
+        # places of each template that hold each word
+        self.row = {w: i for i, w in enumerate(sorted(self.words))}
+        self.held = np.zeros((len(self.row), len(self.templates)), np.int16)
+        for t, (_, words, _) in enumerate(self.templates):
+            for w in words:
+                self.held[self.row[w], t] += 1
 
     def _postings(self, present: set[bytes]) -> dict[bytes, list[tuple[int, int]]]:
         """Places of templates by the text's rarest words: an alignment that may lack k places holds SUPPORT of any k + SUPPORT, absent ones among these."""
         out: dict[bytes, list[tuple[int, int]]] = {}
-        for t, order in enumerate(self.order):
-            here = [x for x in order if x[0] in present]
-            if len(here) >= self.need[t]:
-                for w, place in here[: len(here) - self.need[t] + min(SUPPORT, self.need[t])]:
-                    out.setdefault(w, []).append((t, place))
+        places = self.held[[self.row[w] for w in present]].sum(axis=0)
+        for t in np.flatnonzero(places >= self.need).tolist():
+            need = int(self.need[t])
+            here = [x for x in self.order[t] if x[0] in present]
+            for w, place in here[: len(here) - need + min(SUPPORT, need)]:
+                out.setdefault(w, []).append((t, place))
         return out
 
     def scan(self, words: list[bytes], present: set[bytes]) -> tuple[set[str], float]:
@@ -155,6 +213,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = {label: phrase.encode().split() for label, phrase in BASE_PHRASES.items()}
 
     def scan(batches):
+        release_memo()
         for b in batches:
             rows: list[tuple] = []
             for text in b.column(1).to_pylist():
