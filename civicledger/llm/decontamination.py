@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicledger.llm.common import release_memo
+from civicledger.llm.common import materialise, release_memo
 from civicledger.llm.license_scans import words_of
 
 #: Items whose index is held in memory at once; more are taken in further blocks.
@@ -50,9 +50,11 @@ POWER = 2
 MIN_COSINE = 0.5
 #: Share of a passage's words that must stand in the window in their order.
 MIN_LCS = 0.8
-#: A passage's last words count as its answer, as items end with it; so many of them must stand in the window.
+#: Words that count as a passage's answer: the last ones of an item, as items end with it, and the rarest of a passage in its middle;
+#: so many of them must stand in the window, unless so large a share of the passage does that it is a copy whatever its end.
 ANSWER_WORDS = 3
 MIN_ANSWERS = 2
+SURE_LCS = 0.9
 #: Rare words of a passage that must stand together before its words are compared, beyond those that a copy may lack.
 SUPPORT = 4
 #: Words of a text whose postings are laid out at once.
@@ -84,24 +86,36 @@ def passages_of(items: list[tuple], size: int = PASSAGE) -> list[tuple[int, list
     return out
 
 
+def answers_of(passages: list[tuple[int, list[bytes]]], df: dict[bytes, int]) -> list[frozenset[bytes]]:
+    """The answer words of each passage."""
+    ends = [p + 1 == len(passages) or passages[p + 1][0] != item for p, (item, _) in enumerate(passages)]
+    return [frozenset(words[-ANSWER_WORDS:] if end else sorted(set(words), key=lambda w: (df.get(w, 0), w))[:ANSWER_WORDS]) for end, (_, words) in zip(ends, passages)]
+
+
+def least_share(answers: frozenset[bytes], found: int) -> float:
+    """The share of a passage that must stand where so many of its answer words do."""
+    return MIN_LCS if found >= min(MIN_ANSWERS, len(answers)) else SURE_LCS
+
+
 def _sum_blocks(rows: DataFrame, make, width: int, terms: int) -> np.ndarray:
     """The (terms, width) sum of make(row batch) over all partitions. Bounded by the block's terms and the rank."""
     def partial(batches):
-        total = np.zeros((terms, width))
+        total = np.zeros((terms, width), np.float32)
         for b in batches:
             make(total, b)
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["k", "m"])
 
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(terms * width)
-        for m in table.column("m").to_pylist():
-            total += np.frombuffer(m)
-        return pa.table({"m": pa.array([total.tobytes()], pa.binary())})
+    def add(batches):
+        total = np.zeros(terms * width, np.float32)
+        for b in batches:
+            for m in b.column(0).to_pylist():
+                total += np.frombuffer(m, np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["m"])
 
-    # two levels of sums: a task adds up a few partitions' matrices, the last adds up those
-    parts = rows.mapInArrow(partial, "k int, m binary").withColumn("k", F.spark_partition_id() % 8)
-    found = parts.groupBy("k").applyInArrow(add, "m binary").collect()
-    return sum((np.frombuffer(r["m"]).reshape(terms, width) for r in found), np.zeros((terms, width)))
+    # two levels of sums: a task adds up a few partitions' matrices, the driver the few that are left
+    parts = rows.mapInArrow(partial, "k int, m binary").select("m")
+    found = parts.repartition(4).mapInArrow(add, "m binary")
+    return sum((np.frombuffer(r["m"], np.float32).reshape(terms, width).astype(float) for r in found.collect()), np.zeros((terms, width)))
 
 
 def randomised_svd(rows: DataFrame, terms: int, rank: int = RANK, oversample: int = OVERSAMPLE, power: int = POWER, seed: int = 7) -> np.ndarray:
@@ -112,12 +126,16 @@ def randomised_svd(rows: DataFrame, terms: int, rank: int = RANK, oversample: in
     width = min(terms, rank + oversample)
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((terms, width)))[0]
     for _ in range(power + 1):
-        def gram(total: np.ndarray, b: pa.RecordBatch, basis=basis) -> None:
+        shared = rows.sparkSession.sparkContext.broadcast(basis.astype(np.float32))  # a latent space's terms by its rank
+
+        def gram(total: np.ndarray, b: pa.RecordBatch, shared=shared) -> None:
+            basis = shared.value
             for idx, val in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                val = np.asarray(val)
+                val = np.asarray(val, np.float32)
                 total[idx] += np.outer(val, val @ basis[idx])
 
         image = _sum_blocks(rows, gram, width, terms)
+        shared.destroy()
         last, basis = basis, np.linalg.qr(image)[0]
     small = last.T @ image  # V' A'A V
     _, vectors = np.linalg.eigh((small + small.T) / 2)
@@ -127,7 +145,7 @@ def randomised_svd(rows: DataFrame, terms: int, rank: int = RANK, oversample: in
 class LatentIndex:
     """A block's passages: term vectors, unit latent passages, and what verification needs."""
 
-    def __init__(self, passages, vocab: dict[bytes, int], weights: np.ndarray, vectors: np.ndarray):
+    def __init__(self, passages, vocab: dict[bytes, int], weights: np.ndarray, vectors: np.ndarray, df: dict[bytes, int]):
         self.passages, self.vocab = passages, vocab
         self.terms = (weights[:, None] * vectors).astype(np.float32)
         latent = np.zeros((len(passages), vectors.shape[1]), np.float32)
@@ -141,7 +159,7 @@ class LatentIndex:
         self.place = np.argsort(self.order)
         self.need = need[self.order]
         self.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9))[self.order].T.copy()
-        self.answers = [frozenset(words[-ANSWER_WORDS:]) for _, words in passages]
+        self.answers = answers_of(passages, df)
         # small products stay in one thread: a text's windows don't repay waking the library's others
         self.rows = max(8, 200_000 // self.latent.size)
         self.reach = max(len(words) for _, words in passages) // 2
@@ -198,10 +216,11 @@ class LatentIndex:
             return
         around = words[max(0, begin - len(pattern) // 2) : begin + size + len(pattern) // 2]
         answers = len(self.answers[p].intersection(around))
-        if answers < min(MIN_ANSWERS, len(self.answers[p])):
+        least = least_share(self.answers[p], answers)
+        if least > MIN_LCS and sum(map(set(around).__contains__, pattern)) < least * len(pattern):
             return
         share = lcs_length(pattern, around) / len(pattern)
-        if share >= MIN_LCS and (best is None or share > best[1]):
+        if share >= least and (best is None or share > best[1]):
             out[item] = (cosine, share, answers, begin)
 
 
@@ -213,7 +232,7 @@ class CompactIndex:
 
     def __init__(self, passages, df: dict[bytes, int]):
         self.passages = passages
-        self.answers = [frozenset(words[-ANSWER_WORDS:]) for _, words in passages]
+        self.answers = answers_of(passages, df)
         self.need = [math.ceil(MIN_LCS * len(words) - 1e-9) for _, words in passages]
         self.span = np.array([math.ceil(len(words) / MIN_LCS - 1e-9) for _, words in passages])
         self.support = np.array([min(SUPPORT, need) for need in self.need])
@@ -267,7 +286,7 @@ class CompactIndex:
             around = stretch[begin : begin + size]
             answers = len(self.answers[p].intersection(around))
             share = lcs_length(pattern, around) / len(pattern)
-            if share > best and share * len(pattern) > need - 0.5 and answers >= min(MIN_ANSWERS, len(self.answers[p])):
+            if share > best and share * len(pattern) > need - 0.5 and share >= least_share(self.answers[p], answers) - 1e-9:
                 found, best = (share, answers, lo + begin), share
                 if share == 1.0:
                     break
@@ -329,7 +348,7 @@ def _latent_index(spark, passages, df: dict[bytes, int], n: int, rank: int) -> L
         val = np.array([c * weights[i] for i, c in tf.items()])
         matrix.append((list(tf), (val / max(1e-9, np.linalg.norm(val))).tolist()))
     rows = spark.createDataFrame(matrix, "idx array<int>, val array<double>").repartition(max(1, min(64, len(matrix) // 64)))
-    return LatentIndex(passages, vocab, weights, randomised_svd(rows, len(vocab), min(rank, len(passages))))
+    return LatentIndex(passages, vocab, weights, randomised_svd(rows, len(vocab), min(rank, len(passages))), df)
 
 
 def build_index(texts: DataFrame, items: list[tuple], rank: int = RANK) -> BlockIndex | None:
@@ -347,19 +366,22 @@ def build_index(texts: DataFrame, items: list[tuple], rank: int = RANK) -> Block
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_items: int = BLOCK_ITEMS) -> DataFrame:
     """One row for each document row and benchmark item found in it: id_col, item_col, cosine, lcs_share, n_answers, first_word.
 
-    Null texts hold nothing; items without words are found nowhere. Repeated items are found each for
-    itself; null ids stay null. An empty table on either side gives no rows.
+    Null texts hold nothing; items without words are found nowhere. Items of equal texts are searched once
+    and found each for itself, a repeated row as often as it stands there, and repeated documents as often
+    as they do; null ids stay null. An empty table on either side gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
     texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias(id_col), F.col(text_col).cast("binary").alias("__text"))
-    items = benchmark.select(F.col(item_col).alias("id"), F.col(item_text_col).alias("text"))
-    n_blocks = max(1, -(-items.count() // block_items))
+    items = benchmark.filter(F.col(item_text_col).isNotNull()).select(F.col(item_col).alias("__own"), F.md5(F.col(item_text_col).cast("binary")).alias("__md5"), F.col(item_text_col).alias("text"))
+    # equal items are searched once
+    once = materialise(items.groupBy("__md5").agg(F.first("text").alias("text")), "benchmark-texts")
+    n_blocks = max(1, -(-once.count() // block_items))
     kind = f"`{id_col}` {id_type}, __item long, cosine double, lcs_share double, n_answers int, first_word long"
     found = None
     for block in range(n_blocks):
-        part = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == block).orderBy("id", "text").collect()  # about block_items rows
-        index = build_index(texts, [(r["id"], r["text"]) for r in part])
+        part = once.filter(F.pmod(F.xxhash64("__md5"), F.lit(n_blocks)) == block).orderBy("__md5").collect()  # about block_items rows
+        index = build_index(texts, [(r["__md5"], r["text"]) for r in part])
         if index is None:
             continue
         shared = spark.sparkContext.broadcast(index)
@@ -377,9 +399,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                 kinds = (pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([at, *(pa.array(c, k) for c, k in zip(zip(*cols) if cols else [()] * 5, kinds))], [id_col, "__item", "cosine", "lcs_share", "n_answers", "first_word"])
 
-        names = spark.createDataFrame([(i, r["id"]) for i, r in enumerate(part)], f"__item long, `{item_col}` {item_type.simpleString()}")
-        hits = texts.mapInArrow(search, kind).join(F.broadcast(names), "__item").select(id_col, item_col, "cosine", "lcs_share", "n_answers", "first_word")
+        names = spark.createDataFrame([(i, r["__md5"]) for i, r in enumerate(part)], "__item long, __md5 string")
+        hits = texts.mapInArrow(search, kind).join(F.broadcast(names), "__item").drop("__item")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return spark.createDataFrame([], f"`{id_col}` {id_type}, `{item_col}` {item_type.simpleString()}, cosine double, lcs_share double, n_answers int, first_word long")
-    return found
+    named = found.withColumnRenamed(id_col, "__doc").join(items.drop("text"), "__md5")
+    return named.select(F.col("__doc").alias(id_col), F.col("__own").alias(item_col), "cosine", "lcs_share", "n_answers", "first_word")

@@ -153,6 +153,36 @@ def test_decontamination(spark, docs, none):
     assert find_contamination(none, bench).count() == 0 and find_contamination(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_recall_of_paraphrases(spark):
+    """Items with a seventh of their words left out or others put in, and with another end: at least nine of ten are found."""
+    from civicledger.llm.decontamination import find_contamination
+
+    bench = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet")
+    filler = [w for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(40).collect() for w in (r.text or "").split()]
+    rng = np.random.default_rng(11)
+    docs, want = [], {}
+    for item in bench.orderBy("item_id").collect():
+        w = item.text.split()
+        for kind in ("left out", "put in", "other end"):
+            lost = set(rng.permutation(len(w) - 3)[: len(w) // 7].tolist())
+            if kind == "left out":
+                new = [x for k, x in enumerate(w) if k not in lost]
+            elif kind == "put in":
+                new = [y for k, x in enumerate(w) for y in ((x, filler[int(rng.integers(len(filler)))]) if k in lost else (x,))]
+            else:
+                new = [*w[:-2], "quite", "different"]
+            at = int(rng.integers(0, len(filler) - 200))
+            docs.append((len(docs), " ".join([*filler[at : at + 80], *new, *filler[at + 80 : at + 160]])))
+            want[len(docs) - 1] = (item.item_id, kind)
+    got = {(r.doc_id, r.item_id) for r in find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    for kind in ("left out", "put in", "other end"):
+        mine = [(d, i) for d, (i, k) in want.items() if k == kind]
+        assert sum(x in got for x in mine) >= 0.9 * len(mine), (kind, sum(x in got for x in mine), len(mine))
+    twice = spark.createDataFrame(docs[:3] * 2, "doc_id long, text string").withColumn("ITEM_ID", F.lit("x")).withColumn("__md5", F.lit(1))
+    again = find_contamination(twice, bench.unionByName(bench.filter("item_id = 0")).withColumn("doc_id", F.lit(1)).withColumn("__own", F.lit(2)))
+    assert again.filter("item_id = 0").count() == 2 * 2 * len({d for d, i in got if d < 3 and i == 0})
+
+
 def test_decontamination_of_a_large_benchmark(spark):
     from civicledger.llm.decontamination import find_contamination
 
