@@ -8,8 +8,10 @@ with the corpus passes the driver.
 
 from __future__ import annotations
 
+import random
 import zlib
 from bisect import bisect_right
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -21,8 +23,10 @@ from civicledger.llm.tokens import ids_of
 CAPACITY = 4096
 #: The id that ends every document.
 END_ID = 1
-#: Nodes of a bounded search; nodes=None searches to the end.
-NODES = 20_000
+#: Work of a bounded search: a node counts for as many as there are different lengths; work=None searches to the end.
+WORK = 2_000_000
+#: Nodes of the search whose branches are kept open, which bounds the driver's memory.
+LIVE = 16
 #: Up to so many different lengths the lower bound looks at all its cases.
 DETAILED = 1_500
 #: Pieces for each group that is ranked by itself.
@@ -119,19 +123,19 @@ def slot_table(patterns: list[tuple[dict[int, int], int]]) -> dict[int, tuple[li
     return table
 
 
-def plan(hist: dict[int, int], capacity: int, nodes: int | None = NODES) -> list[tuple[dict[int, int], int]]:
+def plan(hist: dict[int, int], capacity: int, work: int | None = WORK) -> list[tuple[dict[int, int], int]]:
     """Fillings {length: count} with how many sequences take each; few sequences in all.
 
     Best fit decreasing is the first incumbent. While it is above the lower bound, bin completion
-    searches for a packing with one sequence less, which becomes the incumbent. With nodes=None the
-    search is exhaustive and the result a proven optimum; a bounded one ends with the incumbent after
-    so many nodes (the problem is NP-hard), which `lower_bound` says the distance of.
+    searches for a packing with one sequence less, which becomes the incumbent. With work=None the
+    search is exhaustive and the result a proven optimum; a bounded one (the problem is NP-hard) ends
+    with the incumbent after so much work, and `lower_bound` tells how far from an optimum that can be.
     """
     hist = {k: v for k, v in hist.items() if v}
     best = best_fit_decreasing(hist, capacity)
     least = lower_bound(hist, capacity)
     while (count := sum(t for _, t in best)) > least:
-        found = complete(hist, capacity, count - 1, nodes)
+        found = complete(hist, capacity, count - 1, work)
         if found is None:
             break
         best = found
@@ -196,9 +200,9 @@ class Completion:
     isn't searched twice.
     """
 
-    def __init__(self, capacity: int, nodes: int | None, descending: bool):
-        self.capacity, self.nodes, self.descending = capacity, nodes, descending
-        self.failed: set[tuple] = set()
+    def __init__(self, capacity: int, work: int | None, descending: bool):
+        self.capacity, self.work, self.descending = capacity, work, descending
+        self.failed: set[tuple[int, int]] = set()
 
     def fillings(self, lengths: list[int], left: list[int], room: int, slack: int):
         """Undominated fillings of the room, as lists of (index, count), with at most `slack` of waste; lengths are in falling order."""
@@ -266,63 +270,79 @@ class Completion:
         return any(not bits >> max(0, self.capacity - length - slack) & window for length in lengths if self.capacity - length > slack)
 
     def search(self, hist: dict[int, int], bins: int) -> tuple[list | None, bool]:
-        """(fillings with their numbers of sequences, or None; whether the search came to its end)."""
+        """(fillings with their numbers of sequences, or None; whether the search came to its end).
+
+        One state is changed and changed back; a failed one is remembered as a sum of random numbers, one for each piece of a
+        length. The branches of the deepest LIVE nodes are kept open; those above are opened again where the search returns to them.
+        """
         slack = bins * self.capacity - sum(k * v for k, v in hist.items())
         if slack < 0:
             return None, True
-        state = tuple(sorted(hist.items(), reverse=True))
-        path: list[tuple[dict[int, int], int]] = []
-        stack = [(state, slack, self.branches(state, slack))]
+        left = dict(sorted(hist.items(), reverse=True))
+        draw = random.Random(7)
+        number = {k: draw.getrandbits(96) for k in left}
+        key = sum(number[k] * v for k, v in left.items())
+        path: list[tuple[dict[int, int], int, int]] = []
+        opened: list[list] = [[self.branches(left, slack), 0]]  # (branches or None, how many have been taken)
         visited = 0
-        while stack:
-            state, slack, options = stack[-1]
-            step = next(options, None)
+        while opened:
+            node = opened[-1]
+            if node[0] is None:
+                node[0] = islice(self.branches(left, slack), node[1], None)
+            step = next(node[0], None)
             if step is None:
-                self.failed.add((state, slack))
-                stack.pop()
+                self.failed.add((key, slack))
+                opened.pop()
                 if path:
-                    path.pop()
+                    pattern, times, waste = path.pop()
+                    slack += waste
+                    for k, m in pattern.items():
+                        left[k] += m * times
+                        key += number[k] * m * times
                 continue
-            pattern, times, after, slack = step
-            if (after, slack) in self.failed:
+            node[1] += 1
+            pattern, times, waste = step
+            after = key - sum(number[k] * m * times for k, m in pattern.items())
+            if (after, slack - waste) in self.failed:
                 continue
-            path.append((pattern, times))
-            if not after:
-                return path, True
-            visited += 1
-            if self.nodes is not None and visited > self.nodes:
+            path.append(step)
+            key, slack = after, slack - waste
+            for k, m in pattern.items():
+                left[k] -= m * times
+            if not any(left.values()):
+                return [(p, t) for p, t, _ in path], True
+            visited += len(left)
+            if self.work is not None and visited > self.work:
                 return None, False
-            stack.append((after, slack, self.branches(after, slack)))
+            opened.append([self.branches(left, slack), 0])
+            if len(opened) > LIVE:
+                opened[-LIVE - 1][0] = None
         return None, True
 
-    def branches(self, state: tuple, slack: int):
-        """(pattern, sequences, state after, waste left): each filling as often as it goes, then once."""
-        lengths, left = [k for k, _ in state], [v for _, v in state]
+    def branches(self, state: dict[int, int], slack: int):
+        """(pattern, sequences, waste): each filling around the largest piece as often as it goes, then once. Lengths are in falling order."""
+        lengths = [k for k, v in state.items() if v]
+        left = [state[k] for k in lengths]
         if self.hopeless(lengths, left, slack):
             return
         largest = lengths[0]
         left[0] -= 1
         for filling, waste in self.fillings(lengths, left, self.capacity - largest, slack):
-            need = [0] * len(lengths)
-            need[0] = 1
+            pattern = {largest: 1}
             for i, k in filling:
-                need[i] += k
-            most = min((left[i] + (i == 0)) // k for i, k in enumerate(need) if k)
-            if waste:
-                most = min(most, slack // waste)
-            pattern = {lengths[i]: k for i, k in enumerate(need) if k}
+                pattern[lengths[i]] = pattern.get(lengths[i], 0) + k
+            most = min((left[0] + 1) // pattern[largest], *(left[i] // k for i, k in filling if i), slack // waste if waste else left[0] + 1)
             for times in (most, 1) if most > 1 else (1,):
-                after = tuple((lengths[i], left[i] + (i == 0) - times * k) for i, k in enumerate(need) if left[i] + (i == 0) > times * k)
-                yield pattern, times, after, slack - times * waste
+                yield pattern, times, times * waste
 
 
-def complete(hist: dict[int, int], capacity: int, bins: int, nodes: int | None = NODES) -> list[tuple[dict[int, int], int]] | None:
-    """A packing into `bins` sequences, or None if there is none or none was found within the nodes.
+def complete(hist: dict[int, int], capacity: int, bins: int, work: int | None = WORK) -> list[tuple[dict[int, int], int]] | None:
+    """A packing into `bins` sequences, or None if there is none or none was found within the work.
 
     A bounded search is made twice, larger and smaller pieces first among fillings of equal waste.
     """
-    for descending in (True, False) if nodes is not None else (True,):
-        found, ended = Completion(capacity, nodes, descending).search(hist, bins)
+    for descending in (True, False) if work is not None else (True,):
+        found, ended = Completion(capacity, work, descending).search(hist, bins)
         if ended:
             return found
     return None

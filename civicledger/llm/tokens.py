@@ -17,8 +17,8 @@ import numpy as np
 from civicledger.llm.common import worker_memo
 
 #: Words of each of a worker's two generations: when the younger is full, the older is forgotten. With words of at most
-#: CACHE_WORD_BYTES and their ids an entry takes some 250 bytes, so a worker keeps 200 MB at most. Bounds its memory, not the result.
-CACHE_WORDS = 400_000
+#: CACHE_WORD_BYTES and their ids an entry takes some 200 bytes, so a worker keeps some 240 MB at most. Bounds its memory, not the result.
+CACHE_WORDS = 600_000
 #: Words longer than this many bytes are encoded but not kept.
 CACHE_WORD_BYTES = 64
 

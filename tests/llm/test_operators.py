@@ -322,7 +322,7 @@ def test_packing_finds_optima():
         capacity = int(rng.integers(8, 40))
         items = sorted(rng.integers(1, capacity + 1, int(rng.integers(1, 10))).tolist(), reverse=True)
         hist, want = Counter(items), fewest(items, capacity)
-        assert P.lower_bound(hist, capacity) <= want == _held(P.plan(hist, capacity, nodes=None), hist, capacity) == _held(P.plan(hist, capacity), hist, capacity)
+        assert P.lower_bound(hist, capacity) <= want == _held(P.plan(hist, capacity, work=None), hist, capacity) == _held(P.plan(hist, capacity), hist, capacity)
     hist = Counter(np.clip(rng.exponential(700, 200_000).astype(int) + 1, 1, 4096).tolist())  # a large table
     assert _held(P.plan(hist, 4096), hist, 4096) == P.lower_bound(hist, 4096)
 
