@@ -183,6 +183,7 @@ class SignatureTree:
 
 
 def _block_pairs(nodes: np.ndarray, comps: np.ndarray, sizes: np.ndarray, maps: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the documents that may be linked, by the tree over a block."""
     order = np.lexsort((nodes, sizes, comps))
     raw = [np.frombuffer(maps[i], "<u8") for i in order]
     words = min(map(len, raw))
@@ -192,12 +193,12 @@ def _block_pairs(nodes: np.ndarray, comps: np.ndarray, sizes: np.ndarray, maps:
         common = int(np.bitwise_count(a & b).sum())
         most = min(common + min(int(n) - int(np.bitwise_count(m).sum()) for n, m in zip(sizes, (a, b))), int(sizes.min()))
         if comps[0] == comps[1] or most * (100 + percent) < percent * int(sizes.sum()):
-            return nodes[:0], nodes[:0]
-        return nodes[order[:1]], nodes[order[1:]]
+            return order[:0], order[:0]
+        return order[:1], order[1:]
     dense = {c: i for i, c in enumerate(dict.fromkeys(comps[order].tolist()))}
     comp = np.array([dense[c] for c in comps[order].tolist()])
     x, y = SignatureTree(sizes[order], comp, np.stack([fold(m, words) for m in raw]), percent).pairs()
-    return nodes[order][x], nodes[order][y]
+    return order[x], order[y]
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -265,10 +266,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             found = [shingle_set(t, k) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 b.column(0), pa.array(map(len, found), pa.int64()), pa.array([s.astype("<u8").tobytes() for s in found], pa.binary()),
-                pa.array([bitmap(s).astype("<u8").tobytes() for s in found], pa.binary())], ["node", "n", "members", "bits"])
+                pa.array([bitmap(s).astype("<u8").tobytes() for s in found], pa.binary()),
+                pa.array([np.sort(route.signatures(s).view(np.int64)).astype("<i8").tobytes() for s in found], pa.binary())], ["node", "n", "members", "bits", "own"])
 
     texts = rows.filter("id IS NOT NULL").join(wanted, F.col("id") == F.col("node"), "left_semi")
-    sets = materialise(texts.mapInArrow(members, "node long, n long, members binary, bits binary").dropDuplicates(["node", "members"]), "shingle-sets")
+    sets = materialise(texts.mapInArrow(members, "node long, n long, members binary, bits binary, own binary").dropDuplicates(["node", "members"]), "shingle-sets")
     cheap = meetings.filter("node <> lead").groupBy("node").agg(F.min("lead").alias("lead")).select(F.col("node").alias("a"), F.col("lead").alias("b"))
     links = materialise(_verified(cheap, sets, percent), "shingle-links")
     known = connected_components(links)
@@ -280,7 +282,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     mine = F.pmod(F.xxhash64("node"), cut).cast("int")
     cells = placed.join(open_blocks, "sig").withColumn("cut", cut).withColumn("mine", mine)
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
-    cells = cells.select("sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "component").join(sets.select("node", "n", "bits"), "node")
+    cells = cells.select("sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "component").join(sets.select("node", "n", "bits", "own"), "node")
 
     def traverse(batches):
         held: list = []
@@ -293,7 +295,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if held:
             yield from _cell(held, percent)
 
-    dealt = cells.select("sig", "i", "j", "node", "component", "n", "bits").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    dealt = cells.select("sig", "i", "j", "mine", "node", "component", "n", "bits", "own").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
     maybe = dealt.mapInArrow(traverse, "a long, b long").distinct()
     more = _verified(materialise(maybe, "shingle-candidates"), sets, percent)
     # an id with several texts joins their groups
@@ -307,11 +309,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _cell(rows: list, percent: int):
-    nodes, comps, sizes = (np.array([r[c] for r in rows], np.int64) for c in (3, 4, 5))
+    """The pairs of a cell. Two documents meet in every signature that they share, and in several cells of one chunk: they are compared
+    where their smallest common signature is, in the cell of their two chunks alone."""
+    sig, i, j = rows[0][:3]
+    mine, nodes, comps, sizes = (np.array([r[c] for r in rows], np.int64) for c in (3, 4, 5, 6))
     if len(rows) > 1:
-        x, y = _block_pairs(nodes, comps, sizes, [r[6] for r in rows], percent)
-        different = x != y
-        x, y = x[different], y[different]
+        x, y = _block_pairs(nodes, comps, sizes, [r[7] for r in rows], percent)
+        here = nodes[x] != nodes[y]
+        if i != j:
+            here &= mine[x] != mine[y]
+        x, y = x[here], y[here]
+        own = {k: np.frombuffer(rows[k][8], "<i8") for k in np.union1d(x, y).tolist()}
+        first = np.array([np.intersect1d(own[a], own[b], assume_unique=True)[0] == sig for a, b in zip(x.tolist(), y.tolist())], bool)
+        x, y = nodes[x[first]], nodes[y[first]]
         if len(x):
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
 
