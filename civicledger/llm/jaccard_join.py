@@ -36,6 +36,8 @@ LEAF = 8
 #: Members of a set that gets a sparse bitmap.
 SMALL = 256
 FAN = 4
+#: Smallest signatures of a document that go with it, by which most pairs are compared once although they meet often.
+LEADING = 8
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -267,7 +269,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([
                 b.column(0), pa.array(map(len, found), pa.int64()), pa.array([s.astype("<u8").tobytes() for s in found], pa.binary()),
                 pa.array([bitmap(s).astype("<u8").tobytes() for s in found], pa.binary()),
-                pa.array([np.sort(route.signatures(s).view(np.int64)).astype("<i8").tobytes() for s in found], pa.binary())], ["node", "n", "members", "bits", "own"])
+                pa.array([np.sort(route.signatures(s).view(np.int64))[:LEADING].astype("<i8").tobytes() for s in found], pa.binary())], ["node", "n", "members", "bits", "own"])
 
     texts = rows.filter("id IS NOT NULL").join(wanted, F.col("id") == F.col("node"), "left_semi")
     sets = materialise(texts.mapInArrow(members, "node long, n long, members binary, bits binary, own binary").dropDuplicates(["node", "members"]), "shingle-sets")
@@ -309,8 +311,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _cell(rows: list, percent: int):
-    """The pairs of a cell. Two documents meet in every signature that they share, and in several cells of one chunk: they are compared
-    where their smallest common signature is, in the cell of their two chunks alone."""
+    """The pairs of a cell. Two documents meet in every signature that they share, and in several cells of one chunk: they count in the
+    cell of their two chunks alone, and nowhere where their smallest signatures show a smaller common one."""
     sig, i, j = rows[0][:3]
     mine, nodes, comps, sizes = (np.array([r[c] for r in rows], np.int64) for c in (3, 4, 5, 6))
     if len(rows) > 1:
@@ -320,7 +322,7 @@ def _cell(rows: list, percent: int):
             here &= mine[x] != mine[y]
         x, y = x[here], y[here]
         own = {k: np.frombuffer(rows[k][8], "<i8") for k in np.union1d(x, y).tolist()}
-        first = np.array([np.intersect1d(own[a], own[b], assume_unique=True)[0] == sig for a, b in zip(x.tolist(), y.tolist())], bool)
+        first = np.array([not (np.intersect1d(own[a], own[b], assume_unique=True) < sig).any() for a, b in zip(x.tolist(), y.tolist())], bool)
         x, y = nodes[x[first]], nodes[y[first]]
         if len(x):
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])

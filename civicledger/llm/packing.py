@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import random
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from itertools import islice
 
 import pyarrow as pa
@@ -23,8 +23,8 @@ from civicledger.llm.tokens import ids_of
 CAPACITY = 4096
 #: The id that ends every document.
 END_ID = 1
-#: Work of a bounded search: a node counts for as many as there are different lengths; work=None searches to the end.
-WORK = 2_000_000
+#: Work of a bounded search: a node counts for as many as there are different lengths, a filling for its pieces; work=None searches to the end.
+WORK = 400_000
 #: Nodes of the search whose branches are kept open, which bounds the driver's memory.
 LIVE = 16
 #: Up to so many different lengths the lower bound looks at all its cases.
@@ -203,6 +203,7 @@ class Completion:
     def __init__(self, capacity: int, work: int | None, descending: bool):
         self.capacity, self.work, self.descending = capacity, work, descending
         self.failed: set[tuple[int, int]] = set()
+        self.visited = 0
 
     def fillings(self, lengths: list[int], left: list[int], room: int, slack: int):
         """Undominated fillings of the room, as lists of (index, count), with at most `slack` of waste; lengths are in falling order."""
@@ -230,9 +231,14 @@ class Completion:
                         for rest in exact(j + 1, target - k * lengths[j]):
                             yield [(j, k), *rest]
 
-        for waste in range(min(slack, room) + 1):
+        # a piece of which not all can be in the filling fits into as much waste as its length: from there on all are dominated
+        spare = min((length for length, k in zip(lengths, left) if k > room // length), default=room + 1)
+        for waste in range(min(slack, room, spare - 1) + 1):
             if first < n and reach[first] >> (room - waste) & 1 or room == waste:
                 for filling in exact(first, room - waste):
+                    self.visited += 1 + len(filling)
+                    if self.work is not None and self.visited > self.work:
+                        return
                     if not self.dominated(filling, lengths, left, waste):
                         yield filling, waste
 
@@ -242,15 +248,19 @@ class Completion:
         Whatever the filling leaves to others, the other filling leaves the same or smaller pieces (Martello and Toth).
         """
         used = dict(filling)
-        sums = {(0, 0)}
+        at = {length: i for i, length in enumerate(lengths)} if not waste else {}
         singles = [lengths[i] for i, _ in filling]
-        sums.update((x, 1) for x in singles)
-        sums.update((x + y, 2) for a, x in enumerate(singles) for b, y in enumerate(singles) if a < b or filling[a][1] > 1 and a == b)
-        for i, length in enumerate(lengths):
-            if left[i] - used.get(i, 0) > 0:
-                for x, m in sums:
-                    if x < length <= x + waste or m == 2 and length == x:
-                        return True
+        pairs = {x + y for a, x in enumerate(singles) for b, y in enumerate(singles) if a < b or filling[a][1] > 1 and a == b}
+        there = lambda i: left[i] > used.get(i, 0)
+        if not waste:
+            return any(x in at and there(at[x]) for x in pairs)
+        falling = [-x for x in lengths]
+        for x, least in [(0, 1), *((x, x + 1) for x in singles), *((x, x) for x in pairs)]:
+            for i in range(bisect_left(falling, -x - waste), len(lengths)):
+                if lengths[i] < least:
+                    break
+                if there(i):
+                    return True
         return False
 
     def hopeless(self, lengths: list[int], left: list[int], slack: int) -> bool:
@@ -284,12 +294,13 @@ class Completion:
         key = sum(number[k] * v for k, v in left.items())
         path: list[tuple[dict[int, int], int, int]] = []
         opened: list[list] = [[self.branches(left, slack), 0]]  # (branches or None, how many have been taken)
-        visited = 0
         while opened:
             node = opened[-1]
             if node[0] is None:
                 node[0] = islice(self.branches(left, slack), node[1], None)
             step = next(node[0], None)
+            if self.work is not None and self.visited > self.work:
+                return None, False
             if step is None:
                 self.failed.add((key, slack))
                 opened.pop()
@@ -311,9 +322,7 @@ class Completion:
                 left[k] -= m * times
             if not any(left.values()):
                 return [(p, t) for p, t, _ in path], True
-            visited += len(left)
-            if self.work is not None and visited > self.work:
-                return None, False
+            self.visited += len(left)
             opened.append([self.branches(left, slack), 0])
             if len(opened) > LIVE:
                 opened[-LIVE - 1][0] = None
