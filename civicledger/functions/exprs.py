@@ -57,6 +57,12 @@ def fy_of_month(c: Column) -> Column:
     return F.when(ok, fy_label(F.substring(c, 1, 4).try_cast("int"), F.substring(c, 6, 2).try_cast("int"))).otherwise(F.lit(""))
 
 
+def fy_bounds(c: Column) -> tuple[Column, Column]:
+    """First and last day of a year's label: 2024-04-01 and 2025-03-31 for 2024-25."""
+    first = F.substring_index(c, "-", 1).try_cast("int")
+    return F.concat(first.cast("string"), F.lit("-04-01")), F.concat((first + 1).cast("string"), F.lit("-03-31"))
+
+
 def previous_fy(c: Column) -> Column:
     """2023-24 for 2024-25."""
     first = F.split(c, "-")[0]
@@ -84,6 +90,25 @@ def redacted_loose(name: Column) -> Column:
     return F.coalesce(F.upper(full_trim(name)).startswith("REDACTED"), F.lit(False))
 
 
+def to_fixed(c: Column, decimals: int = 0) -> Column:
+    """A double with so many decimals, rounded half away from zero on its exact binary value.
+
+    Formatting rounds the shortest decimal form, which takes 1.15, a little less in binary, for a half. Here |c| * 2 * 10^decimals is
+    computed as a product and its exact error (Dekker); an odd product with a negative error is just below a half.
+    """
+    x, twice = F.abs(c.cast("double")), float(2 * 10**decimals)
+    spread = x * 134217729.0
+    high = spread - (spread - x)
+    product = x * twice
+    error = (high * twice - product) + (x - high) * twice
+    half_up = F.floor((product + 1) / 2)
+    just_below = (product % 2 == 1) & (error < 0)
+    whole = half_up - just_below.cast("long")
+    unit = 10**decimals
+    shown = F.concat(F.floor(whole / unit).cast("string"), F.lit("."), F.lpad((whole % unit).cast("string"), decimals, "0")) if decimals else whole.cast("string")
+    return F.when(c < 0, F.concat(F.lit("-"), shown)).otherwise(shown)
+
+
 def grouped(c: Column, decimals: int = 0) -> Column:
     return F.format_string(f"%,.{decimals}f", c.cast("double"))
 
@@ -96,14 +121,16 @@ def short_amount(c: Column, plain: bool = True) -> Column:
     """£1.2bn, £1.2m, £1k; below a thousand ungrouped (plain) or as currency."""
     x = c.cast("double")
     size = F.abs(x)
-    last = F.format_string("£%.0f", x) if plain else currency(x)
-    return F.when(size >= 1e9, F.format_string("£%.1fbn", x / 1e9)).when(size >= 1e6, F.format_string("£%.1fm", x / 1e6)).when(size >= 1e3, F.format_string("£%.0fk", x / 1e3)).otherwise(last)
+    last = F.concat(F.lit("£"), to_fixed(x, 0)) if plain else currency(x)
+    scaled = lambda unit, decimals, mark: F.concat(F.lit("£"), to_fixed(x / unit, decimals), F.lit(mark))
+    return F.when(size >= 1e9, scaled(1e9, 1, "bn")).when(size >= 1e6, scaled(1e6, 1, "m")).when(size >= 1e3, scaled(1e3, 0, "k")).otherwise(last)
 
 
-def month_label(c: Column) -> Column:
-    """Jan 24 for 2024-01; what isn't a month is echoed."""
+def month_label(c: Column, whole_year: bool = False) -> Column:
+    """Jan 24 for 2024-01, or Jan 2024; what isn't a month is echoed."""
     m = F.substring(c, 6, 2).try_cast("int")
-    return F.when(c.rlike(r"^\d{4}-\d{2}") & m.between(1, 12), F.concat(F.get(F.array(*map(F.lit, MONTHS)), m - 1), F.lit(" "), F.substring(c, 3, 2))).otherwise(c)
+    year = F.substring(c, 1, 4) if whole_year else F.substring(c, 3, 2)
+    return F.when(c.rlike(r"^\d{4}-\d{2}") & m.between(1, 12), F.concat(F.get(F.array(*map(F.lit, MONTHS)), m - 1), F.lit(" "), year)).otherwise(c)
 
 
 def truncated(c: Column, most: int) -> Column:

@@ -6,11 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicledger.functions import exprs as X
-from civicledger.operators.headers import Mapping
+from civicledger.operators.headers import LEGACY, Mapping
 
 FIELDS = ("supplier", "amount", "date", "service", "directorate", "category", "description")
 
 
+def apply_legacy(df: DataFrame) -> DataFrame:
+    """df with the older map's fields: of several headers of one field the first in column order whose cell is neither empty nor the number 0."""
+    cells: dict[str, list] = {}
+    for f in df.schema.fields:
+        name = LEGACY.get(f.name.lower().strip())
+        if name:
+            c = F.col(f"`{f.name}`")
+            number = f.dataType.typeName() not in ("string",)
+            cells.setdefault(name, []).append(F.nullif(c, F.lit(0)).cast("string") if number else F.nullif(c, F.lit("")))
+    return df.select("*", *(F.coalesce(*cells[n], F.lit("")).alias(f"legacy_{n}") for n in cells))
+
+
 def apply_mapping(df: DataFrame, mapping: Mapping) -> DataFrame:
     """The ledger's fields as strings, '' for fields without a header, and __file."""
     by_field = {f: h for h, f in mapping.fields.items()}
@@ -18,15 +30,19 @@ def apply_mapping(df: DataFrame, mapping: Mapping) -> DataFrame:
     return df.select(*cols, "__file")
 
 
-def clean_rows(rows: DataFrame) -> DataFrame:
-    """Typed rows with a skip reason (null: none): zero_amount, or totals_line without supplier, date and description."""
-    trimmed = rows.select(*(X.full_trim(F.col(f)).alias(f) if f not in ("amount", "date") else F.col(f) for f in FIELDS), "__file")
-    out = trimmed.withColumn("value", X.parse_amount(F.col("amount"))).withColumn("day", X.parse_date(F.col("date")))
-    skip = F.when(F.col("value") == 0, "zero_amount").when((F.col("supplier") == "") & (F.col("day") == "") & (F.col("description") == ""), "totals_line")
+def clean_rows(rows: DataFrame, *keep: str, serial: str | None = None) -> DataFrame:
+    """Typed rows with a skip reason (null: none): zero_amount, or totals_line without supplier, any date text and description.
+
+    serial: a column with the date cell's number where a workbook has one. keep: columns that stay.
+    """
+    number = F.col(serial) if serial else F.lit(None).cast("double")
+    trimmed = rows.select(*(X.full_trim(F.col(f)).alias(f) if f not in ("amount", "date") else F.col(f) for f in FIELDS), number.alias("__serial"), "__file", *keep)
+    out = trimmed.withColumn("value", X.parse_amount(F.col("amount"))).withColumn("day", F.coalesce(X.serial_date(F.col("__serial")), X.parse_date(F.col("date"))))
+    skip = F.when(F.col("value") == 0, "zero_amount").when((F.col("supplier") == "") & (X.full_trim(F.col("date")) == "") & (F.col("description") == ""), "totals_line")
     month = F.when(F.col("day") != "", F.substring("day", 1, 7)).otherwise(X.month_of_filename(F.col("__file")))
     out = out.withColumn("skip", skip).withColumn("month", month).withColumn("fy", F.nullif(X.fy_of_month(F.col("month")), F.lit("")))
     supplier = F.when(F.col("supplier") == "", "Redacted").otherwise(F.col("supplier"))
-    return out.select(supplier.alias("supplier"), X.normalise_name(supplier).alias("supplier_key"), F.col("value").cast("decimal(18,2)").alias("amount"), F.col("day").alias("date"), "month", "fy", "service", "directorate", "category", "description", X.document_type(F.col("__file")).alias("document_type"), "skip", F.col("__file").alias("file"))
+    return out.select(supplier.alias("supplier"), X.normalise_name(supplier).alias("supplier_key"), F.col("value").cast("decimal(18,2)").alias("amount"), F.col("day").alias("date"), "month", "fy", "service", "directorate", "category", "description", X.document_type(F.col("__file")).alias("document_type"), "skip", F.col("__file").alias("file"), *keep)
 
 
 def supplier_dimension(rows: DataFrame, *order: str, existing: DataFrame | None = None) -> DataFrame:
@@ -41,6 +57,13 @@ def supplier_dimension(rows: DataFrame, *order: str, existing: DataFrame | None
     return out.select(F.xxhash64("council_id", "normalised_name").alias("id"), "council_id", "name", "normalised_name")
 
 
+def financial_years(labels: DataFrame, existing: DataFrame) -> DataFrame:
+    """(id, council_id, label, start_date, end_date) of labels (council_id, fy) that aren't among the existing; nulls are none."""
+    new = labels.select("council_id", F.col("fy").alias("label")).dropna().distinct().join(existing.select("council_id", "label"), ["council_id", "label"], "left_anti")
+    first, last = X.fy_bounds(F.col("label"))
+    return new.select(F.xxhash64("council_id", "label").alias("id"), "council_id", "label", first.alias("start_date"), last.alias("end_date"))
+
+
 def new_files(found: DataFrame, ledger: DataFrame) -> DataFrame:
     """Files that their council's ledger doesn't have yet."""
     return found.join(ledger.select("council_id", "url"), ["council_id", "url"], "left_anti")
@@ -95,6 +118,6 @@ def upsert_registry(known: DataFrame, offered: DataFrame, always_active: str | N
     return out.select("slug", *(F.coalesce(c, f"new_{c}").alias(c) for c in ("name", "url", "data_gov_id")), status.alias("status"))
 
 
-def next_status(stats: DataFrame) -> DataFrame:
-    """stats (slug, inserted, errors): failing if there were errors and nothing came in, else active."""
-    return stats.select("slug", F.when((F.col("errors") > 0) & (F.col("inserted") == 0), "failing").otherwise("active").alias("status"))
+def next_status(stats: DataFrame, *keep: str) -> DataFrame:
+    """stats with inserted and errors: failing if there were errors and nothing came in, else active."""
+    return stats.select(*(keep or ("slug",)), F.when((F.col("errors") > 0) & (F.col("inserted") == 0), "failing").otherwise("active").alias("status"))

@@ -8,10 +8,25 @@ from pyspark.sql import functions as F
 TABLES = ("councils", "financial_years", "suppliers", "source_documents", "budgets", "outturns", "transactions")
 
 
+#: Headers of the export, in their order.
+EXPORT = ("Supplier", "Amount", "Date", "Directorate", "Service", "Category", "Description", "Source File")
+
+
+def export_columns(page: DataFrame) -> DataFrame:
+    """The export's columns of one page of transactions: month where there is no date, '' for nulls."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    date = F.coalesce(F.nullif(F.col("date"), F.lit("")), F.nullif(F.col("month"), F.lit("")), F.lit(""))
+    cells = (text("supplier_name"), F.format_string("%.2f", F.col("amount").cast("double")), date, *(text(c) for c in ("directorate", "service", "category", "description", "source_file")))
+    return page.select(*(c.alias(name) for c, name in zip(cells, EXPORT)))
+
+
+def export_name(slug: str, fy: str | None) -> str:
+    return f"transactions-{slug}-{fy or 'all'}.csv"
+
+
 def export_page(page: DataFrame, path: str) -> None:
-    """One page of transactions as a CSV file with every field quoted."""
-    shown = page.select("date", "supplier_name", F.format_string("%.2f", "amount").alias("amount"), "directorate", "service", "category", "description")
-    shown.coalesce(1).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    """One page of transactions as a CSV file with every field quoted, as commas stand in more than descriptions."""
+    export_columns(page).coalesce(1).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def as_json(df: DataFrame) -> DataFrame:

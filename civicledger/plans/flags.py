@@ -1,4 +1,4 @@
-"""Transparency flags: each rule for every council and year at once."""
+"""Transparency flags: each rule for every council and year at once, from one pass over the transactions."""
 
 from __future__ import annotations
 
@@ -9,64 +9,80 @@ from pyspark.sql import functions as F
 
 from civicledger.functions import exprs as X
 from civicledger.plans.queries import Tables
+from civicledger.sources.catalog import tiebreak
+from civicledger.sources.scratch import materialise
 
 LARGE = 1_000_000
 LARGE_ROWS = 50
 KEY = ("council_id", "fy")
 
 
-def _named(t: Tables) -> DataFrame:
-    return t["transactions"].join(t["suppliers"].select(F.col("id").alias("supplier_id"), F.col("name").alias("supplier_name")), "supplier_id", "left")
+def sums(t: Tables) -> DataFrame:
+    """What the rules need, from one aggregation: a row for each council, year and (kind) supplier, category or large payment.
+
+    Columns: council_id, fy, kind, supplier_id, category, payment (its date, description, amount and order), total, n.
+    A transaction counts for its supplier and its category and, if it is large, by itself; partial sums leave few rows to shuffle.
+    """
+    tx = t["transactions"]
+    payment = F.struct(F.col("amount"), F.col("date"), F.col("description"), *tiebreak(tx))
+    part = lambda kind, supplier, category, own: F.struct(F.lit(kind).alias("kind"), supplier.alias("supplier_id"), category.alias("category"), own.alias("payment"))
+    no_id, no_text, no_payment = (F.when(F.lit(False), c) for c in (F.col("supplier_id"), F.col("category"), payment))
+    each = F.array(part("supplier", F.col("supplier_id"), no_text, no_payment), part("category", no_id, F.col("category"), no_payment))
+    own = F.array(part("large", F.col("supplier_id"), no_text, F.when(F.lit(True), payment)))
+    rows = tx.select(*KEY, "amount", F.explode(F.when(F.col("amount") >= LARGE, F.concat(each, own)).otherwise(each)).alias("r"))
+    return rows.groupBy(*KEY, "r").agg(F.sum("amount").alias("total"), F.count("*").alias("n")).select(*KEY, "r.*", "total", "n")
+
+
+def _named(rows: DataFrame, suppliers: DataFrame) -> DataFrame:
+    return rows.join(suppliers.select(F.col("id").alias("supplier_id"), F.col("name").alias("supplier_name")), "supplier_id", "left")
 
 
 def _flag(df: DataFrame, order: int, kind: str, severity: Column, title: Column, detail: Column) -> DataFrame:
     return df.select(*KEY, F.lit(order).alias("ord"), F.lit(kind).alias("type"), severity.alias("severity"), title.alias("title"), detail.alias("detail"))
 
 
-def _totals(t: Tables) -> DataFrame:
-    """One pass: the sums that the first two rules need."""
-    name, cat = F.col("supplier_name"), F.col("category")
-    redacted = X.redacted_strict(name)
-    blank = cat.isNull() | cat.isin("", "REDACTED DATA")
-    part = lambda p: F.coalesce(F.sum(F.when(p, F.col("amount"))), F.lit(0)).cast("double")
-    return _named(t).groupBy(*KEY).agg(F.coalesce(F.sum("amount"), F.lit(0)).cast("double").alias("grand"), part(redacted).alias("redacted"), F.count_if(redacted).alias("n_redacted"), part(blank).alias("blank"), F.count_if(blank).alias("n_blank"))
+def _part(rows: DataFrame, where: Column) -> DataFrame:
+    """All that was spent (grand), and what of it and how many rows fulfil a condition."""
+    own = F.coalesce(F.sum(F.when(where, F.col("total"))), F.lit(0)).cast("double")
+    return rows.groupBy(*KEY).agg(F.sum("total").cast("double").alias("grand"), own.alias("own"), F.coalesce(F.sum(F.when(where, F.col("n"))), F.lit(0)).alias("n_own"))
 
 
-def _percent(part: str) -> Column:
-    return F.when(F.col("grand") > 0, F.col(part) / F.when(F.col("grand") > 0, F.col("grand")) * 100)
+def _percent() -> Column:
+    return F.when(F.col("grand") > 0, F.col("own") / F.when(F.col("grand") > 0, F.col("grand")) * 100)
 
 
 def _whole(c: Column) -> Column:
-    return F.coalesce(F.format_string("%.0f", c), F.lit("0"))
+    return F.coalesce(X.to_fixed(c, 0), F.lit("0"))
 
 
-def redacted_spend(t: Tables) -> DataFrame:
-    p = _percent("redacted")
-    detail = F.concat(F.format_string("%,d", "n_redacted"), F.lit(" payments ("), _whole(p), F.lit("% of total spend) to undisclosed vendors"))
-    return _flag(_totals(t).filter("redacted > 0"), 1, "redacted_spend", X.severity(p, 30, 15), F.concat(X.short_amount(F.col("redacted")), F.lit(" to redacted suppliers")), detail)
+def redacted_spend(s: DataFrame, suppliers: DataFrame) -> DataFrame:
+    rows = _part(_named(s.filter("kind = 'supplier'"), suppliers), X.redacted_strict(F.col("supplier_name"))).filter("own > 0")
+    detail = F.concat(F.format_string("%,d", "n_own"), F.lit(" payments ("), _whole(_percent()), F.lit("% of total spend) to undisclosed vendors"))
+    return _flag(rows, 1, "redacted_spend", X.severity(_percent(), 30, 15), F.concat(X.short_amount(F.col("own")), F.lit(" to redacted suppliers")), detail)
 
 
-def missing_category(t: Tables) -> DataFrame:
-    p = _percent("blank")
-    detail = F.concat(F.format_string("%,d", "n_blank"), F.lit(" transactions ("), _whole(p), F.lit("% of spend) have blank or redacted category data"))
-    return _flag(_totals(t).filter("n_blank > 0"), 2, "missing_data", X.severity(p, 30, 15), F.concat(X.short_amount(F.col("blank")), F.lit(" with no category")), detail)
+def missing_category(s: DataFrame, suppliers: DataFrame) -> DataFrame:
+    rows = _part(s.filter("kind = 'category'"), F.col("category").isNull() | F.col("category").isin("", "REDACTED DATA")).filter("n_own > 0")
+    detail = F.concat(F.format_string("%,d", "n_own"), F.lit(" transactions ("), _whole(_percent()), F.lit("% of spend) have blank or redacted category data"))
+    return _flag(rows, 2, "missing_data", X.severity(_percent(), 30, 15), F.concat(X.short_amount(F.col("own")), F.lit(" with no category")), detail)
 
 
-def _large(t: Tables) -> DataFrame:
-    """The largest payments of at least LARGE, cut before anything else is asked of them."""
-    w = Window.partitionBy(*KEY).orderBy(F.desc("amount"), "date", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    rows = t["transactions"].filter(F.col("amount") >= LARGE).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= LARGE_ROWS)
-    return rows.join(t["suppliers"].select(F.col("id").alias("supplier_id"), F.col("name").alias("supplier_name")), "supplier_id", "left")
+def _large(s: DataFrame, suppliers: DataFrame) -> DataFrame:
+    """The largest payments of at least LARGE, cut before anything else is asked of them; payments that are alike in all were summed up."""
+    rows = s.filter("kind = 'large'").select(*KEY, "supplier_id", "payment.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
+    order = [c for c in rows.columns if c not in (*KEY, "supplier_id", "amount", "date", "description")]
+    w = Window.partitionBy(*KEY).orderBy(F.desc("amount"), "date", *order)
+    return _named(rows.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= LARGE_ROWS), suppliers)
 
 
-def large_redacted(t: Tables) -> DataFrame:
-    g = _large(t).filter(X.redacted_loose(F.col("supplier_name"))).groupBy(*KEY).agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"))
+def large_redacted(s: DataFrame, suppliers: DataFrame) -> DataFrame:
+    g = _large(s, suppliers).filter(X.redacted_loose(F.col("supplier_name"))).groupBy(*KEY).agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"))
     return _flag(g, 3, "large_payment", F.lit("high"), F.concat(F.col("n").cast("string"), F.lit(" large payments to redacted suppliers")), F.concat(X.short_amount(F.col("total")), F.lit(" total across payments over £1m to undisclosed vendors")))
 
 
-def large_named(t: Tables, most: int = 3) -> DataFrame:
+def large_named(s: DataFrame, suppliers: DataFrame, most: int = 3) -> DataFrame:
     """Each supplier's largest payment, for the first few suppliers."""
-    rows = _large(t).filter(~X.redacted_loose(F.col("supplier_name")) & (F.coalesce("supplier_name", F.lit("")) != "")).withColumn("key", X.normalise_name(F.col("supplier_name")))
+    rows = _large(s, suppliers).filter(~X.redacted_loose(F.col("supplier_name")) & (F.coalesce("supplier_name", F.lit("")) != "")).withColumn("key", X.normalise_name(F.col("supplier_name")))
     first = rows.withColumn("k", F.row_number().over(Window.partitionBy(*KEY, "key").orderBy("rn"))).filter("k = 1")
     top = first.withColumn("place", F.row_number().over(Window.partitionBy(*KEY).orderBy("rn"))).filter(F.col("place") <= most)
     title = F.concat(X.short_amount(F.col("amount")), F.lit(" to "), F.col("supplier_name"))
@@ -74,34 +90,33 @@ def large_named(t: Tables, most: int = 3) -> DataFrame:
     return _flag(top, 4, "large_payment", F.when(F.col("amount") >= 5 * LARGE, "high").otherwise("medium"), title, detail)
 
 
-def concentration(t: Tables, most: int = 5) -> DataFrame:
-    g = t["transactions"].groupBy(*KEY, "supplier_id").agg(F.sum("amount").alias("sum"))
+def concentration(s: DataFrame, suppliers: DataFrame, most: int = 5) -> DataFrame:
     w = Window.partitionBy(*KEY)
-    g = g.withColumn("grand", F.sum("sum").over(w)).withColumn("place", F.row_number().over(w.orderBy(F.desc("sum"), F.col("supplier_id").asc_nulls_first())))
-    g = g.filter((F.col("place") <= most) & (F.col("grand") > 0)).groupBy(*KEY).agg(F.sum("sum").cast("double").alias("top"), F.first("grand").cast("double").alias("grand"))
+    g = s.filter("kind = 'supplier'").withColumn("grand", F.sum("total").over(w)).withColumn("place", F.row_number().over(w.orderBy(F.desc("total"), F.col("supplier_id").asc_nulls_first())))
+    g = g.filter((F.col("place") <= most) & (F.col("grand") > 0)).groupBy(*KEY).agg(F.sum("total").cast("double").alias("top"), F.first("grand").cast("double").alias("grand"))
     g = g.withColumn("p", F.col("top") / F.when(F.col("grand") > 0, F.col("grand")) * 100).filter("p > 25")
     high = F.col("p") > 40
-    return _flag(g, 5, "supplier_concentration", F.when(high, "high").otherwise("medium"), F.concat(F.when(high, "High").otherwise("Moderate"), F.lit(" supplier concentration")), F.concat(F.lit("Top 5 suppliers account for "), F.format_string("%.1f", "p"), F.lit("% of total spend")))
+    return _flag(g, 5, "supplier_concentration", F.when(high, "high").otherwise("medium"), F.concat(F.when(high, "High").otherwise("Moderate"), F.lit(" supplier concentration")), F.concat(F.lit("Top 5 suppliers account for "), X.to_fixed(F.col("p"), 1), F.lit("% of total spend")))
 
 
-def rising_category(t: Tables, most: int = 3) -> DataFrame:
+def rising_category(s: DataFrame, suppliers: DataFrame, most: int = 3) -> DataFrame:
     """Categories that grew by over 30 percent and 100,000 from over 200,000. Among the previous year's groups of one label the smallest counts."""
-    g = t["transactions"].groupBy(*KEY, "category").agg(F.sum("amount").cast("double").alias("total"))
-    g = g.select(*KEY, F.col("category").alias("raw"), X.blank_label(F.col("category"), "No Category").alias("label"), "total")
+    g = s.filter("kind = 'category'").select(*KEY, F.col("category").alias("raw"), X.blank_label(F.col("category"), "No Category").alias("label"), F.col("total").cast("double").alias("total"))
     before = g.groupBy("council_id", F.col("fy").alias("previous"), "label").agg(F.min("total").alias("was"))
     now = g.withColumn("previous", X.previous_fy(F.col("fy"))).join(before, ["council_id", "previous", "label"])
     up = F.col("total") - F.col("was")
     now = now.filter((F.col("was") > 200_000) & (F.col("total") > 200_000)).withColumn("up", up).withColumn("p", up / F.when(F.col("was") > 0, F.col("was")) * 100).filter("p > 30 AND up > 100000")
     top = now.withColumn("place", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("up"), "label", F.col("raw").asc_nulls_first()))).filter(F.col("place") <= most)
-    return _flag(top, 6, "rising_category", F.when(F.col("p") > 100, "high").otherwise("medium"), F.concat(F.lit("Rising: "), F.col("label")), F.concat(F.lit("Up "), F.format_string("%.0f", "p"), F.lit("% ("), X.short_amount(F.col("up")), F.lit(") year-on-year")))
+    return _flag(top, 6, "rising_category", F.when(F.col("p") > 100, "high").otherwise("medium"), F.concat(F.lit("Rising: "), F.col("label")), F.concat(F.lit("Up "), X.to_fixed(F.col("p"), 0), F.lit("% ("), X.short_amount(F.col("up")), F.lit(") year-on-year")))
 
 
 RULES = (redacted_spend, missing_category, large_redacted, large_named, concentration, rising_category)
 
 
 def all_flags(t: Tables, council_id: int | None = None, fy: str | None = None) -> DataFrame:
-    """All rules in their order; at most ten rows for a council and year."""
+    """All rules in their order; at most ten rows for a council and year. The sums are computed once and written, and every rule reads them."""
     if council_id is not None:
         t = t | {"transactions": t["transactions"].filter(F.col("council_id") == council_id)}
-    out = reduce(DataFrame.unionByName, (rule(t) for rule in RULES))
+    s = materialise(sums(t), "flag-sums")
+    out = reduce(DataFrame.unionByName, (rule(s, t["suppliers"]) for rule in RULES))
     return (out.filter(F.col("fy") == fy) if fy else out).orderBy("council_id", "fy", "ord")

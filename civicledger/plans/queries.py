@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicledger.functions import exprs as X
-from civicledger.sources.catalog import TIEBREAK
+from civicledger.sources.catalog import tiebreak
 
 Tables = dict[str, DataFrame]
 
@@ -71,6 +71,11 @@ def registry_status_counts(t: Tables) -> DataFrame:
     return t["councils"].groupBy("status").agg(F.count("*").alias("councils"))
 
 
+def councils_by_status(t: Tables, statuses: tuple[str, ...] = ("active", "pending", "failing")) -> dict[str, DataFrame]:
+    """The list's three parts, by name; councils of any other status are shown nowhere."""
+    return {s: t["councils"].filter(F.col("status") == s).orderBy("name") for s in statuses}
+
+
 def health(t: Tables) -> DataFrame:
     return t["councils"].agg(F.count("*").alias("councils"))
 
@@ -101,12 +106,16 @@ def _yearly(t: Tables, *more: str) -> DataFrame:
 
 def overview_yoy(t: Tables) -> DataFrame:
     """Change on the year before in percent; null without such a year or if its sum isn't positive."""
-    years = _yearly(t)
+    return _change(_yearly(t)).select("council_id", "fy", "total", "previous_total", "yoy_change")
+
+
+def _change(years: DataFrame) -> DataFrame:
+    """years (council_id, fy, total) with what there was the year before; the years are few rows, so joining them by themselves is cheap."""
     before = years.select("council_id", F.col("fy").alias("previous"), F.col("total").cast("double").alias("previous_total"))
-    now = years.select("council_id", "fy", F.col("total").cast("double").alias("total"), X.previous_fy(F.col("fy")).alias("previous"))
+    now = years.withColumn("total", F.col("total").cast("double")).withColumn("previous", X.previous_fy(F.col("fy")))
     prev = F.col("previous_total")
     change = F.when(prev > 0, F.round((F.col("total") - prev) / F.when(prev > 0, prev) * 100, 4))
-    return now.join(before, ["council_id", "previous"], "left").select("council_id", "fy", "total", "previous_total", change.alias("yoy_change"))
+    return now.join(before, ["council_id", "previous"], "left").withColumn("yoy_change", change)
 
 
 def overview_average(t: Tables) -> DataFrame:
@@ -120,7 +129,7 @@ def overview_cards(t: Tables) -> DataFrame:
     key = ["council_id", "fy"]
     b = overview_budget(t).select(*key, F.col("net").alias("net_budget"), F.col("gross").alias("gross_budget"))
     o = overview_outturn(t).select(*key, F.col("net").alias("net_outturn"), "variance")
-    out = overview_spend(t).join(overview_yoy(t).select(*key, "yoy_change"), key, "left").join(b, key, "left").join(o, key, "left")
+    out = _change(_yearly(t)).join(b, key, "left").join(o, key, "left")
     has_budget = (F.coalesce("net_budget", F.lit(0.0)) != 0) | (F.coalesce("gross_budget", F.lit(0.0)) != 0)
     has_outturn = (F.coalesce("net_outturn", F.lit(0.0)) != 0) & (F.coalesce("variance", F.lit(0.0)) != 0)
     second = F.when(has_outturn & (F.col("variance") > 0), "overspend").when(has_outturn, "underspend").when(F.col("yoy_change").isNotNull(), "yoy").otherwise("none")
@@ -172,10 +181,11 @@ def transactions_page(t: Tables, council_id: int, filters: Filters = Filters(),
     if page < 1 or page_size < 1:
         raise ValueError("page and page_size start from 1")
     key = F.col(SORTS.get(sort_by, "amount"))
-    order = [key.asc() if sort_dir == "asc" else key.desc(), *TIEBREAK]
+    order = [key.asc() if sort_dir == "asc" else key.desc(), *tiebreak(t["transactions"])]
     rows = t["transactions"].filter(filters.predicate(council_id)).orderBy(*order).offset((page - 1) * page_size).limit(page_size)
     named = rows.join(t["suppliers"].select(F.col("id").alias("supplier_id"), F.col("name").alias("supplier_name")), "supplier_id", "left")
-    return named.orderBy(*order).select("supplier_name", F.col("amount").cast("double").alias("amount"), "date", "month", "directorate", "service", "category", "description")
+    named = named.join(t["source_documents"].select(F.col("id").alias("source_document_id"), F.col("filename").alias("source_file")), "source_document_id", "left")
+    return named.orderBy(*order).select("supplier_name", F.col("amount").cast("double").alias("amount"), "date", "month", "directorate", "service", "category", "description", "source_file")
 
 
 def transactions_count(t: Tables, council_id: int, filters: Filters = Filters(), page_size: int = 50) -> DataFrame:
@@ -203,10 +213,15 @@ def by_service(t: Tables, council_id: int | None = None, fy: str | None = None,
 
 
 def by_directorate(t: Tables, council_id: int | None = None, fy: str | None = None, most: int = 15) -> DataFrame:
-    """The top groups, cut before blank ones go; services for councils that have no directorate left."""
-    top = _top_groups(t, "directorate", council_id, fy, most).filter(F.coalesce(X.full_trim(F.col("name")), F.lit("")) != "")
-    other = by_service(t, council_id, fy, most).join(top.select("council_id").distinct(), "council_id", "left_anti")
-    return top.withColumn("level", F.lit("directorate")).unionByName(other.withColumn("level", F.lit("service")))
+    """The top groups, cut before blank ones go; services for councils that have no directorate left. One pass over the transactions groups by both."""
+    each = F.array(*(F.struct(F.lit(level).alias("level"), F.col(level).alias("name")) for level in ("directorate", "service")))
+    g = _slice(t["transactions"], council_id, fy).select("council_id", "amount", F.explode(each).alias("g")).groupBy("council_id", "g.level", "g.name").agg(_money("amount").alias("total"), F.count("*").alias("count"))
+    w = Window.partitionBy("council_id", "level").orderBy(F.desc("total"), F.col("name").asc_nulls_first())
+    g = g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+    shown = (F.col("level") == "service") | (F.coalesce(X.full_trim(F.col("name")), F.lit("")) != "")
+    g = g.filter(shown).withColumn("own", F.max(F.col("level") == "directorate").over(Window.partitionBy("council_id"))).filter(F.col("own") == (F.col("level") == "directorate"))
+    name = F.when(F.col("level") == "service", X.blank_label(F.col("name"), "No Service Area")).otherwise(F.col("name"))
+    return g.select("council_id", name.alias("name"), "total", "count", "level")
 
 
 def top_suppliers(t: Tables, council_id: int | None = None, fy: str | None = None, most: int = 20) -> DataFrame:

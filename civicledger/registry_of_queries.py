@@ -22,7 +22,9 @@ SPEND_ORACLES: dict[str, str] = {}
 FY = "(case when month({d}) >= 4 then year({d}) else year({d}) - 1 end)"
 FY_LABEL = f"({FY} || '-' || lpad((({FY} + 1) % 100)::varchar, 2, '0'))"
 PREVIOUS = "((left({f}, 4)::int - 1)::varchar || '-' || substr({f}, 3, 2))"
-SHORT = "(case when abs({x}) >= 1e9 then '£' || printf('%.1f', round({x} / 1e9, 1)) || 'bn' when abs({x}) >= 1e6 then '£' || printf('%.1f', round({x} / 1e6, 1)) || 'm' when abs({x}) >= 1e3 then '£' || printf('%.0f', round({x} / 1e3)) || 'k' else '£' || printf('%.0f', {x}) end)"
+# one decimal, rounded on the exact binary value, exact halves (odd quarters alone) away from zero
+FIXED = "(case when abs({x}) * 4 = floor(abs({x}) * 4) and (abs({x}) * 4)::bigint % 2 = 1 then printf('%.1f', {x} + sign({x}) * 0.01) else printf('%.1f', {x}) end)"
+SHORT = "(case when abs({x}) >= 1e9 then '£' || " + FIXED.replace("{x}", "({x} / 1e9)") + " || 'bn' when abs({x}) >= 1e6 then '£' || " + FIXED.replace("{x}", "({x} / 1e6)") + " || 'm' when abs({x}) >= 1e3 then '£' || printf('%.0f', round({x} / 1e3)) || 'k' else '£' || printf('%.0f', round({x})) end)"
 SEVERITY = "(case when {x} > 30 then 'high' when {x} > 15 then 'medium' else 'low' end)"
 
 BASE = f"""
@@ -85,7 +87,7 @@ select council_id, fy, case when coalesce(nb, 0) <> 0 or coalesce(gb, 0) <> 0 th
 from yoy left join p using (council_id, fy)""", Q.overview_cards)
 
 # listing
-_SHOWN = "select supplier_name, amount::double as amount, date, month, directorate, service, category, description from named"
+_SHOWN = "select supplier_name, amount::double as amount, date, month, directorate, service, category, description, 'spend-' || month || '.csv' as source_file from named"
 
 
 def _page(name: str, where: str, order: str, offset: int, **kw) -> None:
@@ -136,16 +138,16 @@ was as (select council_id, fy, label, min(total) as was from cats group by 1, 2,
 rise as (select c.*, w.was, c.total - w.was as up, (c.total - w.was) / w.was * 100 as p from cats c join was w on c.council_id = w.council_id and c.label = w.label and w.fy = {PREVIOUS.format(f='c.fy')} where w.was > 200000 and c.total > 200000),
 rise3 as (select * from rise where p > 30 and up > 100000 qualify row_number() over (partition by council_id, fy order by up desc, label, raw asc nulls first) <= 3),
 f1 as (select council_id, fy, 1::int as ord, 'redacted_spend' as type, {SEVERITY.format(x='p1')} as severity, {SHORT.format(x='redacted')} || ' to redacted suppliers' as title,
-  format('{{:,}}', n_redacted) || ' payments (' || coalesce(printf('%.0f', p1), '0') || '% of total spend) to undisclosed vendors' as detail from shares where redacted > 0),
+  format('{{:,}}', n_redacted) || ' payments (' || coalesce(printf('%.0f', round(p1)), '0') || '% of total spend) to undisclosed vendors' as detail from shares where redacted > 0),
 f2 as (select council_id, fy, 2::int as ord, 'missing_data' as type, {SEVERITY.format(x='p2')} as severity, {SHORT.format(x='blank')} || ' with no category' as title,
-  format('{{:,}}', n_blank) || ' transactions (' || coalesce(printf('%.0f', p2), '0') || '% of spend) have blank or redacted category data' as detail from shares where n_blank > 0),
+  format('{{:,}}', n_blank) || ' transactions (' || coalesce(printf('%.0f', round(p2)), '0') || '% of spend) have blank or redacted category data' as detail from shares where n_blank > 0),
 f3 as (select council_id, fy, 3::int as ord, 'large_payment' as type, 'high' as severity, n || ' large payments to redacted suppliers' as title, {SHORT.format(x='total')} || ' total across payments over £1m to undisclosed vendors' as detail from bigred),
 f4 as (select council_id, fy, 4::int as ord, 'large_payment' as type, case when amount >= 5000000 then 'high' else 'medium' end as severity, {SHORT.format(x='amount::double')} || ' to ' || supplier_name as title, coalesce(nullif(description, ''), nullif(date, ''), '') as detail from three),
-f5 as (select council_id, fy, 5::int as ord, 'supplier_concentration' as type, case when p > 40 then 'high' else 'medium' end as severity, case when p > 40 then 'High' else 'Moderate' end || ' supplier concentration' as title, 'Top 5 suppliers account for ' || printf('%.1f', p) || '% of total spend' as detail from conc where p > 25),
-f6 as (select council_id, fy, 6::int as ord, 'rising_category' as type, case when p > 100 then 'high' else 'medium' end as severity, 'Rising: ' || label as title, 'Up ' || printf('%.0f', p) || '% (' || {SHORT.format(x='up')} || ') year-on-year' as detail from rise3)
+f5 as (select council_id, fy, 5::int as ord, 'supplier_concentration' as type, case when p > 40 then 'high' else 'medium' end as severity, case when p > 40 then 'High' else 'Moderate' end || ' supplier concentration' as title, 'Top 5 suppliers account for ' || {FIXED.format(x='p')} || '% of total spend' as detail from conc where p > 25),
+f6 as (select council_id, fy, 6::int as ord, 'rising_category' as type, case when p > 100 then 'high' else 'medium' end as severity, 'Rising: ' || label as title, 'Up ' || printf('%.0f', round(p)) || '% (' || {SHORT.format(x='up')} || ') year-on-year' as detail from rise3)
 """
 for _i, (_name, _rule) in enumerate(zip(("flag_redacted", "flag_missing_category", "flag_large_redacted", "flag_large_named", "flag_concentration", "flag_rising_category"), G.RULES), 1):
-    _plain(_name, _FLAGS + f" select * from f{_i}", _rule)
+    _plain(_name, _FLAGS + f" select * from f{_i}", lambda t, rule=_rule: rule(G.sums(t), t["suppliers"]))
 _plain("flags_all", _FLAGS + " " + " union all ".join(f"select * from f{i}" for i in range(1, 7)), G.all_flags)
 
 
@@ -252,4 +254,4 @@ select page_id, case when regexp_matches(url, '(?i)\\.(csv|xlsx|xls)(\\?|#|$)')
   when regexp_matches(b, '(?i)spend|expenditure|payment|supplier|invoice|over.500|over.250|transparency') and regexp_matches(b, '(?i)download|current|archive|20|\\d{4}') then 'sub_page' else 'none' end as class from q""", base=False)(
     _over("pages", lambda d: d.select("page_id", L.link_class(F.col("url"), F.regexp_extract("html", "<title>([^<]*)", 1)).alias("class"))))
 _register("dedupe_urls", "select split_part(url, '?', 1) as url, min(page_id) as page_id from pages group by 1", base=False)(
-    _over("pages", lambda d: L.first_by(d.select(F.substring_index("url", "?", 1).alias("url"), "page_id"), "url", "page_id")))
+    _over("pages", lambda d: L.first_by(d.select(F.substring_index("url", "?", 1).alias("url"), "page_id"), ("url",), "page_id")))

@@ -55,7 +55,7 @@ def resolve(href: str, base: str) -> str | None:
 
 
 def anchors(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page, pos, href, link_text, target) of every anchor but #, mailto: and javascript: ones."""
+    """(page, pos, href, link_text, target) of every anchor but a bare #, mailto: and javascript: ones."""
     def parse(batches):
         for b in batches:
             rows = []
@@ -63,7 +63,8 @@ def anchors(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
                 p = _Anchors()
                 p.feed(html or "")
                 for pos, (href, text) in enumerate(p.found):
-                    if href and not href.lower().startswith(("#", "mailto:", "javascript:")):
+                    href = href.strip()
+                    if href and href != "#" and not href.startswith(("mailto:", "javascript:")):
                         rows.append((url, pos, href, " ".join(text.split()), resolve(href, url or "")))
             kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, kinds)], ["page", "pos", "href", "link_text", "target"])
@@ -71,38 +72,47 @@ def anchors(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
     return pages.select(url_col, html_col).mapInArrow(parse, "page string, pos long, href string, link_text string, target string")
 
 
-def link_class(href: Column, text: Column, pattern: str | None = None) -> Column:
+def link_class(href: Column, text: Column, pattern: str | Column | None = None) -> Column:
     """file, custom, spend, sub_page or none; the first that applies."""
     both = F.concat_ws(" ", href, text)
     spend = ~href.rlike(OTHER_FILE) & ~href.rlike(PUBLICATION) & both.rlike(SPENDING) & both.rlike(MONTH)
     out = F.when(href.rlike(DATA_FILE), "file")
-    if pattern:
-        out = out.when(href.rlike(f"(?i){pattern}") | text.rlike(f"(?i){pattern}"), "custom")
+    if pattern is not None:
+        wanted = F.concat(F.lit("(?i)"), pattern if isinstance(pattern, Column) else F.lit(pattern))
+        out = out.when(F.concat(href, F.lit(" "), text).rlike(wanted) if isinstance(pattern, str) else F.regexp_like(F.concat(href, F.lit(" "), text), wanted), "custom")
     return out.when(spend, "spend").when(both.rlike(SPENDING) & both.rlike(SUB_PAGE), "sub_page").otherwise("none")
 
 
-def filename(url: Column) -> Column:
-    """Last part of the path, percent-decoded where that is possible, white space as -."""
-    last = F.substring_index(F.substring_index(url, "?", 1), "/", -1)
-    return F.regexp_replace(F.coalesce(F.try_url_decode(F.replace(last, F.lit("+"), F.lit("%2B"))), last), r"\s+", "-")
+def filename(url: Column, is_file: Column | None = None) -> Column:
+    """Last part of the address up to a ?, percent-decoded where that is possible, white space as -; .csv is added unless is_file."""
+    last = F.substring_index(F.substring_index(url, "/", -1), "?", 1)
+    name = F.regexp_replace(F.coalesce(F.try_url_decode(F.replace(last, F.lit("+"), F.lit("%2B"))), last), r"\s+", "-")
+    return name if is_file is None else F.when(is_file, name).otherwise(F.concat(F.coalesce(F.nullif(name, F.lit("")), F.lit("unknown")), F.lit(".csv")))
+
+
+def classified(links: DataFrame) -> DataFrame:
+    """links (href, link_text, pattern) with kind; a null pattern is none."""
+    return links.withColumn("kind", link_class(F.col("href"), F.col("link_text"), F.col("pattern")))
 
 
 def discover(pages: DataFrame, pattern: str | None = None) -> DataFrame:
     """Files that pages link to: (url, filename, format), the first link of each url."""
     found = anchors(pages).withColumn("kind", link_class(F.col("href"), F.col("link_text"), pattern)).filter(F.col("kind").isin("file", "custom", "spend") & F.col("target").isNotNull())
-    once = first_by(found, "target", "page", "pos")
-    return once.select(F.col("target").alias("url"), filename(F.col("target")).alias("filename"), F.coalesce(F.nullif(F.lower(F.regexp_extract("target", DATA_FILE, 1)), F.lit("")), F.lit("csv")).alias("format"))
+    once = first_by(found, ("target",), "page", "pos")
+    return once.select(F.col("target").alias("url"), filename(F.col("target"), F.col("kind") == "file").alias("filename"), F.coalesce(F.nullif(F.lower(F.regexp_extract("target", DATA_FILE, 1)), F.lit("")), F.lit("csv")).alias("format"))
 
 
-def first_by(df: DataFrame, key: str, *order: str) -> DataFrame:
+def first_by(df: DataFrame, key: tuple[str, ...], *order: str) -> DataFrame:
     """The first row of each key."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("__n = 1").drop("__n")
+    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("__n = 1").drop("__n")
 
 
 PACKAGE = "struct<success:boolean,result:struct<resources:array<struct<url:string,name:string,format:string,last_modified:string,created:string>>>>"
 
 
-def catalogue_files(responses: DataFrame, json_col: str = "json") -> DataFrame:
-    """(url, filename, format, modified) of the spreadsheets in landed package_show responses."""
-    r = responses.select(F.explode(F.from_json(json_col, PACKAGE)["result"]["resources"]).alias("r")).withColumn("format", F.lower(F.trim("r.format")))
-    return r.filter(F.col("format").isin(*FORMATS)).select("r.url", filename(F.col("r.url")).alias("filename"), "format", F.coalesce("r.last_modified", "r.created").alias("modified"))
+def catalogue_files(responses: DataFrame, json_col: str = "json", *keep: str) -> DataFrame:
+    """(keep, url, filename, format, modified) of the spreadsheets in landed package_show responses; the resource's name where its url ends without one."""
+    r = responses.select(*keep, F.explode(F.from_json(json_col, PACKAGE)["result"]["resources"]).alias("r")).withColumn("format", F.lower(F.trim("r.format")))
+    named = F.concat(F.regexp_replace(F.lower(F.coalesce("r.name", F.lit(""))), r"[^a-z0-9]+", "-"), F.lit("."), F.col("format"))
+    name = F.coalesce(F.nullif(filename(F.col("r.url")), F.lit("")), named)
+    return r.filter(F.col("format").isin(*FORMATS)).select(*keep, "r.url", name.alias("filename"), "format", F.coalesce(F.nullif(F.col("r.last_modified"), F.lit("")), "r.created").alias("modified"))

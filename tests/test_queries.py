@@ -2,13 +2,14 @@ import pytest
 from compare import same
 
 from civicledger.registry_of_queries import SPEND_ORACLES, SPEND_QUERIES
+from civicledger.registry_of_runs import RUN_ORACLES, RUN_QUERIES
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(SPEND_ORACLES))
+@pytest.mark.parametrize("name", sorted(SPEND_ORACLES | RUN_ORACLES))
 def test_oracle(spark, name):
-    same(spark, SF, SPEND_QUERIES[name], SPEND_ORACLES[name])
+    same(spark, SF, (SPEND_QUERIES | RUN_QUERIES)[name], (SPEND_ORACLES | RUN_ORACLES)[name])
 
 
 def test_entry_has_all_queries(spark):
