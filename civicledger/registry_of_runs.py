@@ -235,7 +235,7 @@ _register("legacy_columns", """select c_custkey, case when c_custkey % 3 = 0 the
 
 
 @_register("export_page", BASE + """select coalesce(supplier_name, '') as "Supplier", printf('%.2f', amount::double) as "Amount", date as "Date", coalesce(directorate, '') as "Directorate", service as "Service", coalesce(category, '') as "Category",
-  description as "Description", 'spend-' || month || '.csv' as "Source File" from named where council_id = 6 order by amount desc, """ + ORDER + " limit 50")
+  description as "Description", 'spend-' || month || '.csv' as "Source File" from named where council_id = 6 order by named.amount desc, """ + ORDER + " limit 50")
 def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of a page's export."""
     return export_columns(Q.transactions_page(catalog.load(spark, sf_dir), 6))
