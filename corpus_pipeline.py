@@ -62,7 +62,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: The classifier's fit, latent retrieval and packing have no SQL form; tests hold each stage of a run against plain Python.
+#: The classifier's fit, latent retrieval and packing have no SQL form. Tests hold the stages' operators against brute force, not a whole run.
 ORACLE_SQL = None
 
 
