@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space that separates words in all operators, as a Java/RE2 class.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
+#: Spark's setting by which an execution's shuffle files go with its end instead of with the driver's garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The folder of a local session that names none.
 _own: dict[str, str | None] = {}
 #: What an operator keeps in this worker process between tasks: (its name, the object).
@@ -42,10 +44,18 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends there, and any executor can be lost."""
+    """Write df as Parquet into the shared folder and read it back: lineage ends there, and any executor can be lost.
+
+    Shuffle files of the write go when it ends, since nothing reads them again. The setting for that is put back afterwards.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
