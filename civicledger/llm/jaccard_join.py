@@ -258,9 +258,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     firsts = usable.filter(F.size("sigs") > 0).join(groups.withColumnRenamed("fp", "g"), (F.col("fp") == F.col("g")) & (F.col("id") == F.col("node")))
     # the aggregation combines before it shuffles, and a plain join is one whose skewed keys Spark can split
     postings = firsts.select("node", F.explode("sigs").alias("sig"))
-    blocks = postings.groupBy("sig").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead <> last").select("sig", "lead")
-    blocks = materialise(blocks, "shingle-blocks")
-    meetings = materialise(postings.join(blocks, "sig"), "shingle-meetings")
+    # most signatures are in one document only: a count finds the others with the narrowest shuffle, and what is asked of those is asked of few rows
+    repeated = materialise(postings.groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1").select("sig"), "shingle-repeated")
+    met = materialise(postings.join(repeated, "sig"), "shingle-met")
+    blocks = met.groupBy("sig").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead <> last").select("sig", "lead")
+    meetings = materialise(met.join(materialise(blocks, "shingle-blocks"), "sig"), "shingle-meetings")
     wanted = meetings.select("node").distinct()
 
     def members(batches):
