@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: Spark's setting by which an execution's shuffle files go with its end instead of with the driver's garbage.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: A longer text is counted by parts of this many bytes.
+PART = 1 << 20
 #: The folder of a local session that names none.
 _own: dict[str, str | None] = {}
 #: What an operator keeps in this worker process between tasks: (its name, the object).
@@ -59,6 +61,22 @@ def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def folding(digits: bool) -> bytes:
+    """A table for bytes.translate: A-Z to a-z, other letters, all beyond ASCII and maybe digits as they are, the rest to spaces."""
+    keep = lambda b: 97 <= b <= 122 or b >= 128 or (digits and 48 <= b <= 57)
+    return bytes(b + 32 if 65 <= b <= 90 else b if keep(b) else 32 for b in range(256))
+
+
+def terms_of(text: bytes, fold: bytes, part: int = PART) -> Iterator[list[bytes]]:
+    """The terms of a text in order, by lists that are bounded in a text of any length but for a single term's own."""
+    rest = b""
+    for at in range(0, len(text), part):
+        words = (rest + text[at : at + part].translate(fold)).split(b" ")
+        rest = words.pop()
+        yield list(filter(None, words))
+    yield [rest] if rest else []
+
+
 def drop_columns_like(df: DataFrame, names: list[str]) -> DataFrame:
     """df without columns that clash, case-insensitively, with those an operator is about to add."""
     low = {n.lower() for n in names}
