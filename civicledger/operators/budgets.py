@@ -38,13 +38,14 @@ def load_budgets(ledger: Ledger, lines: DataFrame, base_url: str, now: str) -> N
     Each file gets one row among the source documents, however often it is loaded.
     """
     budgets, outturns = (materialise(df, "book-lines") for df in budget_tables(lines))
-    for name, rows in (("budgets", budgets), ("outturns", outturns)):
-        years = rows.select("council_id", "fy").distinct()
-        kept = materialise(ledger.table(name).join(years, ["council_id", "fy"], "left_anti"), name)
-        ledger.write(name, kept.unionByName(rows, allowMissingColumns=True))
-    files = lines.select("council_id", F.col("file").alias("filename")).distinct()
-    files = files.select("council_id", year_of_name(F.col("filename")).alias("fy"), "filename", F.concat(F.lit(base_url), "filename").alias("url"), book_kind(F.col("filename")).alias("type"))
-    files = files.filter("fy IS NOT NULL AND type IS NOT NULL")
-    new = new_files(files, ledger.table("source_documents"))
-    ledger.write("source_documents", new.withColumn("id", F.xxhash64("council_id", "url")).withColumn("downloaded_at", F.lit(now)))
-    ledger.write("financial_years", financial_years(files.select("council_id", "fy"), ledger.table("financial_years")))
+    with ledger.begin("budgets") as change:
+        for name, rows in (("budgets", budgets), ("outturns", outturns)):
+            years = rows.select("council_id", "fy").distinct()
+            kept = change.table(name).join(years, ["council_id", "fy"], "left_anti")
+            change.replace(name, kept.unionByName(rows, allowMissingColumns=True))
+        files = lines.select("council_id", F.col("file").alias("filename")).distinct()
+        files = files.select("council_id", year_of_name(F.col("filename")).alias("fy"), "filename", F.concat(F.lit(base_url), "filename").alias("url"), book_kind(F.col("filename")).alias("type"))
+        files = files.filter("fy IS NOT NULL AND type IS NOT NULL")
+        new = new_files(files, change.table("source_documents"))
+        change.add("source_documents", new.withColumn("id", F.xxhash64("council_id", "url")).withColumn("downloaded_at", F.lit(now)))
+        change.add("financial_years", financial_years(files.select("council_id", "fy"), change.table("financial_years")))

@@ -28,11 +28,12 @@ def store(t: dict[str, DataFrame], path: str, batch: str) -> None:
     from civicledger.operators.warehouse import Ledger
 
     ledger = Ledger(t["transactions"].sparkSession, path)
-    for name in ("councils", "suppliers", "budgets", "outturns"):
-        ledger.write(name, t[name])
-    row = F.xxhash64(*TIEBREAK)
-    ledger.write("transactions", t["transactions"].withColumn("batch", F.lit(batch)).withColumn("file_row", row))
-    ledger.write("source_documents", t["source_documents"].withColumn("batch", F.lit(batch)))
+    with ledger.begin(batch) as change:
+        for name in ("councils", "suppliers", "budgets", "outturns"):
+            change.add(name, t[name])
+        row = F.xxhash64(*TIEBREAK)
+        change.add("transactions", t["transactions"].withColumn("batch", F.lit(batch)).withColumn("file_row", row), clustered=True)
+        change.add("source_documents", t["source_documents"].withColumn("batch", F.lit(batch)))
 
 
 def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

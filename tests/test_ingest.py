@@ -122,9 +122,11 @@ def test_ingestion_end_to_end(spark, tmp_path):
     assert rows == {("Acme, Ltd", 1500000.0, "2024-01-01", "2024-01", "spend-2024-05.xlsx"), ("Acme, Ltd", 2.5, "2024-01-01", "2024-01", "spend-2024-05.xlsx"), ("Acme, Ltd", 1234.5, "", "", "spend.csv")}
     assert {r.supplier_name for r in Q.transactions_page(t, 2).collect()} == {"Bolt"} and t["suppliers"].count() == 2
     assert {(r.council_id, r.label, r.start_date, r.end_date) for r in t["financial_years"].collect()} == {(1, "2023-24", "2023-04-01", "2024-03-31"), (1, "2024-25", "2024-04-01", "2025-03-31")}
-    # rows of a run that died before its files were noted aren't seen
-    ledger.write("transactions", t["transactions"].limit(1).withColumn("batch", F.lit("dead")))
-    assert ledger.table("transactions").count() == 4
+    # rows of a run that died before its change was committed aren't seen
+    with pytest.raises(RuntimeError), ledger.begin() as change:
+        change.add("transactions", t["transactions"].limit(1))
+        raise RuntimeError("died")
+    assert ledger.table("transactions").count() == 4 and ledger.unreferenced().count() == 1
     (tmp_path / "in").mkdir()
     for name in ("a.csv", "b.csv"):
         (tmp_path / "in" / name).write_bytes(b"Vendor,Value\nNew,9\n")
