@@ -59,7 +59,9 @@ class Template:
 
     @property
     def forbidden(self) -> str:
-        return "|".join(_quoted(c) for c in self.controls)
+        """Any control string, told by its opener first."""
+        rests = {o: [_quoted(c[1:]) for c in self.controls if c[0] == o] for o in sorted({c[0] for c in self.controls})}
+        return "|".join(f"{_quoted(o)}(?:{'|'.join(r)})" for o, r in rests.items())
 
     @property
     def to_escape(self) -> str:
