@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicledger.functions import exprs as X
+from civicledger.plans.paging import MOST, deep_page, sort_columns
 from civicledger.sources.catalog import tiebreak
 
 Tables = dict[str, DataFrame]
@@ -71,9 +72,10 @@ def registry_status_counts(t: Tables) -> DataFrame:
     return t["councils"].groupBy("status").agg(F.count("*").alias("councils"))
 
 
-def councils_by_status(t: Tables, statuses: tuple[str, ...] = ("active", "pending", "failing")) -> dict[str, DataFrame]:
-    """The list's three parts, by name; councils of any other status are shown nowhere."""
-    return {s: t["councils"].filter(F.col("status") == s).orderBy("name") for s in statuses}
+def council_sections(t: Tables, statuses: tuple[str, ...] = ("active", "pending", "failing")) -> DataFrame:
+    """The list of councils by section, in the sections' order and by name; councils of any other status are shown nowhere."""
+    place = F.array_position(F.array(*map(F.lit, statuses)), F.col("status"))
+    return t["councils"].filter(place > 0).orderBy(place, "name").select("id", "name", "slug", "region", F.col("status").alias("section"))
 
 
 def health(t: Tables) -> DataFrame:
@@ -176,13 +178,17 @@ class Filters:
 SORTS = {"amount": "amount", "date": "date", "supplier": "supplier_id", "directorate": "directorate"}
 
 
-def transactions_page(t: Tables, council_id: int, filters: Filters = Filters(), page: int = 1, page_size: int = 50, sort_by: str = "amount", sort_dir: str = "desc") -> DataFrame:
-    """One page of the filtered transactions. The rows are chosen first and get their names afterwards."""
+def transactions_page(t: Tables, council_id: int, filters: Filters = Filters(), page: int = 1, page_size: int = 50, sort_by: str = "amount", sort_dir: str = "desc", deep: int = MOST) -> DataFrame:
+    """One page of the filtered transactions. The rows are chosen first and get their names afterwards.
+
+    A page that ends within the first `deep` rows is cut from their order; what stands before any other is counted, not gathered.
+    """
     if page < 1 or page_size < 1:
         raise ValueError("page and page_size start from 1")
-    key = F.col(SORTS.get(sort_by, "amount"))
-    order = [key.asc() if sort_dir == "asc" else key.desc(), *tiebreak(t["transactions"])]
-    rows = t["transactions"].filter(filters.predicate(council_id)).orderBy(*order).offset((page - 1) * page_size).limit(page_size)
+    by = [(SORTS.get(sort_by, "amount"), sort_dir == "asc"), *((c, True) for c in tiebreak(t["transactions"]))]
+    order, offset = sort_columns(by), (page - 1) * page_size
+    rows = t["transactions"].filter(filters.predicate(council_id))
+    rows = rows.orderBy(*order).offset(offset).limit(page_size) if offset + page_size <= deep else deep_page(rows, by, offset, page_size, deep)
     named = rows.join(t["suppliers"].select(F.col("id").alias("supplier_id"), F.col("name").alias("supplier_name")), "supplier_id", "left")
     named = named.join(t["source_documents"].select(F.col("id").alias("source_document_id"), F.col("filename").alias("source_file")), "source_document_id", "left")
     return named.orderBy(*order).select("supplier_name", F.col("amount").cast("double").alias("amount"), "date", "month", "directorate", "service", "category", "description", "source_file")
@@ -224,6 +230,12 @@ def by_directorate(t: Tables, council_id: int | None = None, fy: str | None = No
     return g.select("council_id", name.alias("name"), "total", "count", "level")
 
 
+def directorate_chart(t: Tables, council_id: int | None = None, fy: str | None = None, most: int = 10) -> DataFrame:
+    """The chart's rows: the first of what `by_directorate` gives."""
+    w = Window.partitionBy("council_id").orderBy(F.desc("total"), F.col("name").asc_nulls_first())
+    return by_directorate(t, council_id, fy).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).select("council_id", "place", "name", "total")
+
+
 def top_suppliers(t: Tables, council_id: int | None = None, fy: str | None = None, most: int = 20) -> DataFrame:
     """Sums by supplier first, names and shares after; 0 percent where a council's total isn't positive."""
     g = _slice(t["transactions"], council_id, fy).groupBy("council_id", "supplier_id").agg(F.sum("amount").alias("sum"), F.count("*").alias("count"))

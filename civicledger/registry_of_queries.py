@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from civicledger.functions import exprs as X
 from civicledger.operators import ingest as I
+from civicledger.operators import runs as R
+from civicledger.operators.publish import as_json
 from civicledger.plans import flags as G
 from civicledger.plans import queries as Q
 from civicledger.sources import links as L
 from civicledger.sources.catalog import load
+from civicledger.sources.discovery import council_label_fy
 
 SPEND_QUERIES: dict = {}
 SPEND_ORACLES: dict[str, str] = {}
@@ -61,6 +64,18 @@ def _plain(name: str, oracle: str, f) -> None:
     _register(name, oracle)(lambda spark, sf_dir: f(load(spark, sf_dir)))
 
 
+def _labelled(t) -> DataFrame:
+    """A council's total in a year by its label; a label that it doesn't have is all years."""
+    known = Q.financial_years(t, 6)
+    totals = [_total(t, council_label_fy(known, asked)).select(F.lit(asked).alias("asked"), "total") for asked in ("1995-96", "2099-00")]
+    return totals[0].unionByName(totals[1])
+
+
+def _total(t, fy: str | None) -> DataFrame:
+    rows = t["transactions"].filter("council_id = 6")
+    return (rows.filter(F.col("fy") == fy) if fy else rows).agg(F.sum("amount").cast("double").alias("total"))
+
+
 # lookups
 _plain("council_by_slug", "select * from councils where slug = 'nation-6'", lambda t: Q.council_by_slug(t, "nation-6"))
 _plain("financial_years", "select distinct council_id, fy as label from tx", Q.financial_years)
@@ -71,6 +86,12 @@ _plain("council_list", "select *, (select count(*) from tx where council_id = co
 _plain("council_regions", "select coalesce(region, 'Other') as region, count(*) as councils from councils where status = 'active' group by 1", Q.council_regions)
 _plain("council_search", "select id, name, slug, region from councils where status = 'active' and (lower(name) like '%eur%' or lower(region) like '%eur%')", lambda t: Q.council_search(t, "EUR"))
 _plain("registry_status_counts", "select status, count(*) as councils from councils group by 1", Q.registry_status_counts)
+_plain("council_sections", "select id, name, slug, region, case when id % 7 = 5 then 'disabled' else status end as section from councils where id % 7 <> 5",
+       lambda t: Q.council_sections({"councils": t["councils"].withColumn("status", F.when(F.col("id") % 7 == 5, "disabled").otherwise(F.col("status")))}))
+_plain("councils_to_process", "select id, 'failing' as wanted from councils where status = 'failing' union all select id, 'nation-6' from councils where slug = 'nation-6' union all select id, 'active' from councils where status = 'active'",
+       lambda t: R.councils_to_process(t["councils"], status="failing").select("id", F.lit("failing").alias("wanted")).unionByName(R.councils_to_process(t["councils"], "nation-6").select("id", F.lit("nation-6").alias("wanted"))).unionByName(R.councils_to_process(t["councils"]).select("id", F.lit("active").alias("wanted"))))
+_plain("labelled_totals", "select '1995-96' as asked, sum(amount)::double as total from tx where council_id = 6 and (fy = '1995-96' or not exists (select 1 from tx where council_id = 6 and fy = '1995-96')) union all select '2099-00', sum(amount)::double from tx where council_id = 6", lambda t: _labelled(t))
+_plain("councils_json", """select '{"id":' || id || ',"name":"' || name || '","slug":"' || slug || '","region":' || coalesce('"' || region || '"', 'null') || ',"status":"' || status || '","transaction_count":' || (select count(*) from tx where council_id = councils.id) || '}' as json from councils""", lambda t: as_json(Q.council_list(t)))
 _plain("health_count", "select count(*) as councils from councils", Q.health)
 
 # overview
@@ -98,6 +119,9 @@ _page("tx_page_amount_desc", "", "amount desc nulls last", 0)
 _page("tx_page_date_asc", "", "date asc nulls first", 0, sort_by="date", sort_dir="asc")
 _page("tx_page_supplier", "", "supplier_id desc nulls last", 0, sort_by="supplier")
 _page("tx_page_2", "", "amount desc nulls last", 50, page=2)
+# pages that lie too deep for the plain way, in orders that begin with many ties, by texts and with nulls
+for _n, _by, _order, _way in (("amount", "amount", "amount desc nulls last", "desc"), ("date", "date", "date asc nulls first", "asc"), ("directorate", "directorate", "directorate asc nulls first", "asc"), ("directorate_desc", "directorate", "directorate desc nulls last", "desc")):
+    _plain(f"tx_deep_page_{_n}", f"{_SHOWN} where council_id = 6 order by {_order}, {ORDER} limit 7 offset 147", lambda t, by=_by, way=_way: Q.transactions_page(t, 6, page=22, page_size=7, sort_by=by, sort_dir=way, deep=60))
 _page("tx_filter_directorate_category", "and directorate = '2-HIGH' and category = 'REDACTED DATA'", "amount desc nulls last", 0, filters=Q.Filters(directorate="2-HIGH", category="REDACTED DATA"))
 _page("tx_filter_amount", "and amount >= 1000 and amount <= 500000", "amount desc nulls last", 0, filters=Q.Filters(min_amount=1000, max_amount=500000))
 _page("tx_filter_dates", "and date >= '1996-01-01' and date <= '1996-12-31'", "date asc nulls first", 0, filters=Q.Filters(start_date="1996-01-01", end_date="1996-12-31"), sort_by="date", sort_dir="asc")
@@ -109,6 +133,10 @@ _CAT = ", c as (select council_id, category as raw, case when trim(coalesce(cate
 _plain("by_category", _CAT + " select council_id, category, total, count from c", Q.by_category)
 _RANKED = ", g as (select council_id, {c} as name, sum(amount)::double as total, count(*) as count from tx group by 1, 2), r as (select *, row_number() over (partition by council_id order by total desc, name asc nulls first) as rank from g)"
 _plain("by_directorate", _RANKED.format(c="directorate") + " select council_id, name, total, count, 'directorate' as level from r where rank <= 15 and trim(coalesce(name, '')) <> ''", Q.by_directorate)
+_plain("directorate_chart", _RANKED.format(c="directorate") + f""", s as (select *, row_number() over (partition by council_id order by total desc, name nulls first) as place from r where rank <= 15 and trim(coalesce(name, '')) <> ''),
+l as (select *, total / 1000 as x from s where place <= 10)
+select council_id, place, name, total, case when abs(x) >= 1e3 then {SHORT.replace("{x}", "x")} else (case when x < 0 then '-' else '' end) || '£' || format('{{:,}}', round(abs(x))::bigint) end as label from l""",
+       lambda t: Q.directorate_chart(t).withColumn("label", X.short_amount(F.col("total") / 1000, plain=False)))
 _plain("by_directorate_fallback", _RANKED.format(c="service") + " select council_id, name, total, count, 'service' as level from r where rank <= 15",
        lambda t: Q.by_directorate(t | {"transactions": t["transactions"].withColumn("directorate", F.lit(" "))}))
 _TOP = ", g as (select council_id, supplier_id, sum(amount) as s, count(*) as count from tx group by 1, 2), r as (select *, sum(s) over (partition by council_id)::double as grand, row_number() over (partition by council_id order by s desc, supplier_id asc nulls first) as rank from g), top as (select council_id, rank, supplier_id, name as supplier_name, s::double as total, count, case when grand > 0 then round(s::double / grand * 100, 4) else 0 end as percentage from r left join suppliers on id = supplier_id where rank <= 20)"
@@ -244,7 +272,20 @@ _register("budget_lines", _BOOK + """select file, line_no, directorate, case k w
 _register("outturn_lines", _BOOK + """select file, line_no, directorate, case k when 2 then 'Libraries' else 'Parks (' end as service, case k when 2 then line_no * 1000.0::double else (1000 + line_no % 1000) * 1000.0::double end as net_outturn,
   case k when 2 then 1200000.0::double else -5000.0::double end as variance from a where k in (2, 3) and directorate is not null and started = 1""", base=False)(lambda s, d: I.outturn_lines(_book(s, d)))
 
-_register("page_links", None)(_over("pages", L.anchors))
+_LINK = '<a href="([^"]*)">([^<]*)</a>'
+_register("page_links", f"""
+with a as (select url, regexp_extract_all(html, '{_LINK}', 1) as hrefs, regexp_extract_all(html, '{_LINK}', 2) as texts from pages),
+p as (select url, hrefs, texts, unnest(range(len(hrefs))) as pos from a)
+select url as page, pos, hrefs[pos + 1] as href, texts[pos + 1] as link_text, regexp_extract(url, '^https?://[^/?#]+') || hrefs[pos + 1] as target from p""", base=False)(_over("pages", L.anchors))
+@_register("page_links_sql", f"""
+with a as (select page_id, regexp_extract_all(html, '{_LINK}', 1) as hrefs from pages)
+select page_id, count(*) as links, count(distinct href) as targets from (select page_id, unnest(hrefs) as href from a) group by 1""", base=False)
+def _page_links_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function from SQL."""
+    L.register(spark)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return spark.sql("SELECT p.page_id, count(*) AS links, count(DISTINCT a.target) AS targets FROM {pages} p, LATERAL page_anchors(p.url, p.html) a GROUP BY p.page_id", pages=pages)
+
 _register("link_classes", """
 with p as (select page_id, url, regexp_extract(html, '<title>([^<]*)', 1) as t from pages),
 q as (select *, url || ' ' || t as b from p)

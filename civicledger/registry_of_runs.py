@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from civicledger.functions import exprs as X
 from civicledger.operators import budgets as B
 from civicledger.operators import ingest as I
+from civicledger.operators import publish as P
 from civicledger.operators import runs as R
-from civicledger.operators.publish import export_columns
 from civicledger.operators.warehouse import Ledger
 from civicledger.plans import queries as Q
 from civicledger.registry_of_queries import BASE, ORDER, SPEND_ORACLES
@@ -42,7 +42,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _ledger(spark: SparkSession) -> Ledger:
-    return Ledger(spark, f"{scratch_dir(spark)}/ledger-{uuid4().hex}")
+    return Ledger.create(spark, f"{scratch_dir(spark)}/ledger-{uuid4().hex}")
 
 
 # --- ingestion: each nation has published one file; every third lacks the required columns
@@ -117,6 +117,97 @@ def _registry_after_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.table("councils").select("id", "slug", "status", "last_scraped_at")
 
 
+# --- files of bounded size: customers of a nation by hundreds; every fifth lacks a column, and profiles name headers that nothing else tells
+
+def parted_files(spark: SparkSession, sf_dir: str, council_id: int | None = None, factor: int = 1) -> DataFrame:
+    """Landed files of all councils, or of one; amounts times a factor. A file is as large at any scale, the files are as many as the customers need."""
+    c = _read(spark, sf_dir, "customer").withColumn("part", F.expr("c_custkey div 100"))
+    c = c if council_id is None else c.filter(F.col("c_nationkey") == council_id)
+    line = F.concat_ws(",", F.concat(F.lit("http://x/"), F.col("c_custkey").cast("string")), F.concat(F.lit("S"), (F.col("c_custkey") % 40).cast("string")), (F.col("c_custkey") * factor).cast("string"))
+    files = c.groupBy(F.col("c_nationkey").cast("long").alias("council_id"), "part").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", line.alias("line")))), lambda x: x.line), "\n").alias("body"))
+    bad = F.col("part") % 5 == 3
+    head = F.when(bad, "Link,Notes,Other").otherwise("Link,Zeta,Eta")
+    return files.select("council_id", F.concat_ws("/", F.lit("https://council"), F.col("council_id").cast("string"), F.col("part").cast("string")).alias("url"), F.lit("spend-2024-05.csv").alias("filename"),
+                        F.concat(head, F.lit("\n"), F.col("body")).cast("binary").alias("content"), F.lit('{"zeta": "supplier", "eta": "amount", "link": "supplier"}').alias("profile"))
+
+
+_PARTS = """
+with c as (select c_nationkey::bigint as council_id, c_custkey // 100 as part, c_custkey as k, 'S' || (c_custkey % 40) as supplier from customer), good as (select * from c where part % 5 <> 3 and k <> 0), f as (select distinct council_id, part from c)
+"""
+
+
+def _all_transactions(ledger: Ledger) -> DataFrame:
+    t = ledger.tables()
+    names = t["suppliers"].select(F.col("id").alias("supplier_id"), F.col("name").alias("supplier_name"))
+    return t["transactions"].join(names, "supplier_id", "left").groupBy("council_id", "supplier_name").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"))
+
+
+@_register("ingest_profiles", _PARTS + "select council_id, supplier as supplier_name, count(*) as n, sum(k)::double as total from good group by 1, 2")
+def _ingest_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that only their profile maps; of two overrides for a field the first counts."""
+    ledger = _ledger(spark)
+    R.ingest(ledger, parted_files(spark, sf_dir), NOW)
+    return _all_transactions(ledger)
+
+
+@_register("reload_council", _PARTS + "select council_id, supplier as supplier_name, count(*) as n, sum(k * case when council_id = 7 then 3 else 1 end)::double as total from good group by 1, 2")
+def _reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One council's files come again with other amounts, and take the place of what it had."""
+    ledger = _ledger(spark)
+    R.ingest(ledger, parted_files(spark, sf_dir), NOW)
+    R.reload_council(ledger, 7, parted_files(spark, sf_dir, 7, 3), NOW)
+    return _all_transactions(ledger)
+
+
+@_register("open_failures", _PARTS + """select council_id, 'https://council/' || council_id || '/' || part as url, 'spend-2024-05.csv' as filename, count(*) as n_rows, 'missing columns amount' as error,
+  case when council_id = 7 then 2 else 1 end::bigint as times from c where part % 5 = 3 group by council_id, part""")
+def _open_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is in quarantine after all files were offered, and one council's twice."""
+    ledger = _ledger(spark)
+    R.ingest(ledger, parted_files(spark, sf_dir), NOW)
+    R.ingest(ledger, parted_files(spark, sf_dir, 7), NOW)
+    return R.open_failures(ledger)
+
+
+@_register("ledger_history", _PARTS + """select t as table_name, n::bigint as "rows" from (values ('transactions', (select count(*) from good)), ('source_documents', (select count(*) from f where part % 5 <> 3)),
+  ('quarantine', (select count(*) from f where part % 5 = 3)), ('suppliers', (select count(*) from (select distinct council_id, supplier from good))), ('financial_years', (select count(distinct council_id) from good))) v(t, n)""")
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows of each table a run has written, as counted by the writes themselves."""
+    ledger = _ledger(spark)
+    R.ingest(ledger, parted_files(spark, sf_dir), NOW)
+    return ledger.history().filter("kind = 'wrote'").groupBy("table_name").agg(F.sum("rows").alias("rows"))
+
+
+@_register("compacted_ledger", SPEND_ORACLES["by_category"])
+def _compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spending by category after a change for each year of shipping and the packing of what these left."""
+    ledger = _ledger(spark)
+    transactions = catalog.load(spark, sf_dir)["transactions"]
+    for year in range(1990, 2010):
+        ledger.write("transactions", transactions.filter(F.year("l_shipdate") == year) if year not in (1990, 2009) else transactions.filter((F.year("l_shipdate") <= 1990) if year == 1990 else (F.year("l_shipdate") >= 2009)))
+    ledger.compact("transactions")
+    return Q.by_category(ledger.tables())
+
+
+# --- publication: source documents made from orders, some of which the target turns away
+
+def _published(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    k = F.col("o_orderkey")
+    rows = _read(spark, sf_dir, "orders").select(
+        F.when(k % 50 == 0, F.lit(1)).otherwise(k).cast("long").alias("id"), (F.col("o_custkey") % 9).cast("long").alias("council_id"), F.when(k % 7 != 0, F.concat(F.lit("f"), k.cast("string"))).alias("filename"),
+        F.lit("u").alias("url"), F.col("o_orderstatus").alias("type"))
+    return P.publish_table(rows, "source_documents", shard_rows=20_000)
+
+
+_register("published_counts", """with r as (select case when o_orderkey % 50 = 0 then 1 else o_orderkey end as id, o_custkey % 9 as council_id, o_orderstatus as type from orders where o_orderkey % 7 <> 0)
+select type, count(*) as n from (select *, row_number() over (partition by id) as again from r) where id <> 1 group by 1""")(
+    lambda s, d: P.ask_shards(_published(s, d)[0], 'SELECT type, count(*) FROM source_documents WHERE id <> 1 GROUP BY type', "type string, n long").groupBy("type").agg(F.sum("n").alias("n")))
+_register("published_rejects", """with r as (select case when o_orderkey % 50 = 0 then 1 else o_orderkey end::bigint as id, o_orderkey % 7 = 0 as bare from orders)
+select id, 'NOT NULL constraint failed: source_documents.filename' as error, count(*) as n from r where bare group by 1
+union all select 1, 'UNIQUE constraint failed: source_documents.id', count(*) - 1 from r where not bare and id = 1 having count(*) > 1""")(
+    lambda s, d: _published(s, d)[1].groupBy(F.get_json_object("row", "$.id").cast("long").alias("id"), "error").agg(F.count("*").alias("n")))
+
+
 # --- budgets
 
 _register("budget_load", """
@@ -142,8 +233,22 @@ def _loaded_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget.unionByName(t["outturns"].select("council_id", "fy", "directorate", "service", F.col("net_outturn").alias("net"), F.col("variance").alias("other"), F.lit("outturn").alias("type")))
 
 
-_register("budget_books", "select * from (values " + ", ".join(f"('{n}', '{'accounts' if n.startswith('statement') else 'budget'}', '{n[-11:-4] if n.startswith('statement') else n[:7]}')" for n in seed.BUDGET_BOOKS) + ") t(filename, type, fy)")(
-    lambda s, d: seed.budget_books(s).select("filename", B.book_kind(F.col("filename")).alias("type"), B.year_of_name(F.col("filename")).alias("fy")))
+_register("budget_books", f"""
+with b as (select * from (values {", ".join(f"({i}, '{n}')" for i, n in enumerate(seed.BUDGET_BOOKS))}) t(i, filename)),
+l as (select filename, c_nationkey::bigint as council_id from orders join customer on o_custkey = c_custkey join b on i = o_custkey % {len(seed.BUDGET_BOOKS)})
+select council_id, filename, '{seed.BUDGET_FOLDER}' || filename as url, case when filename like 'statement%' then 'accounts' else 'budget' end as type, case when filename like 'statement%' then substr(filename, 23, 7) else left(filename, 7) end as fy from l group by 1, 2""")(
+    lambda s, d: _budget_books(s, d))
+
+
+def _budget_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published books as every nation's orders fill them, among the documents of the ledger after they were loaded."""
+    books = seed.budget_books(spark).withColumn("i", F.element_at(F.create_map(*(F.lit(x) for i, n in enumerate(seed.BUDGET_BOOKS) for x in (n, i))), F.col("filename")))
+    orders = _read(spark, sf_dir, "orders").join(_read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    lines = orders.join(books, F.col("o_custkey") % len(seed.BUDGET_BOOKS) == F.col("i")).select(
+        F.col("c_nationkey").cast("long").alias("council_id"), F.col("filename").alias("file"), F.col("o_orderkey").alias("line_no"), F.concat(F.lit("Place "), F.col("o_orderkey").cast("string")).alias("line"))
+    ledger = _ledger(spark)
+    B.load_budgets(ledger, lines, seed.BUDGET_FOLDER, NOW)
+    return ledger.table("source_documents").select("council_id", "filename", "url", "type", "fy")
 
 
 # --- discovery: of four nations one has a catalogue entry, one a page with files, one a page that leads to another, one nothing
@@ -190,8 +295,19 @@ _TYPES = ("text/csv; charset=utf-8", "application/vnd.ms-excel", "application/oc
 _register("landed_names", """with t as (select o_orderkey, case when o_orderkey % 7 = 0 then 'a.CSV' else 'spend' end as name, o_orderkey % 6 as k from orders)
 select o_orderkey, case when name = 'a.CSV' then name else name || case k when 0 then '.csv' when 1 then '.xls' when 3 then '.csv' when 4 then '.xlsx' else '' end end as name from t""")(
     lambda s, d: _read(s, d, "orders").select("o_orderkey", discovery.landed_name(F.when(F.col("o_orderkey") % 7 == 0, "a.CSV").otherwise("spend"), F.element_at(F.array(*map(F.lit, _TYPES)), (F.col("o_orderkey") % 6 + 1).cast("int"))).alias("name")))
-_register("curated_registry", "select * from (values " + ", ".join(f"('{r}', {sum(c[2] == r for c in seed.COUNCILS)}, {sum(c[2] == r and c[1] in seed.PAGES for c in seed.COUNCILS)})" for r in dict.fromkeys(c[2] for c in seed.COUNCILS)) + ") t(region, councils, with_page)")(
-    lambda s, d: seed.curated_councils(s).groupBy("region").agg(F.count("*").alias("councils"), F.count("url").alias("with_page")))
+_CURATED = ", ".join(f"('{n}', '{g}', {repr(seed.PAGES[g]) if g in seed.PAGES else 'null'})" for n, g, _ in seed.COUNCILS)
+
+
+@_register("curated_registry", f"""
+with o as (select * from (values {_CURATED}) t(name, slug, url)), k as (select case when n_nationkey < {len(seed.COUNCILS)} and n_nationkey % 3 = 0 then (select slug from (select slug, row_number() over () - 1 as i from o) where i = n_nationkey) else lower(n_name) end as slug, n_name as name, n_nationkey as i, n_nationkey % 2 = 0 as bare from nation)
+select coalesce(k.slug, o.slug) as slug, coalesce(k.name, o.name) as name, coalesce(case when not k.bare then 'https://' || k.slug end, o.url) as url, case when coalesce(k.slug, o.slug) = 'kirklees' then 'active' when k.slug is not null then 'known' else 'pending' end as status from k full join o on k.slug = o.slug""")
+def _curated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curated councils offered to a registry of nations, some of which stand in it by their slugs; half of these have a page."""
+    curated = seed.curated_councils(spark)
+    own = F.element_at(F.array(*(F.lit(c[1]) for c in seed.COUNCILS)), (F.least(F.col("n_nationkey"), F.lit(len(seed.COUNCILS) - 1)) + 1).cast("int"))
+    slug = F.when((F.col("n_nationkey") < len(seed.COUNCILS)) & (F.col("n_nationkey") % 3 == 0), own).otherwise(F.lower("n_name"))
+    known = _read(spark, sf_dir, "nation").select(slug.alias("slug"), F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 2 == 1, F.concat(F.lit("https://"), slug)).alias("url"), F.lit(None).cast("string").alias("data_gov_id"), F.lit("known").alias("status"))
+    return I.upsert_registry(known, curated.withColumn("data_gov_id", F.lit(None).cast("string")), "kirklees").select("slug", "name", "url", "status")
 
 
 # --- the stored ledger
@@ -234,8 +350,17 @@ _register("legacy_columns", """select c_custkey, case when c_custkey % 3 = 0 the
     .select("c_custkey", F.col("legacy_supplier").alias("supplier"), F.col("legacy_amount").alias("amount")))
 
 
+@_register("export_file", BASE + """select '"' || array_to_string([replace(x, '"', '""') for x in [coalesce(supplier_name, ''), printf('%.2f', amount::double), date, coalesce(directorate, ''), service, coalesce(category, ''), description, 'spend-' || month || '.csv']], '","') || '"' as line
+  from (select * from named where council_id = 6 order by named.amount desc, """ + ORDER + """ limit 50) named union all select '"Supplier","Amount","Date","Directorate","Service","Category","Description","Source File"'""")
+def _export_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the exported file."""
+    path = f"{scratch_dir(spark)}/export-{uuid4().hex}/{P.export_name('nation-6', None)}"
+    P.export_page(Q.transactions_page(catalog.load(spark, sf_dir), 6), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
 @_register("export_page", BASE + """select coalesce(supplier_name, '') as "Supplier", printf('%.2f', amount::double) as "Amount", date as "Date", coalesce(directorate, '') as "Directorate", service as "Service", coalesce(category, '') as "Category",
   description as "Description", 'spend-' || month || '.csv' as "Source File" from named where council_id = 6 order by named.amount desc, """ + ORDER + " limit 50")
 def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of a page's export."""
-    return export_columns(Q.transactions_page(catalog.load(spark, sf_dir), 6))
+    return P.export_columns(Q.transactions_page(catalog.load(spark, sf_dir), 6))

@@ -27,7 +27,7 @@ def store(t: dict[str, DataFrame], path: str, batch: str) -> None:
     """Writes a view's tables into a stored ledger: the fact is joined once, and lies by council and year."""
     from civicledger.operators.warehouse import Ledger
 
-    ledger = Ledger(t["transactions"].sparkSession, path)
+    ledger = Ledger.create(t["transactions"].sparkSession, path)
     with ledger.begin(batch) as change:
         for name in ("councils", "suppliers", "budgets", "outturns"):
             change.add(name, t[name])

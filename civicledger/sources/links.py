@@ -6,10 +6,9 @@ import re
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+from pyspark.sql.functions import udtf
 
 #: Patterns that tell data files and pages that lead to them.
 DATA_FILE = r"(?i)\.(csv|xlsx|xls)(\?|#|$)"
@@ -54,22 +53,28 @@ def resolve(href: str, base: str) -> str | None:
         return None
 
 
+@udtf(returnType="pos long, href string, link_text string, target string", useArrow=True)
+class PageAnchors:
+    """The anchors of a page (url, html) but a bare #, mailto: and javascript: ones, as a table function."""
+
+    def eval(self, url: str, html: str):
+        p = _Anchors()
+        p.feed(html or "")
+        for pos, (href, text) in enumerate(p.found):
+            href = href.strip()
+            if href and href != "#" and not href.startswith(("mailto:", "javascript:")):
+                yield pos, href, " ".join(text.split()), resolve(href, url or "")
+
+
+def register(spark: SparkSession) -> None:
+    """Makes the table function known to SQL: SELECT p.url, a.* FROM pages p, LATERAL page_anchors(p.url, p.html) a."""
+    spark.udtf.register("page_anchors", PageAnchors)
+
+
 def anchors(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page, pos, href, link_text, target) of every anchor but a bare #, mailto: and javascript: ones."""
-    def parse(batches):
-        for b in batches:
-            rows = []
-            for url, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                p = _Anchors()
-                p.feed(html or "")
-                for pos, (href, text) in enumerate(p.found):
-                    href = href.strip()
-                    if href and href != "#" and not href.startswith(("mailto:", "javascript:")):
-                        rows.append((url, pos, href, " ".join(text.split()), resolve(href, url or "")))
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, kinds)], ["page", "pos", "href", "link_text", "target"])
-
-    return pages.select(url_col, html_col).mapInArrow(parse, "page string, pos long, href string, link_text string, target string")
+    """(page, pos, href, link_text, target) of every anchor of every page, by a lateral join with the table function."""
+    found = pages.select(url_col, html_col).lateralJoin(PageAnchors(F.col(url_col).outer(), F.col(html_col).outer()))
+    return found.select(F.col(url_col).alias("page"), "pos", "href", "link_text", "target")
 
 
 def link_class(href: Column, text: Column, pattern: str | Column | None = None) -> Column:

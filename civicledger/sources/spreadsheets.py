@@ -20,8 +20,8 @@ def read_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return df.na.fill("").withColumn("__file", F.col("_metadata.file_name"))
 
 
-def list_files(spark: SparkSession, folder: str, pattern: str = "*.{csv,xlsx,CSV,XLSX}") -> DataFrame:
-    """(filename, path, content) of a folder's spreadsheets, by name."""
+def list_files(spark: SparkSession, folder: str, pattern: str = "*.{[cC][sS][vV],[xX][lL][sS][xX],[xX][lL][sS]}") -> DataFrame:
+    """(filename, path, content) of a folder's spreadsheets, by name; their extensions in any case."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
     return files.select(F.col("_metadata.file_name").alias("filename"), "path", "content").orderBy("filename")
 

@@ -27,6 +27,11 @@ def test_detect():
     assert m.fields == {"Supplier": "supplier", "Amount": "amount", "Date": "date"} and m.unmapped == ["Ref"] and not m.missing and m.confidence == 1.0
     assert H.detect(["Date", "Description"]).missing == ["supplier", "amount"]
     assert H.detect(["Col A", "Col B"], {"col a": "supplier", "col b": "amount"}).missing == []
+    # of two overrides for a field the first counts, and the other header is scored like any other
+    m = H.detect(["B", "A", "a ", "Paid Amount", "Value"], {"a": "supplier", "b": "supplier", "VALUE": "amount", "paid amount": "amount", "none": "date"})
+    assert m.fields == {"A": "supplier", "Value": "amount"} and m.unmapped == ["B", "a ", "Paid Amount"]
+    assert H.detect(["Vendor", "X"], {"x": "supplier", "vendor": "supplier"}).fields == {"X": "supplier"}
+    assert H.detect(["Amount", "X"], {"x": "supplier", "amount": "supplier"}).fields == {"X": "supplier", "Amount": "amount"}
     m = H.detect(["Body Name", "Supplier", "Name", "Amount"])
     assert H.swap_url_supplier(m, ["http://x", "https://y", ""], ["Body Name", "Supplier", "Name", "Amount"]).fields["Name"] == "supplier"
 

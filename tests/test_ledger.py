@@ -11,7 +11,7 @@ FILES = "council_id long, url string, filename string, content binary, profile s
 
 @pytest.fixture
 def ledger(spark, tmp_path):
-    return Ledger(spark, f"file://{tmp_path}/ledger")
+    return Ledger.create(spark, f"file://{tmp_path}/ledger")
 
 
 def rows_of(df):
@@ -129,3 +129,46 @@ def test_a_batch_of_the_stream_counts_once(spark, ledger, tmp_path):
     run()
     assert ledger.table("transactions").count() == 1 and ledger.history().filter("note LIKE 'stream%'").select("commit").distinct().count() == 1
     assert {(r.id, r.status) for r in ledger.table("councils").collect()} == {(i, "active" if i == 4 else "pending") for i in range(6)}
+
+
+def test_a_ledger_that_is_not_there_is_empty(spark, tmp_path):
+    ledger = Ledger(spark, f"file://{tmp_path}/none")
+    assert ledger.table("councils").count() == 0 and ledger.entries() == [] and not ledger.committed("x")
+    ledger.write("councils", spark.range(2).select("id"))
+    Ledger.create(spark, ledger.path)
+    assert ledger.table("councils").count() == 2
+
+
+def test_publication_turns_bad_rows_away_alone(spark, tmp_path):
+    from civicledger.operators import publish as P
+
+    good = [(i, 1, f"f{i}", "u", "t", "x") for i in range(700)]
+    bad = [(900, 1, None, "u", "t", "x"), (901, None, "f", "u", "t", "x"), (3, 1, "again", "u", "t", "x"), (None, 1, "f", "u", "t", "x")]
+    rows = spark.createDataFrame(good + bad, "id long, council_id long, filename string, url string, type string, extra string")
+    shards, rejected = P.publish_table(rows, "source_documents", shard_rows=200)
+    assert shards.count() >= 3 and shards.agg(F.sum("n_rows")).first()[0] == 701  # null ids don't clash
+    reasons = sorted(r.error for r in rejected.collect())
+    assert [e.split(":")[0] for e in reasons] == ["NOT NULL constraint failed"] * 2 + ["UNIQUE constraint failed"]
+    assert P.ask_shards(shards, "SELECT count(*) FROM source_documents", "n long").agg(F.sum("n")).first()[0] == 701
+    assert P.ask_shards(shards, "SELECT name FROM sqlite_master WHERE type = 'index' AND sql IS NOT NULL", "name string").distinct().count() == 2
+    counts, rejects = P.publish({"source_documents": rows, "councils": spark.createDataFrame([], "id long, name string")}, f"file://{tmp_path}/out", 200)
+    assert {tuple(r) for r in counts.collect()} == {("source_documents", 701, 3), ("councils", 0, 0)} and rejects.count() == 3
+    assert spark.read.parquet(f"file://{tmp_path}/out/source_documents").agg(F.sum("n_rows")).first()[0] == 701
+    with pytest.raises(ValueError):
+        P.publish({}, "x")
+
+
+def test_publication_over_a_connection(spark, tmp_path):
+    """The same path to a database that stays: here a file that the local tasks share."""
+    import sqlite3
+
+    from civicledger.operators import publish as P
+
+    path = str(tmp_path / "db")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE suppliers (id INTEGER UNIQUE, council_id INTEGER, name TEXT NOT NULL, normalised_name TEXT)")
+    rows = spark.range(500).select((F.col("id") % 450).alias("id"), F.lit(1).alias("council_id"), F.when(F.col("id") != 7, "n").alias("name"))
+    shards, rejected = P.publish_table(rows, "suppliers", connect=lambda: sqlite3.connect(path, timeout=60))
+    with sqlite3.connect(path) as db:
+        assert db.execute("SELECT count(*) FROM suppliers").fetchone()[0] == 450
+    assert rejected.count() == 50 and {(r.n_rows, r.database) for r in shards.collect()} == {(450, None)}
