@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,9 +47,9 @@ def parse_files(files: DataFrame) -> DataFrame:
                 none = ("",) * len(FIELDS)
                 try:
                     head, rows = rows_of(name, content)
-                    mapping = detect(head, _override(profile))
+                    mapping = detect(head, override_of(profile))
                     if rows and not mapping.missing:
-                        mapping = swap_url_supplier(mapping, [str(r.get(_header(mapping, "supplier"), "")) for r in rows[:URL_SAMPLE]], head)
+                        mapping = swap_url_supplier(mapping, [str(r.get(header_of(mapping, "supplier"), "")) for r in rows[:URL_SAMPLE]], head)
                     out.append((council, url, name, 0, *none, None, len(rows), json.dumps(mapping.fields), ", ".join(mapping.missing), None))
                     if not mapping.missing:
                         at = {f: h for h, f in mapping.fields.items()}
@@ -65,7 +65,7 @@ def parse_files(files: DataFrame) -> DataFrame:
     return files.select("council_id", "url", "filename", "content", "profile").mapInArrow(parse, PARSED)
 
 
-def _override(profile: str | None) -> dict[str, str] | None:
+def override_of(profile: str | None) -> dict[str, str] | None:
     try:
         found = json.loads(profile) if profile else None
     except ValueError:
@@ -73,7 +73,7 @@ def _override(profile: str | None) -> dict[str, str] | None:
     return {str(k): str(v) for k, v in found.items()} if isinstance(found, dict) else None
 
 
-def _header(mapping, field: str) -> str | None:
+def header_of(mapping, field: str) -> str | None:
     return next((h for h, f in mapping.fields.items() if f == field), None)
 
 
@@ -82,18 +82,18 @@ def _text(cell) -> str:
     return (str(int(cell)) if cell == int(cell) else repr(cell)) if isinstance(cell, float) else cell
 
 
-def ingest(ledger: Ledger, landed: DataFrame, now: str, change: Change | None = None, note: str = "ingest") -> DataFrame:
+def ingest(ledger: Ledger, landed: DataFrame, now: str, change: Change | None = None, note: str = "ingest", parse: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Takes in what of landed (council_id, url, filename, content, profile) the ledger doesn't have yet, all of it in one change.
 
     Returns a row for each council with landed files: council_id, discovered, new, inserted, skipped, errors, status.
     A url that is landed twice for a council counts once. now: the time that the ledger notes. Files that can't be
     taken in go to the table quarantine with the reason. change: one that this run completes; what it has taken away
-    isn't there any more.
+    isn't there any more. parse: makes rows of PARSED of the files; with `large_files.scan_files` landed has path instead of content.
     """
     change = change or ledger.begin(note)
     landed = landed.dropDuplicates(["council_id", "url"])
     new = new_files(landed, change.table("source_documents"))
-    parsed = materialise(parse_files(new), "parsed-files")
+    parsed = materialise((parse or parse_files)(new), "parsed-files")
     files = parsed.filter("file_row = 0")
     good = files.filter("n_rows > 0 AND missing = '' AND error IS NULL")
     cleaned = clean_rows(parsed.filter("file_row > 0").withColumn("__file", F.col("filename")), "council_id", "url", "file_row", "mapping", serial="serial")

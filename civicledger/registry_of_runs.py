@@ -16,6 +16,7 @@ from civicledger.operators import budgets as B
 from civicledger.operators import ingest as I
 from civicledger.operators import publish as P
 from civicledger.operators import runs as R
+from civicledger.operators.large_files import scan_files
 from civicledger.operators.warehouse import Ledger
 from civicledger.plans import queries as Q
 from civicledger.registry_of_queries import BASE, ORDER, SPEND_ORACLES
@@ -189,6 +190,19 @@ def _compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.by_category(ledger.tables())
 
 
+@_register("scanned_files", """select c_nationkey::bigint as council_id, c_mktsegment as supplier_name, count(*) as n, sum(c_custkey)::double as total from customer where c_custkey <> 0 group by 1, 2""")
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as CSV files with a header, a folder a nation, and taken in by scans that Spark cuts."""
+    path = f"{scratch_dir(spark)}/csv-{uuid4().hex}"
+    customers = _read(spark, sf_dir, "customer").select("c_nationkey", F.col("c_mktsegment").alias("Vendor"), F.col("c_custkey").alias("Net Amount"), F.concat(F.col("c_name"), F.lit(", \"x\"")).alias("Description"))
+    customers.write.partitionBy("c_nationkey").option("header", True).option("escape", '"').csv(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(path).select("path")
+    files = files.select(F.regexp_extract("path", r"c_nationkey=(\d+)", 1).cast("long").alias("council_id"), F.col("path").alias("url"), F.element_at(F.split("path", "/"), -1).alias("filename"), "path", F.lit(None).cast("string").alias("profile"))
+    ledger = _ledger(spark)
+    R.ingest(ledger, files, NOW, parse=scan_files)
+    return _all_transactions(ledger)
+
+
 # --- publication: source documents made from orders, some of which the target turns away
 
 def _published(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

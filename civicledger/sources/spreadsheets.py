@@ -1,4 +1,4 @@
-"""Published spreadsheets: CSV by Spark's reader, whole files of either format by small parsers in tasks. Empty cells are ''."""
+"""Published spreadsheets: CSV by Spark's reader, whole files of any format (told by their bytes) by small parsers in tasks. Empty cells are ''."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from civicledger.sources.old_workbooks import MAGIC, old_sheet_rows
+
 
 def read_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Columns as in the header row, with __file of each row, of files that share one header row: Spark raises an error where they don't. For files of any size."""
@@ -44,9 +46,12 @@ def rows_of(name: str, data: bytes) -> tuple[list[str], list[dict[str, str | flo
 
     Rows without any text are no rows. A header that comes again gets a number behind it.
     """
-    if name.lower().endswith(".xls") and not data.startswith(b"PK"):
-        raise ValueError("the old binary workbook format isn't read")
-    table = list(sheet_rows(data)) if data.startswith(b"PK") else list(csv.reader(io.StringIO(_decoded(data), newline="")))
+    if data.startswith(b"PK"):
+        table = list(sheet_rows(data))
+    elif data.startswith(MAGIC):
+        table = old_sheet_rows(data)
+    else:
+        table = list(csv.reader(io.StringIO(_decoded(data), newline="")))
     table = [r for r in table if any(c != "" for c in r)]
     if not table:
         return [], []
