@@ -19,6 +19,7 @@ from civicledger.operators import runs as R
 from civicledger.operators.large_files import scan_files
 from civicledger.operators.warehouse import Ledger
 from civicledger.plans import queries as Q
+from civicledger.plans import search
 from civicledger.registry_of_queries import BASE, ORDER, SPEND_ORACLES
 from civicledger.sources import catalog, discovery, seed
 from civicledger.sources.scratch import scratch_dir
@@ -344,6 +345,29 @@ def _of_the_view() -> None:
 _of_the_view()
 
 
+@_register("stored_tx_search", SPEND_ORACLES["tx_search"])
+def _stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of a search, of which only files are read whose signatures have all pieces of what is looked for."""
+    ledger = Ledger(spark, f"{scratch_dir(spark)}/ledger-{uuid4().hex}")
+    catalog.store(catalog.load(spark, sf_dir), ledger.path, "view")
+    search.sign(ledger)
+    return Q.transactions_page(search.searchable(ledger, "R_nG"), 6, filters=Q.Filters(search="R_nG"))
+
+
+@_register("stored_tx_search_rare", BASE + "select council_id, count(*) as n, sum(amount)::double as total from tx where lower(service) like '%brand#4%' or lower(description) like '%brand#4%' group by 1")
+def _stored_rare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search for what stands in one change alone: the transactions of some brands came in by themselves."""
+    ledger = _ledger(spark)
+    transactions = catalog.load(spark, sf_dir)["transactions"]
+    rare = F.coalesce(F.col("service").startswith("Brand#4"), F.lit(False))
+    for rows in (transactions.filter(rare), transactions.filter(~rare)):
+        ledger.write("transactions", rows)
+    search.sign(ledger)
+    t = search.searchable(ledger, "BRAND#4")
+    hits = t["transactions"].filter(X.like_ascii(F.col("service"), "BRAND#4") | X.like_ascii(F.col("description"), "BRAND#4"))
+    return hits.groupBy("council_id").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"))
+
+
 # --- formats
 
 _register("fixed_decimals", """with x as (select o_orderkey, (o_orderkey * 7919 % 100000 - 50000) / 800.0::double as x from orders)

@@ -172,3 +172,24 @@ def test_publication_over_a_connection(spark, tmp_path):
     with sqlite3.connect(path) as db:
         assert db.execute("SELECT count(*) FROM suppliers").fetchone()[0] == 450
     assert rejected.count() == 50 and {(r.n_rows, r.database) for r in shards.collect()} == {(450, None)}
+
+
+def test_search_reads_only_files_that_can_hold_it(spark, ledger):
+    from civicledger.functions import exprs as X
+    from civicledger.plans import search
+
+    for i, word in enumerate(("plumbing", "Straße", "road works", None, "ab", "PLUMB line")):
+        ledger.write("transactions", spark.range(40).select(F.lit(1).alias("council_id"), F.lit(word).alias("description"), F.lit(i).alias("file_row"), F.lit("s%").alias("service")))
+    files = ledger.table("transactions").inputFiles()
+    assert search.files_for(ledger, "plumb") == files  # none has a signature yet
+    assert search.sign(ledger) == len(files) and search.sign(ledger) == 0
+    for needle, want in (("PLUMB", {0, 5}), ("umb%ing", {0}), ("pl_mb", {0, 5}), ("raße", {1}), ("nowhere", set()), ("b", {0, 4, 5}), ("road_works", {2}), ("ROAD", {2})):
+        found = search.searchable(ledger, needle)["transactions"]
+        hit = X.like_ascii(F.col("description"), needle) | X.like_ascii(F.col("service"), needle)
+        assert {r.file_row for r in found.filter(hit).select("file_row").distinct().collect()} == want
+        if len(needle) > 3 and needle != "pl_mb":
+            assert {r.file_row for r in found.select("file_row").distinct().collect()} == want  # nothing else was read
+    ledger.write("transactions", spark.range(1).select(F.lit(1).alias("council_id"), F.lit("nowhere").alias("description"), F.lit(9).alias("file_row")))
+    assert {r.file_row for r in search.searchable(ledger, "nowhere")["transactions"].collect()} == {9}
+    ledger.compact("transactions")
+    assert search.searchable(ledger, "plumb")["transactions"].count() == 241 and search.sign(ledger) >= 1
