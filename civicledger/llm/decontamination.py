@@ -153,61 +153,81 @@ class LatentIndex:
             for w in words:
                 if w in vocab:
                     latent[p] += self.terms[vocab[w]]
-        # a window that holds fewer of the vocabulary's words than this can't hold enough of the passage; the passages stand in this order
-        need = np.array([sum(w in vocab for w in words) - len(words) + math.ceil(MIN_LCS * len(words) - 1e-9) for _, words in passages])
-        self.order = np.argsort(need, kind="stable")
-        self.place = np.argsort(self.order)
-        self.need = need[self.order]
-        self.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9))[self.order].T.copy()
+        self.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+        # what surrounds a window and holds fewer of a passage's telling words than this can't hold enough of the passage
+        self.need = np.maximum(1, [sum(w in vocab for w in words) - len(words) + math.ceil(MIN_LCS * len(words) - 1e-9) for _, words in passages])
+        self.half = np.array([len(words) // 2 for _, words in passages])
+        self.reach = int(self.half.max())
+        of_word: list[list[int]] = [[] for _ in vocab]
+        for p, (_, words) in enumerate(passages):
+            for w in set(words):
+                if w in vocab:
+                    of_word[vocab[w]].append(p)
+        self.count = np.array([len(x) for x in of_word])
+        self.first = np.cumsum(self.count) - self.count
+        self.postings = np.array([p for x in of_word for p in x], np.int64)
         self.answers = answers_of(passages, df)
-        # small products stay in one thread: a text's windows don't repay waking the library's others
-        self.rows = max(8, 200_000 // self.latent.size)
-        self.reach = max(len(words) for _, words in passages) // 2
 
     def cosine(self, words: list[bytes], p: int) -> float:
         """Of a stretch of words and a passage."""
         at = [self.vocab[w] for w in words if w in self.vocab]
         vector = self.terms[at].sum(axis=0)
-        return float(vector @ self.latent[:, self.place[p]] / max(float(np.linalg.norm(vector)), 1e-9))
+        return float(vector @ self.latent[p] / max(float(np.linalg.norm(vector)), 1e-9))
 
     def search(self, words: list[bytes]) -> dict[int, tuple[float, float, int, int]]:
         """{item: (cosine, LCS share, answer words, window's first word)} of what is verified in a text."""
-        vocab = self.vocab
-        hits = [(at, vocab[w]) for at, w in enumerate(words) if w in vocab]
         out: dict[int, tuple[float, float, int, int]] = {}
-        if not hits:
-            return out
-        at = np.array([h[0] for h in hits])
-        vectors = self.terms[[h[1] for h in hits]]
-        sums = np.concatenate([np.zeros((1, vectors.shape[1])), np.cumsum(vectors, axis=0, dtype=np.float64)])
-        for size in WINDOWS:
-            begin = np.arange(0, max(1, len(words) - size + STRIDE), STRIDE)
-            lo, hi = np.searchsorted(at, begin), np.searchsorted(at, begin + size)
-            near = np.searchsorted(at, begin + size + self.reach) - np.searchsorted(at, begin - self.reach)
-            full = np.flatnonzero((hi > lo) & (near >= self.need[0]))
-            full = full[np.argsort(near[full], kind="stable")]
-            begin, near, window = begin[full], near[full], (sums[hi[full]] - sums[lo[full]]).astype(np.float32)
-            window /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-9)
-            for k in range(0, len(begin), 4096):
-                part, held = window[k : k + 4096], near[k : k + 4096]
-                cosine = np.zeros((len(part), len(self.need)), np.float32)
-                for j in range(0, len(part), self.rows):
-                    reached = np.searchsorted(self.need, held[j : j + self.rows][-1], "right")
-                    cosine[j : j + self.rows, :reached] = part[j : j + self.rows] @ self.latent[:, :reached]
-                i, p = np.nonzero(cosine >= MIN_COSINE)
-                able = self.need[p] <= held[i]
-                i, p = i[able], p[able]
-                by_place = np.lexsort((self.order[p], begin[k + i]))
-                last, there = -1, set()
-                for i, c, p in zip(i[by_place].tolist(), p[by_place].tolist(), self.order[p[by_place]].tolist()):
-                    if i != last:
-                        last, start = i, int(begin[k + i])
-                        there = set(words[max(0, start - self.reach) : start + size + self.reach])
+        ids = np.fromiter(map(self.vocab.get, words, repeat(-1)), np.int64, len(words))
+        places = np.flatnonzero(ids >= 0)
+        for first in range(0, len(words), SEGMENT):
+            lo, hi = np.searchsorted(places, [first - self.reach, first + SEGMENT + max(WINDOWS) + self.reach])
+            if hi > lo:
+                self._search(words, first, places[lo:hi], ids[places[lo:hi]], out)
+        return out
+
+    def _search(self, words: list[bytes], first: int, places: np.ndarray, ids: np.ndarray, out: dict) -> None:
+        """The windows that begin in a segment; places and ids of the telling words that can stand in or around them."""
+        count = self.count[ids]
+        total = int(count.sum())
+        p = self.postings[np.repeat(self.first[ids] - np.cumsum(count) + count, count) + np.arange(total)]
+        order = np.argsort(p, kind="stable")
+        p, at = p[order], np.repeat(places, count)[order]
+        last = np.arange(total) + self.need[p] - 1
+        able = np.flatnonzero(last < total)
+        last = last[able]
+        same = (p[last] == p[able]) & (at[last] - at[able] < max(WINDOWS) + 2 * self.half[p[able]])
+        p, begin, end = p[able[same]], at[able[same]], at[last[same]]
+        for size in WINDOWS if len(p) else ():
+            # windows around which a passage's words stand so close
+            low = np.maximum(-((size + self.half[p] - 1 - end) // STRIDE), first // STRIDE)
+            high = np.minimum((begin + self.half[p]) // STRIDE, min(max(0, len(words) - size + STRIDE - 1), first + SEGMENT - 1) // STRIDE)
+            n = np.maximum(0, high - low + 1)
+            window = np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            pairs = np.unique(window * len(self.passages) + np.repeat(p, n))
+            window, passage = pairs // len(self.passages) * STRIDE, pairs % len(self.passages)
+            for k in range(0, len(pairs), 4096):
+                starts, where = np.unique(window[k : k + 4096], return_inverse=True)
+                cosine = np.einsum("ij,ij->i", self._vectors(starts, size, places, ids)[where], self.latent[passage[k : k + 4096]])
+                there, of = set(), -1
+                for i in np.flatnonzero(cosine >= MIN_COSINE).tolist():
+                    start, own = int(window[k + i]), int(passage[k + i])
+                    if start != of:
+                        of, there = start, set(words[max(0, start - self.reach) : start + size + self.reach])
                     # no common subsequence is longer than the passage's words that stand there at all
-                    pattern = self.passages[p][1]
+                    pattern = self.passages[own][1]
                     if sum(map(there.__contains__, pattern)) >= MIN_LCS * len(pattern):
-                        self._verify(words, start, size, p, float(cosine[i, c]), out)
-        return out
+                        self._verify(words, start, size, own, float(cosine[i]), out)
+
+    def _vectors(self, starts: np.ndarray, size: int, places: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Unit latent vectors of windows; zero for one without telling words."""
+        lo, hi = np.searchsorted(places, starts), np.searchsorted(places, starts + size)
+        out = np.zeros((len(starts), self.terms.shape[1]), np.float32)
+        full = np.flatnonzero(hi > lo)
+        if len(full):
+            n = hi[full] - lo[full]
+            found = self.terms[ids[np.repeat(lo[full] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]]
+            out[full] = np.add.reduceat(found, np.cumsum(n) - n, axis=0)
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
     def _verify(self, words, begin: int, size: int, p: int, cosine: float, out: dict) -> None:
         item, pattern = self.passages[p]
