@@ -24,13 +24,16 @@ from pyspark.sql import functions as F
 
 from civicledger.llm.common import drop_columns_like, materialise, release_memo
 
-#: A subtree is template if it stands on so many percent of a host's different pages. On a host of few pages that says little:
-#: there it must stand on MIN_PAGES, or on more than half of them and LEAST_PAGES.
-MIN_PERCENT = 10
-MIN_PAGES = 5
-LEAST_PAGES = 3
+#: A subtree is template if, judged by a host's other pages, it surely stands on more than so large a share of them: the lower bound of
+#: Wilson's interval at SURE standard deviations. So it takes all of 3 pages, 6 of 12, and a share that sinks towards MIN_SHARE on large hosts.
+MIN_SHARE = 0.1
+SURE = 3.0
+#: Articles are a page's main text if they hold so large a share of it; an empty one or a teaser doesn't.
+MAIN_SHARE = 0.25
 #: Parts into which a host's subtrees are dealt when they meet its number of pages.
 SALTS = 32
+#: Hosts of more pages than this are dealt so.
+SALTED = 500
 #: Pages that are parsed together, to bound a worker's memory.
 SUB_BATCH = 64
 
@@ -42,11 +45,24 @@ BOILERPLATE_TAGS = frozenset("head title nav footer aside button select textarea
 SOFT_TAGS = frozenset(("form",))
 CONTAINERS = frozenset("div section ul ol dl table nav aside header footer form figure".split())
 MAIN_TAGS = frozenset(("article", "main"))
-BOILERPLATE_WORDS = frozenset(
-    "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer discussion footer gdpr "
-    "masthead menu modal nav navbar navigation newsletter notice notices paywall popup promo promoted promotion related replies respond share sharing sidebar "
-    "social sponsor sponsored subscribe subscription toolbar".split()
+STRONG_WORDS = frozenset(
+    "adsbygoogle advert advertisement advertising adverts breadcrumb breadcrumbs comments cookie cookies disqus footer gdpr masthead modal nav navbar navigation "
+    "newsletter paywall popup sidebar sponsored toolbar".split()
 )
+WEAK_WORDS = frozenset(
+    "ad ads banner banners comment consent disclaimer discussion form forms login menu menus notice notices promo promoted promotion related replies respond share "
+    "shares sharing signin signup social sponsor subscribe subscription".split()
+)
+STRUCTURAL_WORDS = frozenset(
+    "area areas article bar block body bottom box button buttons card cards column container content entry fixed group header holder icons inner item items left link "
+    "links list listing main message overlay page panel post posts primary right row secondary section site slot sticky thread title top unit widget widgets wrap wrapper zone".split()
+)
+#: What a wrapper has, hasn't or may have is not what it is.
+STATE_WORDS = frozenset("closed disabled enabled has have hide is no non not off on open with without".split())
+SITE_WORDS = frozenset("app area bar container fixed global inner main site sticky top web website wrap wrapper".split())
+#: Also names of a text's own sections.
+SECTION_WORDS = frozenset("disclaimer discussion form forms notice notices related respond".split())
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption address summary".split())
 BOILERPLATE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 #: An element of these is closed by the next one of the same group within the container.
 SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -59,7 +75,7 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 TELLING = re.compile(r"class|id|role|hidden|style", re.I)
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\d_]+")
 
 
 class Page:
@@ -145,7 +161,9 @@ class Page:
         self.parent.append(up)
         self.tag.append(tag)
         self.main.append(self.main[up] or (tag in MAIN_TAGS))
-        marked, named = _boilerplate(attrs) if attrs and tag not in ("html", "body") and TELLING.search(attrs) else (False, False)
+        marked, named = _boilerplate(attrs, self.main[up]) if attrs and tag not in ("html", "body") and TELLING.search(attrs) else (False, False)
+        if named and any(self.tag[at] in ("pre", "code") for at in self._open):
+            named = False  # a comment of a program's text
         self.bad.append(self.bad[up] or tag in BOILERPLATE_TAGS or (tag == "header" and not self.main[up]) or marked)
         if named or tag in SOFT_TAGS:
             self._named.add(len(self.tag) - 1)
@@ -192,13 +210,13 @@ class Page:
 
         A block never crosses the border of an element that isn't inline, and inline ones are no template, so it goes or stays whole.
         """
-        has_main = any(m and not b for m, b in zip(self.main, self.bad))
+        blocks = [(block, text, self.main[block[0][0]]) for block in self.blocks if (text := self._text(block))]
+        blocks = [(block, text, inside) for block, text, inside in blocks if inside or not self._links(block, text)]
+        article = sum(len(text) for _, text, inside in blocks if inside)
+        has_main = article > 0 and article >= MAIN_SHARE * sum(len(text) for _, text, _ in blocks)
         out: list[tuple[list[str], list[int]]] = []
-        for block in self.blocks:
-            if has_main:
-                block = [x for x in block if self.main[x[0]]]
-            text = self._text(block) if block else ""
-            if text and (has_main or not self._links(block, text)):
+        for block, text, inside in blocks:
+            if inside or not has_main:
                 around = [_signed(self.hash[at]) for at in self._around(block[0][0]) if self._removable(at)]
                 if out and out[-1][1] == around:
                     out[-1][0].append(text)
@@ -211,7 +229,10 @@ class Page:
         return "\n".join(t for t, _ in self.parts())
 
     def _links(self, block: list[tuple[int, str]], text: str) -> bool:
-        """True for a block outside any article that is mostly links and no sentence."""
+        """True for a block outside any article and paragraph that is mostly links and no sentence, as menus are."""
+        around = next((self.tag[at] for at in self._around(block[0][0]) if self.tag[at] not in INLINE), "")
+        if around in PARAGRAPHS:
+            return False
         linked = sum(len(t) for at, t in block if self.tag[at] == "a")
         return 2 * linked > len(text) and text[-1:] not in ".!?"
 
@@ -220,16 +241,31 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _boilerplate(attrs: str) -> tuple[bool, bool]:
-    """Whether an element is boilerplate by role or hidden; whether a word of its class or id says so: a token of such words only."""
+def _says_boilerplate(token: str, name: str, in_article: bool) -> bool:
+    """Whether a token of a class or id names boilerplate: a strong word in it, or a weak one among words of structure alone."""
+    parts = [w.lower() for w in WORD.findall(token)]
+    if STATE_WORDS.intersection(parts):
+        return False
+    if STRONG_WORDS.intersection(parts):
+        return True
+    if WEAK_WORDS.intersection(parts):
+        if in_article and name == "id" and len(parts) == 1 and parts[0] in SECTION_WORDS:
+            return False
+        return all(w in WEAK_WORDS or w in STRUCTURAL_WORDS or len(w) <= 3 for w in parts)
+    return "header" in parts and not in_article and all(w == "header" or w in SITE_WORDS or len(w) <= 3 for w in parts)
+
+
+def _boilerplate(attrs: str, in_article: bool = False) -> tuple[bool, bool]:
+    """Whether an element is boilerplate by role or hidden; whether a token of its class or id says so."""
     marked = named = False
     for name, value in ATTRIBUTE.findall(attrs):
-        name, value = name.lower(), value.strip("\"'").lower()
+        name, value = name.lower(), value.strip("\"'")
+        low = value.lower()
         if name in ("class", "id"):
-            named = named or any(all(map(BOILERPLATE_WORDS.__contains__, parts)) for token in value.split() if (parts := WORD.findall(token)))
+            named = named or any(_says_boilerplate(token, name, in_article) for token in value.split())
         elif name == "role":
-            marked = marked or value in BOILERPLATE_ROLES
-        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+            marked = marked or low in BOILERPLATE_ROLES
+        elif name == "hidden" or name == "aria-hidden" and low == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", low):
             marked = True
     return marked, named
 
@@ -239,7 +275,7 @@ def host_of(url_col: str):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_percent: int = MIN_PERCENT, min_pages: int = MIN_PAGES, least_pages: int = LEAST_PAGES) -> DataFrame:
+def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_share: float = MIN_SHARE, sure: float = SURE) -> DataFrame:
     """pages with `text` and `n_chars` for `html_col`, which goes; columns of these names are replaced, other columns stay.
 
     Null html is empty and gives empty text; null and repeated urls, ids and rows keep their rows. Pages without a host share one.
@@ -273,9 +309,9 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
     parsed = materialise(parsed, "html-parsed", compression="zstd")
     # longest is part of the first key and counts are added up in parts, so a large host's pages are counted by many tasks
     found = parsed.select(F.col("__host").alias("host"), F.col("__longest").alias("longest"), F.explode("__subtrees").alias("subtree"))
-    counts = found.distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).filter((F.col("subtree") == 0) | (F.col("n") >= least_pages))
+    counts = found.distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).filter((F.col("subtree") == 0) | (F.col("n") > 1))
     counts = materialise(counts, "html-counts")
-    template = _templates(counts, min_percent, min_pages)
+    template = _templates(counts, min_share, sure)
     gone = parsed.select(F.col("__host").alias("host"), F.col("__page").alias("page"), F.explode("__subtrees").alias("subtree")).distinct().join(template, ["host", "subtree"])
     gone = gone.groupBy(F.col("host").alias("__h"), F.col("page").alias("__p")).agg(F.collect_list("subtree").alias("__gone"))
     depends = F.exists("__parts", lambda x: F.size(x.around) > 0)
@@ -288,17 +324,22 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
-def _templates(counts: DataFrame, min_percent: int, min_pages: int) -> DataFrame:
+def least_share(n, pages, sure: float):
+    """Lower bound of the share of a host's pages that hold a subtree, as its other pages tell: n and pages without the one that is judged."""
+    k, m, z = (n - 1).cast("double"), (pages - 1).cast("double"), sure * sure
+    p = k / m
+    return F.when(m > 0, (p + z / (2 * m) - sure * F.sqrt(p * (1 - p) / m + z / (4 * m * m))) / (1 + z / m)).otherwise(F.lit(0.0))
+
+
+def _templates(counts: DataFrame, min_share: float, sure: float) -> DataFrame:
     """(host, subtree) of what is template, from (host, subtree, n), subtree 0 counting the host's different pages.
 
-    A subtree needs min_percent of the pages; where that is less than min_pages, it needs min_pages, or more than half of the pages.
-    Hosts of so many pages that the share decides are joined in SALTS parts, as their subtrees may be many.
+    Hosts of many pages are joined in SALTS parts, as their subtrees may be many.
     """
     hosts = counts.filter("subtree = 0").select(F.col("host").alias("h"), F.col("n").alias("pages"))
     trees = counts.filter("subtree <> 0")
-    share = 100 * F.col("n") >= min_percent * F.col("pages")
-    large = hosts.filter(F.col("pages") * min_percent > 100 * min_pages).withColumn("s", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    often = trees.filter(F.col("n") >= min_pages).join(large, (F.col("host") == F.col("h")) & (F.pmod("subtree", F.lit(SALTS)) == F.col("s")), "left").filter(F.col("pages").isNull() | share)
-    small = hosts.filter(F.col("pages") < 2 * min_pages)
-    mostly = trees.filter(F.col("n") < min_pages).join(small, F.col("host") == F.col("h")).filter((2 * F.col("n") > F.col("pages")) & share)
-    return often.select("host", "subtree").unionByName(mostly.select("host", "subtree"))
+    surely = least_share(F.col("n"), F.col("pages"), sure) > min_share + 1e-9
+    salt = F.pmod("subtree", F.lit(SALTS))
+    large = hosts.filter(F.col("pages") > SALTED).withColumn("s", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    found = [trees.join(large, (F.col("host") == F.col("h")) & (salt == F.col("s"))), trees.join(hosts.filter(F.col("pages") <= SALTED), F.col("host") == F.col("h"))]
+    return found[0].filter(surely).select("host", "subtree").unionByName(found[1].filter(surely).select("host", "subtree"))
