@@ -40,8 +40,8 @@ WINDOWS = (32, 64)
 STRIDE = 16
 #: Terms in more than this share of all documents say nothing about a passage, unless it has no others.
 MAX_DF = 0.05
-#: In a small table a term may stand in so many documents all the same.
-MAX_DF_DOCS = 20
+#: Documents that a term may stand in beyond that share, at any size of the table: few documents tell little about a share.
+SPARE_DOCS = 20
 MIN_TERMS = 3
 #: Latent dimensions, those that the random projection adds, and power iterations.
 RANK = 96
@@ -50,11 +50,11 @@ POWER = 2
 MIN_COSINE = 0.5
 #: Share of a passage's words that must stand in the window in their order.
 MIN_LCS = 0.8
-#: Words that count as a passage's answer: the last ones of an item, as items end with it, and the rarest of a passage in its middle;
-#: so many of them must stand in the window, unless so large a share of the passage does that it is a copy whatever its end.
+#: Words that count as a passage's answer: the rarest among an item's last END_WORDS, as items end with it, and of a whole passage in its middle.
+#: The fewer of them stand in the window, the larger a share of the passage must: SHARES by their number.
 ANSWER_WORDS = 3
-MIN_ANSWERS = 2
-SURE_LCS = 0.9
+END_WORDS = 8
+SHARES = (0.84, MIN_LCS)
 #: Rare words of a passage that must stand together before its words are compared, beyond those that a copy may lack.
 SUPPORT = 4
 #: Words of a text whose postings are laid out at once.
@@ -89,12 +89,12 @@ def passages_of(items: list[tuple], size: int = PASSAGE) -> list[tuple[int, list
 def answers_of(passages: list[tuple[int, list[bytes]]], df: dict[bytes, int]) -> list[frozenset[bytes]]:
     """The answer words of each passage."""
     ends = [p + 1 == len(passages) or passages[p + 1][0] != item for p, (item, _) in enumerate(passages)]
-    return [frozenset(words[-ANSWER_WORDS:] if end else sorted(set(words), key=lambda w: (df.get(w, 0), w))[:ANSWER_WORDS]) for end, (_, words) in zip(ends, passages)]
+    return [frozenset(sorted(set(words[-END_WORDS:] if end else words), key=lambda w: (df.get(w, 0), w))[:ANSWER_WORDS]) for end, (_, words) in zip(ends, passages)]
 
 
 def least_share(answers: frozenset[bytes], found: int) -> float:
     """The share of a passage that must stand where so many of its answer words do."""
-    return MIN_LCS if found >= min(MIN_ANSWERS, len(answers)) else SURE_LCS
+    return MIN_LCS if found >= len(answers) else SHARES[min(found, len(SHARES) - 1)]
 
 
 def _sum_blocks(rows: DataFrame, make, width: int, terms: int) -> np.ndarray:
@@ -354,7 +354,7 @@ def _frequencies(texts: DataFrame, vocab: set[bytes]) -> tuple[int, dict[bytes,
 def _latent_index(spark, passages, df: dict[bytes, int], n: int, rank: int) -> LatentIndex:
     everything = {w for _, ws in passages for w in ws}
     idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1e-3 for w in everything}
-    telling = {w for w in everything if df.get(w, 0) <= max(MAX_DF_DOCS, MAX_DF * n)}
+    telling = {w for w in everything if df.get(w, 0) <= SPARE_DOCS + MAX_DF * n}
     for _, ws in passages:
         if len(telling.intersection(ws)) < MIN_TERMS:
             telling.update(sorted(set(ws), key=lambda w: (-idf[w], w))[:MIN_TERMS])
