@@ -83,6 +83,14 @@ def drop_columns_like(df: DataFrame, names: list[str]) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in low])
 
 
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs without the rows whose id_col is among ids; rows with a null id stay. All columns of docs stay, whatever their names."""
+    gone, taken = "__gone", {c.lower() for c in docs.columns}
+    while gone in taken:
+        gone += "_"
+    return docs.join(ids.select(F.col(id_col).alias(gone)).distinct(), F.col(id_col) == F.col(gone), "left_anti")
+
+
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the edges, component being the smallest node reachable.
 

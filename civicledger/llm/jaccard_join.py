@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicledger.llm.common import connected_components, drop_columns_like, materialise, release_memo
+from civicledger.llm.common import connected_components, materialise, release_memo, without_ids
 
 #: Documents of a tree at most; larger blocks are cut into chunks that meet in pairs.
 CELL = 512
@@ -332,6 +332,5 @@ def _cell(rows: list, percent: int):
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """docs without the documents that aren't the smallest id of their component; rows with a null id stay."""
-    found = jaccard_components(docs, id_col, text_col, k, percent).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    docs = drop_columns_like(docs, ["__gone"])
-    return docs.join(found, F.col(id_col) == F.col("__gone"), "left_anti")
+    found = jaccard_components(docs, id_col, text_col, k, percent)
+    return without_ids(docs, found.filter(F.col(id_col) != F.col("component_id")), id_col)

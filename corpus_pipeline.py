@@ -12,7 +12,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicledger.llm.common import materialise, scratch_dir
+from civicledger.llm.common import materialise, scratch_dir, without_ids
 from civicledger.llm.decontamination import find_contamination
 from civicledger.llm.jaccard_join import drop_near_copies
 from civicledger.llm.line_dedup import dedup_lines
@@ -20,14 +20,10 @@ from civicledger.llm.packing import numbered, pack, tokenised_pieces
 from civicledger.llm.quality_classifier import classify
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select(F.col("doc_id").alias("__gone")).distinct(), F.col("doc_id") == F.col("__gone"), "left_anti")
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents of low quality and toxic ones."""
     judged = classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, judged.filter("NOT kept"))
+    return without_ids(docs, judged.filter("NOT kept"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +41,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents in which a benchmark item stands."""
-    return _without(docs, find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return without_ids(docs, find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +58,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: The classifier's fit, latent retrieval and packing have no SQL form. Tests hold the stages' operators against brute force, not a whole run.
+#: The classifier's fit, latent retrieval and packing have no SQL form. Tests hold a whole run against plain Python stage by stage.
 ORACLE_SQL = None
 
 
