@@ -5,7 +5,7 @@ of these words stands (a bounded vocabulary, so Spark adds up a few hundred coun
 takes from each text its licence words of highest inverse document frequency, for each template so many
 that no alignment can lack them all, looks their postings up, and intersects them by relative position: occurrences that agree on where a template begins
 support one alignment. An alignment counts if the template's words stand there and every mandatory
-key phrase does. Both passes are map-only over whole texts.
+key phrase does, and no denial stands shortly before. Behind a tag an expression of short names is read. Both passes are map-only over whole texts.
 """
 
 from __future__ import annotations
@@ -70,11 +70,38 @@ TEXTS = (
     ("wtfpl", "do what the fuck you want to public license", ("what the fuck you want to public license",)),
     ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright and related or neighboring rights",)),
     ("cc0-1.0", "dedicated to the public domain under cc0 1 0 universal", ("cc0 1 0 universal",)),
+    ("bsd", "released under the bsd license", ("bsd license",)),
+    ("bsd-3-clause", "under the terms of the 3 clause bsd license", ("3 clause bsd license",)),
+    ("bsd-2-clause", "under the terms of the 2 clause bsd license", ("2 clause bsd license",)),
+    ("isc", "released under the isc license", ("isc license",)),
+    ("zlib", "released under the zlib license", ("zlib license",)),
+    ("artistic-2.0", "released under the artistic license 2 0", ("artistic license 2 0",)),
+    ("artistic-2.0", "under the terms of the artistic license version 2 0", ("artistic license version 2 0",)),
+    ("gpl-2.0", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed preamble the licenses for most software are designed to take away your freedom to share and change it "
+     "by contrast the gnu general public license is intended to guarantee your freedom to share and change free software to make sure the software is free for all its users",
+     ("licenses for most software are designed to take away your freedom", "gnu general public license is intended to guarantee your freedom")),
+    ("gpl-3.0", "the gnu general public license is a free copyleft license for software and other kinds of works the licenses for most software and other practical works are designed to take away your freedom to share and change the works",
+     ("free copyleft license for software and other kinds of works", "designed to take away your freedom to share and change the works")),
+    ("lgpl", "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license supplemented by the additional permissions listed below",
+     ("supplemented by the additional permissions listed below",)),
+    ("agpl", "the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software",
+     ("specifically designed to ensure cooperation with the community",)),
+    ("apache-2.0", "license shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9 of this document licensor shall mean the copyright owner or entity authorized by the copyright owner that is granting the license",
+     ("as defined by sections 1 through 9 of this document",)),
+    ("mpl-2.0", "contributor means each individual or legal entity that creates contributes to the creation of or owns covered software contributor version means the combination of the contributions of others if any used by a contributor and that particular contributor s contribution",
+     ("contributes to the creation of or owns covered software",)),
 )
+#: Families whose versions notices name in short: (label without version, spellings, versions).
+FAMILIES = (
+    ("gpl", ("gnu gpl", "gnu general public license"), ("2", "3")), ("lgpl", ("gnu lgpl", "gnu lesser general public license"), ("2 1", "3")), ("agpl", ("gnu agpl", "gnu affero general public license"), ("3",)),
+)
+#: Words that deny a notice, just before it or between its words.
+DENIALS = frozenset((b"not", b"never", b"neither", b"nor"))
 #: Short names as files state them in a tag, and the two spellings of a Creative Commons licence's terms.
 TAGS = (
     "MIT", "Apache-2.0", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later",
     "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "MPL-2.0", "EPL-1.0", "EPL-2.0", "BSL-1.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "0BSD", "EUPL-1.2", "Artistic-2.0",
+    "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MIT-0", "BSD-4-Clause", "X11", "NCSA", "OFL-1.1", "PSF-2.0", "PostgreSQL", "WTFPL", "CDDL-1.0", "CC-BY-3.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "Apache-1.1", "GFDL-1.3",
 )
 COMMONS = (
     ("by", "attribution"), ("by sa", "attribution sharealike"), ("by nc", "attribution noncommercial"), ("by nd", "attribution noderivatives"), ("by nc sa", "attribution noncommercial sharealike"), ("by nc nd", "attribution noncommercial noderivatives"),
@@ -92,7 +119,16 @@ def _commons(terms: str, name: str, version: str) -> list[tuple[str, str, tuple[
     return [(label, f"licensed under cc {terms} {version}", (f"cc {terms} {version}",)), (label, f"licensed under a creative commons {name} {version} international license", (f"creative commons {name} {version}",))]
 
 
-TEMPLATES = (*TEXTS, *map(_tag, TAGS), *(t for terms, name in COMMONS for version in VERSIONS for t in _commons(terms, name, version)))
+def _family(label: str, name: str, version: str) -> list[tuple[str, str, tuple[str, ...]]]:
+    full = f"{label}-{version.replace(' ', '.')}" + ".0" * (" " not in version)
+    return [(full, f"licensed under the {name} {v}", (f"{name} {v}",)) for v in (f"v{version}", f"version {version}")]
+
+
+TEMPLATES = (*TEXTS, *(t for label, names, versions in FAMILIES for name in names for version in versions for t in _family(label, name, version)), *map(_tag, TAGS), *(t for terms, name in COMMONS for version in VERSIONS for t in _commons(terms, name, version)))
+#: Short names by their words, for the expressions that follow a tag.
+NAMES = {tuple(text.encode().split()[3:]): label for label, text, _ in map(_tag, TAGS)}
+#: Words that an exception behind WITH has at most.
+EXCEPTION_WORDS = 6
 #: Share of a template's words that must stand at their places.
 MIN_SCORE = 0.8
 #: Places of a template on which looked-up words must agree before all its words are compared.
@@ -152,12 +188,39 @@ class Index:
             label, pattern, keys = self.templates[t]
             window = words[max(0, begin - SLACK) : begin + len(pattern) + SLACK]
             score = aligned(pattern, window) / len(pattern)
-            if score >= MIN_SCORE and all(places(window, k) for k in keys):
+            if score >= MIN_SCORE and all(places(window, k) for k in keys) and not denied(words, max(0, begin - SLACK), window, pattern, keys[0]):
                 labels.add(label)
                 best = max(best, score)
         return labels, best
 
 
+def denied(words: list[bytes], first: int, window: list[bytes], pattern: list[bytes], key: list[bytes]) -> bool:
+    """Whether a denial that isn't the pattern's own stands between the word before the notice and its key phrase."""
+    at = first + places(window, key)[0]
+    begin = at - places(pattern, key)[0]
+    return not DENIALS.difference(pattern).isdisjoint(words[max(0, begin - 1) : at])
+
+
+def expression_labels(words: list[bytes]) -> set[str]:
+    """The short names of the expressions that follow tags: names joined by AND and OR, exceptions behind WITH left out."""
+    out: set[str] = set()
+    longest = max(map(len, NAMES))
+    for at in places(words, [b"license", b"identifier"]):
+        at += 2
+        while True:
+            n = next((n for n in range(longest, 0, -1) if tuple(words[at : at + n]) in NAMES), 0)
+            if not n:
+                break
+            out.add(NAMES[tuple(words[at : at + n])])
+            at += n
+            if words[at : at + 1] == [b"with"]:
+                at = next((k for k in range(at + 1, min(len(words), at + 2 + EXCEPTION_WORDS)) if words[k] in (b"and", b"or")), len(words))
+            if words[at : at + 1] not in ([b"and"], [b"or"]):
+                break
+            at += 1
+    return out
+
+
 def aligned(pattern: list[bytes], window: list[bytes]) -> int:
     """Words of the pattern that stand in the window in its order, each within SLACK of its place."""
     at, n = 0, 0
@@ -228,6 +291,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                             named.add(label)
                 if present:
                     labels, score = index.scan(words, present)
+                if b"identifier" in present:
+                    tagged = expression_labels(words)
+                    labels, score = labels | tagged, 1.0 if tagged else score
                 labels |= named
                 rows.append((len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(named)), ",".join(sorted(labels)), 1.0 if named else score))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())

@@ -103,6 +103,20 @@ def test_license_scans(docs, none):
         assert ",".join(sorted(index.scan(words, index.words.intersection(words))[0])) == labels, text
 
 
+def test_license_expressions_and_denials(spark):
+    from civicledger.llm.license_scans import TEMPLATES, places, scan_licenses
+
+    texts = {
+        "SPDX-License-Identifier: MIT OR Apache-2.0": "apache-2.0,mit", "# SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0) AND BSD-3-Clause\nint x;": "bsd-3-clause,gpl-2.0,gpl-2.0-only",
+        "SPDX-License-Identifier: NOASSERTION or else": "", "This is under the GNU GPL v3, mostly.": "gpl-3.0", "Released under the BSD License.": "bsd", "It is released under the Artistic License 2.0": "artistic-2.0",
+        "This work is not licensed under the GNU General Public License version 2": "gpl", "not licensed under the Apache License, Version 2.0": "apache", "This is not free. Licensed under the Apache License, Version 2.0": "apache,apache-2.0",
+        "You may not use this file except in compliance with the License. You may obtain a copy of the License at": "apache-2.0", "licensed under the GNU LGPL version 2.1": "lgpl-2.1",
+    }
+    got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {t: got[i].labels for i, t in enumerate(texts)} == texts
+    assert all(places(text.encode().split(), key.encode().split()) for _, text, keys in TEMPLATES for key in keys)
+
+
 def test_license_alignments_against_sliding():
     from collections import Counter
 
