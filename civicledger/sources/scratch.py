@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,7 +16,7 @@ def scratch_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. Only a local session without one gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = _own.setdefault("dir", "") or "file://" + tempfile.mkdtemp(prefix="civicledger-")
         _own["dir"] = found
