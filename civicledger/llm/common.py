@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from civicledger.sources.scratch import scratch_dir
+
 #: ASCII white space that separates words in all operators, as a Java/RE2 class.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: Spark's setting by which an execution's shuffle files go with its end instead of with the driver's garbage.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A longer text is counted by parts of this many bytes.
 PART = 1 << 20
-#: The folder of a local session that names none.
-_own: dict[str, str | None] = {}
+#: Settings that are held for a while: (how many hold it, what it was).
+_settings: dict[tuple[int, str], list] = {}
+_settings_lock = threading.Lock()
 #: What an operator keeps in this worker process between tasks: (its name, the object).
 _memo: list = ["", None]
 
@@ -34,15 +38,21 @@ def release_memo() -> None:
     _memo[:] = ["", None]
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir. Only a local session without one gets a temporary folder."""
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        conf = _own.setdefault("dir", None) or "file://" + tempfile.mkdtemp(prefix="civicledger-")
-        _own["dir"] = conf
-    return f"{conf.rstrip('/')}/civicledger"
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A setting of the session while any thread is in here; the last one out puts back what was there."""
+    with _settings_lock:
+        held = _settings.setdefault((id(spark), key), [0, spark.conf.get(key, None)])
+        held[0] += 1
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        with _settings_lock:
+            held[0] -= 1
+            if not held[0]:
+                del _settings[id(spark), key]
+                spark.conf.unset(key) if held[1] is None else spark.conf.set(key, held[1])
 
 
 def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
@@ -52,12 +62,8 @@ def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(SHUFFLE_CLEANUP, None)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
-    try:
+    with setting(spark, SHUFFLE_CLEANUP, "true"):
         df.write.parquet(path, compression=compression)
-    finally:
-        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

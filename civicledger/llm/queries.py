@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicledger.llm.common import materialise
+from civicledger.llm.common import materialise, setting
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,9 +73,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = f"{scratch_dir(spark)}/warc-{uuid4().hex}"
     write_warc(_table(spark, sf_dir, "pages"), path)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    back = read_warc(spark, path).filter(F.col("record_type").isin("response", "revisit"))
-    return back.select(page_ids("record_id", "long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_ids("refers_to", "long").alias("refers_to"))
+    with setting(spark, "spark.sql.python.filterPushdown.enabled", "true"):  # read when a scan is planned, so the scan runs in here
+        back = read_warc(spark, path).filter(F.col("record_type").isin("response", "revisit"))
+        back = back.select(page_ids("record_id", "long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_ids("refers_to", "long").alias("refers_to"))
+        return materialise(back, "warc-read")
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
