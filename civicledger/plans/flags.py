@@ -68,8 +68,8 @@ def missing_category(s: DataFrame, suppliers: DataFrame) -> DataFrame:
 
 
 def _large(s: DataFrame, suppliers: DataFrame) -> DataFrame:
-    """The largest payments of at least LARGE, cut before anything else is asked of them; payments that are alike in all were summed up."""
-    rows = s.filter("kind = 'large'").select(*KEY, "supplier_id", "payment.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
+    """The largest payments of at least LARGE, cut before anything else is asked of them; payments that are alike in all were summed up, and come apart as often as the cut can use."""
+    rows = s.filter("kind = 'large'").select(*KEY, "supplier_id", "payment.*", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("n"), F.lit(LARGE_ROWS).cast("long")))).alias("copy"))
     order = [c for c in rows.columns if c not in (*KEY, "supplier_id", "amount", "date", "description")]
     w = Window.partitionBy(*KEY).orderBy(F.desc("amount"), "date", *order)
     return _named(rows.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= LARGE_ROWS), suppliers)

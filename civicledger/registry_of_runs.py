@@ -47,7 +47,7 @@ def _ledger(spark: SparkSession) -> Ledger:
     return Ledger.create(spark, f"{scratch_dir(spark)}/ledger-{uuid4().hex}")
 
 
-# --- ingestion: each nation has published one file; every third lacks the required columns
+# --- ingestion: each nation has published files of up to 500 customers' numbers; every third nation's lack the required columns
 
 HEADERS = ("Supplier,Amount,Date,Directorate,Description", "Vendor Name,Amount Excluding VAT,Payment Date,Cost Centre Description,Purpose of Spend", "Date,Narrative,Other,Notes,More")
 
@@ -60,14 +60,14 @@ def landed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     date = F.concat_ws("/", (key % 28 + 1).cast("string"), (key % 12 + 1).cast("string"), (key % 5 + 2000).cast("string"))
     quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
     line = F.concat_ws(",", quoted(F.when(key % 7 == 0, F.lit("")).otherwise(F.concat(F.col("c_name"), F.lit(", Ltd")))), quoted(amount), F.when(key % 9 == 0, F.lit("")).otherwise(date), F.col("c_mktsegment"), F.when(key % 11 == 0, F.lit("")).otherwise(F.lit("a \"\"b\"\"").substr(1, 1)))
-    files = c.groupBy(F.col("c_nationkey").cast("long").alias("council_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", line.alias("line")))), lambda x: x.line), "\n").alias("body"))
+    files = c.groupBy(F.col("c_nationkey").cast("long").alias("council_id"), F.expr("c_custkey div 500").alias("part")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", line.alias("line")))), lambda x: x.line), "\n").alias("body"))
     head = F.element_at(F.array(*map(F.lit, HEADERS)), (F.col("council_id") % 3 + 1).cast("int"))
     name = F.when(F.col("council_id") % 2 == 0, F.lit("spend-2024-05.csv")).otherwise(F.lit("Purchase-Card-2023_02_28.csv"))
-    return files.select("council_id", F.concat(F.lit("https://council/"), F.col("council_id").cast("string")).alias("url"), name.alias("filename"), F.concat(head, F.lit("\n"), F.col("body"), F.lit("\n")).cast("binary").alias("content"), F.lit("{not json").alias("profile"))
+    return files.select("council_id", F.concat_ws("/", F.lit("https://council"), F.col("council_id").cast("string"), F.col("part").cast("string")).alias("url"), name.alias("filename"), F.concat(head, F.lit("\n"), F.col("body"), F.lit("\n")).cast("binary").alias("content"), F.lit("{not json").alias("profile"))
 
 
 _FILES = """
-with c as (select c_nationkey::bigint as council_id, c_custkey as k, case when c_custkey % 7 = 0 then '' else c_name || ', Ltd' end as supplier,
+with c as (select c_nationkey::bigint as council_id, c_custkey as k, c_custkey // 500 as part, case when c_custkey % 7 = 0 then '' else c_name || ', Ltd' end as supplier,
   case when c_custkey % 10 = 0 then 0 else c_custkey + 0.5 end::double as amount, case when c_custkey % 9 = 0 then '' else (c_custkey % 5 + 2000)::varchar || '-' || lpad((c_custkey % 12 + 1)::varchar, 2, '0') || '-' || lpad((c_custkey % 28 + 1)::varchar, 2, '0') end as date,
   c_mktsegment as place, case when c_custkey % 11 = 0 then '' else 'a' end as description,
   case when c_nationkey % 2 = 0 then 'spend-2024-05.csv' else 'Purchase-Card-2023_02_28.csv' end as file, case when c_nationkey % 2 = 0 then '2024-05' else '2023-02' end as file_month from customer),
@@ -96,17 +96,17 @@ def _ingest_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("council_id", "supplier_name", F.col("amount").cast("double").alias("amount"), "date", "month", "directorate", "service", "fy", "source_file")
 
 
-_register("ingest_run", _FILES + """, n as (select council_id, count(*) as n, sum(skipped) as skipped from r group by 1)
-select council_id, 1::bigint as discovered, 1::bigint as "new", case when council_id % 3 = 2 then 0 else n - skipped end::bigint as inserted, case when council_id % 3 = 2 then n else skipped end::bigint as skipped,
-  case when council_id % 3 = 2 then 1 else 0 end::bigint as errors, case when council_id % 3 = 2 then 'failing' else 'active' end as status from n""")(lambda s, d: _ingested(s, d)[1])
-_register("ingest_run_again", _FILES + """, n as (select council_id, count(*) as n from r group by 1)
-select council_id, 1::bigint as discovered, case when council_id % 3 = 2 then 1 else 0 end::bigint as "new", 0::bigint as inserted, case when council_id % 3 = 2 then n else 0 end::bigint as skipped,
-  case when council_id % 3 = 2 then 1 else 0 end::bigint as errors, case when council_id % 3 = 2 then 'failing' else 'active' end as status from n""")(lambda s, d: _ingested(s, d)[2])
-_register("ingest_totals", _FILES + """select (select count(*) from good)::bigint as inserted, (select count(distinct council_id) from c where council_id % 3 = 2)::bigint as errors""")(lambda s, d: R.run_totals(_ingested(s, d)[1]))
+_register("ingest_run", _FILES + """, n as (select council_id, count(*) as n, sum(skipped) as skipped, count(distinct part) as files from r group by 1)
+select council_id, files as discovered, files as "new", case when council_id % 3 = 2 then 0 else n - skipped end::bigint as inserted, case when council_id % 3 = 2 then n else skipped end::bigint as skipped,
+  case when council_id % 3 = 2 then files else 0 end::bigint as errors, case when council_id % 3 = 2 then 'failing' else 'active' end as status from n""")(lambda s, d: _ingested(s, d)[1])
+_register("ingest_run_again", _FILES + """, n as (select council_id, count(*) as n, count(distinct part) as files from r group by 1)
+select council_id, files as discovered, case when council_id % 3 = 2 then files else 0 end::bigint as "new", 0::bigint as inserted, case when council_id % 3 = 2 then n else 0 end::bigint as skipped,
+  case when council_id % 3 = 2 then files else 0 end::bigint as errors, case when council_id % 3 = 2 then 'failing' else 'active' end as status from n""")(lambda s, d: _ingested(s, d)[2])
+_register("ingest_totals", _FILES + """select (select count(*) from good)::bigint as inserted, (select count(distinct (council_id, part)) from c where council_id % 3 = 2)::bigint as errors""")(lambda s, d: R.run_totals(_ingested(s, d)[1]))
 _register("ingest_years", _FILES + """, y as (select distinct council_id, y from good union select distinct council_id, case when council_id % 2 = 0 then 2024 else 2022 end from c where council_id % 3 <> 2)
 select council_id, y || '-' || lpad(((y + 1) % 100)::varchar, 2, '0') as label, y || '-04-01' as start_date, (y + 1) || '-03-31' as end_date from y""")(
     lambda s, d: _ingested(s, d)[0].table("financial_years").drop("id"))
-_register("ingest_documents", _FILES + """select distinct council_id, file as filename, 'https://council/' || council_id as url, case when council_id % 2 = 0 then 'expenditure' else 'procurement_card' end as type, case when council_id % 2 = 0 then '2024-25' else '2022-23' end as fy from c where council_id % 3 <> 2""")(
+_register("ingest_documents", _FILES + """select distinct council_id, file as filename, 'https://council/' || council_id || '/' || part as url, case when council_id % 2 = 0 then 'expenditure' else 'procurement_card' end as type, case when council_id % 2 = 0 then '2024-25' else '2022-23' end as fy from c where council_id % 3 <> 2""")(
     lambda s, d: _ingested(s, d)[0].table("source_documents").select("council_id", "filename", "url", "type", "fy"))
 
 
@@ -226,7 +226,7 @@ union all select 1, 'UNIQUE constraint failed: source_documents.id', count(*) -
 # --- budgets
 
 _register("budget_load", """
-with l as (select o_custkey % 4 as council_id, o_orderkey as line_no, case o_custkey % 3 when 0 then '2023-24-budget-book.pdf' when 1 then 'statement-of-accounts-2022-23.pdf' else 'notes-2023-24.pdf' end as file, o_orderkey % 4 as k from orders),
+with l as (select o_custkey % 4 as council_id, o_orderkey as line_no, case o_custkey % 3 when 0 then '2023-24-budget-book' when 1 then 'statement-of-accounts-2022-23' else 'notes-2023-24' end || '-p' || (o_orderkey // 20000) || '.pdf' as file, o_orderkey % 4 as k from orders),
 a as (select *, last_value(case k when 0 then 'Place' end ignore nulls) over w as directorate, max(case when k = 1 then 1 else 0 end) over w as started from l window w as (partition by council_id, file order by line_no rows between unbounded preceding and current row))
 select council_id, '2023-24' as fy, directorate, 'Libraries' as service, 1200000.0::double as net, nullif(line_no * 1000.0::double, 0) as other, 'budget' as type from a where k in (2, 3) and directorate is not null and file like '%budget%'
 union all select council_id, '2022-23', directorate, 'Libraries', line_no * 1000.0::double, 1200000.0::double, 'outturn' from a where k in (2, 3) and directorate is not null and started = 1 and file like 'statement%'""")(
@@ -238,7 +238,8 @@ def _loaded_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, k = F.col("o_orderkey"), F.col("o_orderkey") % 4
     line = F.when(k == 0, "PLACE").when(k == 1, "Outturn").otherwise(F.concat(F.lit("Libraries "), key.cast("string"), F.lit(" 1,200")))
     kind = F.col("o_custkey") % 3
-    name = F.when(kind == 0, "2023-24-budget-book.pdf").when(kind == 1, "statement-of-accounts-2022-23.pdf").otherwise("notes-2023-24.pdf")
+    name = F.when(kind == 0, "2023-24-budget-book").when(kind == 1, "statement-of-accounts-2022-23").otherwise("notes-2023-24")
+    name = F.concat(name, F.lit("-p"), F.expr("o_orderkey div 20000").cast("string"), F.lit(".pdf"))  # as many books as the orders need
     lines = _read(spark, sf_dir, "orders").select((F.col("o_custkey") % 4).alias("council_id"), name.alias("file"), key.alias("line_no"), line.alias("line"))
     ledger = _ledger(spark)
     for _ in range(2):
