@@ -69,11 +69,6 @@ def new_files(found: DataFrame, ledger: DataFrame) -> DataFrame:
     return found.join(ledger.select("council_id", "url"), ["council_id", "url"], "left_anti")
 
 
-def store(rows: DataFrame, path: str, mode: str = "append") -> None:
-    """Accepted rows, partitioned as queries slice them."""
-    rows.filter("skip IS NULL").drop("skip").write.mode(mode).partitionBy("council_id", "fy").parquet(path)
-
-
 #: Directorates that head the lines of a budget book, tried in this order.
 ANCHORS = (
     "Adults and Health", "Children and Families", "Place", "Homes and Neighbourhoods", "Growth and Regeneration", "Public Health and Corporate Resources",

@@ -23,6 +23,7 @@ from civicledger.plans import search
 from civicledger.registry_of_queries import BASE, ORDER, SPEND_ORACLES
 from civicledger.sources import catalog, discovery, seed
 from civicledger.sources.scratch import scratch_dir
+from civicledger.sources.spreadsheets import list_files
 
 RUN_QUERIES: dict = {}
 RUN_ORACLES: dict[str, str] = {}
@@ -197,8 +198,7 @@ def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/csv-{uuid4().hex}"
     customers = _read(spark, sf_dir, "customer").select("c_nationkey", F.col("c_mktsegment").alias("Vendor"), F.col("c_custkey").alias("Net Amount"), F.concat(F.col("c_name"), F.lit(", \"x\"")).alias("Description"))
     customers.write.partitionBy("c_nationkey").option("header", True).option("escape", '"').csv(path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(path).select("path")
-    files = files.select(F.regexp_extract("path", r"c_nationkey=(\d+)", 1).cast("long").alias("council_id"), F.col("path").alias("url"), F.element_at(F.split("path", "/"), -1).alias("filename"), "path", F.lit(None).cast("string").alias("profile"))
+    files = list_files(spark, path, recursive=True).select(F.regexp_extract("path", r"c_nationkey=(\d+)", 1).cast("long").alias("council_id"), F.col("path").alias("url"), "filename", "path", F.lit(None).cast("string").alias("profile"))
     ledger = _ledger(spark)
     R.ingest(ledger, files, NOW, parse=scan_files)
     return _all_transactions(ledger)
@@ -267,11 +267,11 @@ def _budget_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.table("source_documents").select("council_id", "filename", "url", "type", "fy")
 
 
-# --- discovery: of four nations one has a catalogue entry, one a page with files, one a page that leads to another, one nothing
+# --- discovery: of four customers one has a catalogue entry, one a page with files, one a page that leads to another, one nothing
 
 def _web(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(councils, catalogue answers, pages) made from nations."""
-    n = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
+    """(councils, catalogue answers, pages) made from customers."""
+    n = _read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("id"))
     site = F.concat(F.lit("https://n"), F.col("id").cast("string"), F.lit(".example"))
     councils = n.select("id", F.when(F.col("id") % 4 <= 1, F.concat(F.lit("p"), F.col("id").cast("string"))).alias("data_gov_id"), F.when(F.col("id") % 4 != 3, F.concat(site, F.lit("/open/"))).alias("transparency_url"), F.when(F.col("id") % 8 == 1, F.lit("ledger q\\d")).alias("file_pattern"))
     resource = lambda url, form, at: F.struct(F.concat(site, F.lit(url)).alias("url"), F.lit("Spend May").alias("name"), F.lit(form).alias("format"), F.lit(at).cast("string").alias("last_modified"), F.lit("2024-01-01").alias("created"))
@@ -284,26 +284,26 @@ def _web(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFr
     return councils, answers, start.unionByName(below)
 
 
-_SITE = "'https://n' || n_nationkey || '.example'"
+_SITE = "'https://n' || c_custkey || '.example'"
 _register("discover_dispatch", f"""
-select n_nationkey::bigint as id, {_SITE} || '/a%20b+c.csv?x=1' as url, 'a-b+c.csv' as filename, 'csv' as format, '2024-02-02' as modified from nation where n_nationkey % 4 = 0
-union all select n_nationkey::bigint, {_SITE} || '/d/', 'spend-may.xlsx', 'xlsx', '2024-01-01' from nation where n_nationkey % 4 = 0
-union all select n_nationkey::bigint, {_SITE} || '/f/may%20x.CSV?v=2', 'may-x.CSV', 'csv', null from nation where n_nationkey % 4 = 1
-union all select n_nationkey::bigint, {_SITE} || '/x/spend-over-500-january', 'spend-over-500-january.csv', 'csv', null from nation where n_nationkey % 4 = 1
-union all select n_nationkey::bigint, {_SITE} || '/r/ledger', 'ledger.csv', 'csv', null from nation where n_nationkey % 8 = 1
-union all select n_nationkey::bigint, {_SITE} || '/files/one.xlsx', 'one.xlsx', 'xlsx', null from nation where n_nationkey % 4 = 2""")(lambda s, d: discovery.discover_files(*_web(s, d)))
-_register("legacy_links", f"select {_SITE} || '/f/may%20x.CSV?v=2' as url, 'may-x.CSV' as filename from nation where n_nationkey % 4 in (0, 1) union all select {_SITE} || '/files/one.xlsx', 'one.xlsx' from nation where n_nationkey % 4 = 2")(
+select c_custkey::bigint as id, {_SITE} || '/a%20b+c.csv?x=1' as url, 'a-b+c.csv' as filename, 'csv' as format, '2024-02-02' as modified from customer where c_custkey % 4 = 0
+union all select c_custkey::bigint, {_SITE} || '/d/', 'spend-may.xlsx', 'xlsx', '2024-01-01' from customer where c_custkey % 4 = 0
+union all select c_custkey::bigint, {_SITE} || '/f/may%20x.CSV?v=2', 'may-x.CSV', 'csv', null from customer where c_custkey % 4 = 1
+union all select c_custkey::bigint, {_SITE} || '/x/spend-over-500-january', 'spend-over-500-january.csv', 'csv', null from customer where c_custkey % 4 = 1
+union all select c_custkey::bigint, {_SITE} || '/r/ledger', 'ledger.csv', 'csv', null from customer where c_custkey % 8 = 1
+union all select c_custkey::bigint, {_SITE} || '/files/one.xlsx', 'one.xlsx', 'xlsx', null from customer where c_custkey % 4 = 2""")(lambda s, d: discovery.discover_files(*_web(s, d)))
+_register("legacy_links", f"select {_SITE} || '/f/may%20x.CSV?v=2' as url, 'may-x.CSV' as filename from customer where c_custkey % 4 in (0, 1) union all select {_SITE} || '/files/one.xlsx', 'one.xlsx' from customer where c_custkey % 4 = 2")(
     lambda s, d: discovery.legacy_links(_web(s, d)[2]))
 
 
-@_register("package_search", """select 'id' || n_nationkey as data_gov_id, 'title ' || n_nationkey as title, case n_nationkey % 3 when 0 then 'Org ' || n_nationkey when 1 then 'org-' || n_nationkey else '' end as org from nation where n_nationkey % 5 <> 4""")
+@_register("package_search", """select 'id' || c_custkey as data_gov_id, 'title ' || c_custkey as title, case c_custkey % 3 when 0 then 'Org ' || c_custkey when 1 then 'org-' || c_custkey else '' end as org from customer where c_custkey % 5 <> 4""")
 def _package_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two queries' answers, the second of which has every package again under another title."""
-    n = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("k"), F.col("n_nationkey").alias("i"))
+    """Two queries' answers by hundreds, the second of which has every package again under another title."""
+    n = _read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("k"), F.col("c_custkey").alias("i"))
     org = F.struct(F.when(F.col("i") % 3 == 0, F.concat(F.lit("Org "), "k")).when(F.col("i") % 3 == 1, "").alias("title"), F.when(F.col("i") % 3 == 1, F.concat(F.lit("org-"), "k")).alias("name"))
     form = F.array(F.struct(F.lit("PDF").alias("format")), F.struct(F.when(F.col("i") % 5 != 4, F.lit(" Xlsx")).alias("format")))
-    answers = [n.groupBy((F.col("i") % 2).alias("half")).agg(F.sort_array(F.collect_list(F.struct(F.concat(F.lit("id"), "k").alias("id"), F.concat(F.lit(title), "k").alias("title"), org.alias("organization"), form.alias("resources")))).alias("results")).select(
-        F.lit(q).alias("query_no"), (F.col("half") * 100).cast("long").alias("offset"), F.to_json(F.struct(F.lit(True).alias("success"), F.struct(F.lit(25).alias("count"), "results").alias("result"))).alias("json")) for q, title in ((0, "title "), (1, "other "))]
+    answers = [n.groupBy(F.expr("i div 100").alias("page")).agg(F.sort_array(F.collect_list(F.struct(F.concat(F.lit("id"), "k").alias("id"), F.concat(F.lit(title), "k").alias("title"), org.alias("organization"), form.alias("resources")))).alias("results")).select(
+        F.lit(q).alias("query_no"), (F.col("page") * 100).cast("long").alias("offset"), F.to_json(F.struct(F.lit(True).alias("success"), F.struct(F.lit(25).alias("count"), "results").alias("result"))).alias("json")) for q, title in ((0, "title "), (1, "other "))]
     return discovery.search_packages(reduce(DataFrame.unionByName, answers))
 
 

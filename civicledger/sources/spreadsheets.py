@@ -22,10 +22,10 @@ def read_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return df.na.fill("").withColumn("__file", F.col("_metadata.file_name"))
 
 
-def list_files(spark: SparkSession, folder: str, pattern: str = "*.{[cC][sS][vV],[xX][lL][sS][xX],[xX][lL][sS]}") -> DataFrame:
-    """(filename, path, content) of a folder's spreadsheets, by name; their extensions in any case."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return files.select(F.col("_metadata.file_name").alias("filename"), "path", "content").orderBy("filename")
+def list_files(spark: SparkSession, folder: str, pattern: str = "*.{[cC][sS][vV],[xX][lL][sS][xX],[xX][lL][sS]}", recursive: bool = False) -> DataFrame:
+    """(filename, path, content) of a folder's spreadsheets, by name; their extensions in any case. recursive: and of those below it. Content is read only where it is used."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(folder)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "path", "content").orderBy("filename")
 
 
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:

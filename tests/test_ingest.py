@@ -146,3 +146,12 @@ def test_fixed_decimals(spark):
     got = spark.createDataFrame(cases, "x double, y string").select(X.to_fixed(F.col("x"), 1).alias("a"), "y", X.to_fixed(F.col("x"), 0).alias("b")).collect()
     assert [r.a for r in got] == [r.y for r in got] and [r.b for r in got][:5] == ["1", "1", "0", "1", "3"]
     assert spark.range(1).select(X.short_amount(F.lit(1_150_000.0))).first()[0] == "£1.1m"
+
+
+def test_list_files(spark, tmp_path):
+    for name in ("b.Csv", "a.XLSX", "c.xls", "d.csv", "e.pdf", "f.csv.bak", "g.txt"):
+        (tmp_path / name).write_bytes(name.encode())
+    (tmp_path / "below").mkdir()
+    (tmp_path / "below" / "h.csv").write_bytes(b"x")
+    assert [(r.filename, bytes(r.content)) for r in S.list_files(spark, f"file://{tmp_path}").collect()] == [(n, n.encode()) for n in ("a.XLSX", "b.Csv", "c.xls", "d.csv")]
+    assert "h.csv" in {r.filename for r in S.list_files(spark, f"file://{tmp_path}", recursive=True).collect()}
