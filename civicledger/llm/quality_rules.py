@@ -27,20 +27,20 @@ CLOSING = r"['\"”’»)\]]"
 TERMINAL = rf"[.!?…。！？:;]{CLOSING}*$"
 #: Characters at a line's end that usually settle this.
 TAIL = 64
-#: Phrases of boilerplate lines, lower case.
+#: Phrases of boilerplate lines, lower case, by language: English, German, French, Spanish.
 BOILERPLATE = (
-    "all rights reserved",
-    "terms of service",
-    "terms of use",
-    "privacy policy",
-    "cookie policy",
-    "we use cookies",
-    "click here",
-    "sign up for our newsletter",
-    "subscribe to our",
-    "enable javascript",
-    "lorem ipsum",
+    "all rights reserved", "terms of service", "terms of use", "privacy policy", "cookie policy", "we use cookies", "click here", "sign up for our newsletter", "subscribe to our",
+    "enable javascript", "lorem ipsum", "skip to content", "back to top", "follow us on",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "wir verwenden cookies", "hier klicken", "newsletter abonnieren", "zum seitenanfang", "folgen sie uns auf",
+    "tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "nous utilisons des cookies", "cliquez ici", "abonnez-vous à", "haut de page", "suivez-nous sur",
+    "todos los derechos reservados", "condiciones de uso", "política de privacidad", "utilizamos cookies", "haga clic aquí", "suscríbete a", "volver arriba", "síguenos en",
 )
+#: Lines that are one of these, or begin with it and a mark, are navigation; the same languages.
+NAVIGATION = (
+    "home", "menu", "next", "previous", "login", "share", "back", "search", "startseite", "menü", "weiter", "zurück", "anmelden", "teilen", "suche", "accueil", "suivant", "précédent", "connexion", "partager", "retour", "rechercher",
+    "inicio", "menú", "siguiente", "anterior", "acceder", "compartir", "volver", "buscar",
+)
+NAVIGATION_LINE = rf"^({'|'.join(NAVIGATION)})( [>»|/-] .*)?$"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Shares in percent, to stay in whole numbers.
@@ -74,7 +74,7 @@ def _ends_well(line: Column) -> Column:
 def line_fails(line: Column, words: Column) -> Column:
     """True for a line of so many words, already trimmed and not empty, that a rule removes; cheap tests first."""
     low = F.lower(line)
-    navigation = (_count(line, "|") >= MIN_BARS) | low.rlike(r"^(home|menu|next|previous|login|share)( [>»|/-] .*)?$")
+    navigation = (_count(line, "|") >= MIN_BARS) | low.rlike(NAVIGATION_LINE)
     symbols = F.regexp_count(line, F.lit(f"[{SYMBOLS}]"))
     punctuation = ((words < LONG_LINE_WORDS) & ~_ends_well(line)) | (symbols * 100 > MAX_SYMBOL_PERCENT * F.length(line)) | (_count(line, "!!") * 100 > MAX_SHOUT_PERCENT * words)
     boiler = reduce(or_, (low.contains(phrase) for phrase in BOILERPLATE))
@@ -131,11 +131,11 @@ r as (select rid, sum(least(3, coalesce(nxt - i, 3)))::bigint as n from (select
 t as (select rid, list_transform(l, lambda x: regexp_replace(x, '^[ \\x09-\\x0D]+|[ \\x09-\\x0D]+$', '', 'g')) as t from w),
 k as (select rid, t, list_filter(t, lambda x: not (
   length(x) - length(replace(x, '|', '')) >= 2
-  or regexp_matches(lower(x), '^(home|menu|next|previous|login|share)( [>»|/-] .*)?$')
+  or regexp_matches(lower(x), '{NAVIGATION_LINE}')
   or (not regexp_matches(x, '[.!?…。！？:;][''"”’»)\\]]*$') and len(regexp_split_to_array(x, '[ \\x09-\\x0D]+')) < 12)
   or (length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g'))) * 100 > 10 * length(x)
   or (length(x) - length(replace(x, '!!', ''))) / 2 * 100 > 50 * len(regexp_split_to_array(x, '[ \\x09-\\x0D]+'))
-  or (regexp_matches(lower(x), 'all rights reserved|terms of service|terms of use|privacy policy|cookie policy|we use cookies|click here|sign up for our newsletter|subscribe to our|enable javascript|lorem ipsum')
+  or (regexp_matches(lower(x), '{PHRASES}')
       and len(regexp_split_to_array(x, '[ \\x09-\\x0D]+')) < 48))) as k from t),
 c as (select w.rid, doc_id, len(w.w)::bigint as n_words, length(list_aggregate(w.w, 'string_agg', ''))::bigint as wc,
   (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
@@ -147,4 +147,4 @@ f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_fail
   case when all_chars > 0 then floor(100.0 * (all_chars - kept_chars) / all_chars) else 0 end::bigint as lost from c)
 select doc_id, n_words, coalesce(wc, 0)::bigint as word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lines, n_lines_removed,
   lost as chars_removed_percent, not base_failed and lost < 50 as kept from f
-"""
+""".replace("{NAVIGATION_LINE}", NAVIGATION_LINE).replace("{PHRASES}", "|".join(BOILERPLATE).replace("'", "''"))

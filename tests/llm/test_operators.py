@@ -44,6 +44,17 @@ def test_quality_rules(docs, none):
     assert all(not r.kept and r.n_words == 0 for r in got if r.doc_id in (3, 4, 8))
 
 
+def test_boilerplate_lines_in_four_languages(spark):
+    from civicledger.llm.quality_rules import quality_rules
+
+    prose = "A line of plain prose goes on here for a good while, and it ends with a stop."
+    gone = ("Alle Rechte vorbehalten.", "En savoir plus : mentions et Politique de confidentialité.", "Lea nuestra política de privacidad.", "Selon les conditions d'utilisation de ce site.", "Zurück", "Accueil > Nouvelles.", "Inicio | Noticias.", "Skip to content.")
+    stay = ("Der Weg zurück war lang und führte durch den dichten Wald bis an den See.", "La confidentialité est une question de politique, dit-elle en riant à son voisin de table.", "Volver no era posible, así que siguieron adelante por el camino de la costa.")
+    text = "\n".join([prose, *gone, *stay])
+    got = quality_rules(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.clean_text.split("\n") == [prose, *stay] and got.n_lines_removed == len(gone)
+
+
 def test_token_counts(docs, none):
     from civicledger.llm.token_counts import count_tokens
     from civicledger.llm.tokens import load
