@@ -18,6 +18,7 @@ A conversation is one row, as its string is; conversations of any number lie eve
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,6 +38,11 @@ def _quoted(text: str) -> str:
     return re.sub(r"([^A-Za-z0-9\n ])", r"\\\1", text)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value being worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 @dataclass(frozen=True)
 class Template:
     """Marks of a turn, the escape sign, and the control strings that texts must not hold. The marks' own control strings are among them."""
@@ -86,17 +92,21 @@ class Template:
     def _turn(self, piece: Column) -> Column:
         """What stands behind a start mark as a turn; null if it isn't one."""
         says, end = F.lit(self.says), F.lit(self.end)
-        role = F.substring_index(piece, self.says, 1)
-        rest = F.substring(piece, F.char_length(role) + len(self.says) + 1, F.char_length(piece))
-        text = F.substring_index(rest, self.end, 1)
-        clean = ~F.rlike(role, F.lit(self.forbidden)) & ~F.rlike(text, F.lit(self.forbidden))
-        return F.when((F.concat(role, says, text, end) == piece) & clean, F.struct(self.unescape(role).alias("role"), self.unescape(text).alias("text")))
+
+        def turn(role: Column, text: Column) -> Column:
+            clean = ~F.rlike(role, F.lit(self.forbidden)) & ~F.rlike(text, F.lit(self.forbidden))
+            return F.when((F.concat(role, says, text, end) == piece) & clean, F.struct(self.unescape(role).alias("role"), self.unescape(text).alias("text")))
+
+        rest = lambda role: F.substring(piece, F.char_length(role) + len(self.says) + 1, F.char_length(piece))
+        return _let(F.substring_index(piece, self.says, 1), lambda role: _let(F.substring_index(rest(role), self.end, 1), lambda text: turn(role, text)))
 
     def parse(self, formatted: Column) -> Column:
         """The turns of a formatted conversation, as array<struct<role, text>>; none of an empty string; null if it isn't one."""
-        pieces = F.split(formatted, _quoted(self.start), -1)
-        turns = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), self._turn)
-        return F.when((F.element_at(pieces, 1) == "") & F.forall(turns, lambda t: t.isNotNull()), turns)
+        def turns(pieces: Column) -> Column:
+            found = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), self._turn)
+            return F.when(F.element_at(pieces, 1) == "", _let(found, lambda x: F.when(F.forall(x, lambda t: t.isNotNull()), x)))
+
+        return _let(F.split(formatted, _quoted(self.start), -1), turns)
 
 
 def format_conversations(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", learn: str = "assistant", template: Template = Template()) -> DataFrame:
@@ -124,16 +134,17 @@ def format_conversations(conversations: DataFrame, id_col: str = "conv_id", turn
 
     meant = F.transform("__turns", lambda x: F.struct(x["__role"].alias("role"), x["__text"].alias("text")))
     text = lambda n: F.concat_ws("", F.transform("__turns", lambda x: t.render(x[n].role, x[n].text)))
-    weak = text("__weak")
-    whole = whole.withColumn("__same", F.coalesce(t.parse(weak) == meant, F.lit(False)))
+    # a generator between two projections keeps what it makes from being worked out again wherever it is used
+    whole = whole.select("*", F.inline(F.array(F.struct(text("__weak").alias("__text"), meant.alias("__meant")))))
+    whole = whole.select("*", F.explode(F.array(F.coalesce(t.parse(F.col("__text")) == F.col("__meant"), F.lit(False)))).alias("__same"))
     learnt = F.filter("__turns", lambda x: x["__role"] == learn)
     spans = lambda n, at: F.transform(learnt, lambda x: F.struct((x[at] + F.octet_length(t.head(x[n].role))).alias("start"), F.octet_length(x[n].text).cast("long").alias("length")))
     out = whole.select(
-        id_col, F.when(F.col("__same"), weak).otherwise(text("__strong")).alias("formatted"),
+        id_col, "__same", F.when(F.col("__same"), F.col("__text")).otherwise(text("__strong")).alias("formatted"),
         F.when(F.col("__same"), spans("__weak", "__w")).otherwise(spans("__strong", "__s")).alias("loss_spans"),
-        F.when(F.col("__same"), F.col("__level")).otherwise(2).alias("level"), meant.alias("__meant"))
-    same = F.coalesce(t.parse(F.col("formatted")) == F.col("__meant"), F.lit(False))
-    held = F.when(same, F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation is not read back as it was: its marks can't be told from texts")))
+        F.when(F.col("__same"), F.col("__level")).otherwise(2).alias("level"), "__meant")
+    again = F.coalesce(t.parse(F.col("formatted")) == F.col("__meant"), F.lit(False))
+    held = F.when(F.col("__same"), F.col("formatted")).when(again, F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation is not read back as it was: its marks can't be told from texts")))
     return out.select(id_col, held.alias("formatted"), "loss_spans", "level")
 
 
@@ -141,7 +152,7 @@ def read_conversations(formatted: DataFrame, id_col: str = "conv_id", template:
     """Read back from format_conversations: id_col, turns array<struct<role, text>>, loss_text (what the spans cover, unescaped, in order, nothing between)."""
     covered = F.transform(F.array(F.col("formatted").cast("binary")), lambda b: F.concat_ws("", F.transform(
         "loss_spans", lambda s: template.unescape(F.substring(b, (s.start + 1).cast("int"), s.length.cast("int")).cast("string")))))
-    return formatted.select(id_col, template.parse(F.col("formatted")).alias("turns"), F.element_at(covered, 1).alias("loss_text"))
+    return formatted.select(id_col, F.inline(F.array(F.struct(template.parse(F.col("formatted")).alias("turns"), F.element_at(covered, 1).alias("loss_text")))))
 
 
 def digests(conversations: DataFrame, id_col: str = "conv_id", template: Template = Template()) -> DataFrame:
