@@ -10,6 +10,11 @@ Links that come cheap. Equal sets collapse to one node first. Each node is then
 smallest node that it meets in any block; the components of these links are known before the trees
 are built, so a block of thousands of near copies is settled by one comparison a document.
 
+Crowds. Texts from one template may each miss the smallest and yet hang together. Blocks that hold
+more than CROWD documents of several components are therefore asked first, in up to ROUNDS rounds,
+for each document's nearest few of other components by bitmap; what these comparisons link is one
+component from then on. Their number grows with the documents, not with the pairs.
+
 Lower levels. Only blocks that still hold several components get a tree: its nodes hold OR-combined
 token bitmaps, size ranges and the component, if it is one. A dual traversal discards node pairs of
 one component and pairs whose largest possible overlap is too small for their sizes; leaf pairs that
@@ -36,6 +41,10 @@ LEAF = 8
 #: Members of a set that gets a sparse bitmap.
 SMALL = 256
 FAN = 4
+#: Open blocks of more documents are joined by nearest partners first; the result is the same without.
+CROWD = 32
+#: Partners of a document in a cell whose comparison such a round asks for, and rounds at most.
+NEAREST, ROUNDS = 1, 3
 #: Smallest signatures of a document that go with it, by which most pairs are compared once although they meet often.
 LEADING = 8
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -184,8 +193,23 @@ class SignatureTree:
         return x[alive], y[alive]
 
 
-def _block_pairs(nodes: np.ndarray, comps: np.ndarray, sizes: np.ndarray, maps: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the documents that may be linked, by the tree over a block."""
+    def nearest(self, x: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the pairs those in which one is among the other's n nearest, by the share of the bits that both have."""
+        maps, sizes = self.levels[0][:2]
+        near = np.zeros(len(x))
+        for k in range(0, len(x), 65536):
+            a, b = x[k : k + 65536], y[k : k + 65536]
+            near[k : k + 65536] = np.bitwise_count(maps[a] & maps[b]).sum(axis=1) / (sizes[a] + sizes[b])
+        kept = np.zeros(len(x), bool)
+        for side in (x, y):
+            order = np.lexsort((-near, side))
+            _, starts, counts = np.unique(side[order], return_index=True, return_counts=True)
+            kept[order[np.arange(len(order)) - np.repeat(starts, counts) < n]] = True
+        return x[kept], y[kept]
+
+
+def _block_pairs(nodes: np.ndarray, comps: np.ndarray, sizes: np.ndarray, maps: list[bytes], percent: int, nearest: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the documents that may be linked, by the tree over a block; of each only the nearest few, if asked so."""
     order = np.lexsort((nodes, sizes, comps))
     raw = [np.frombuffer(maps[i], "<u8") for i in order]
     words = min(map(len, raw))
@@ -199,7 +223,10 @@ def _block_pairs(nodes: np.ndarray, comps: np.ndarray, sizes: np.ndarray, maps:
         return order[:1], order[1:]
     dense = {c: i for i, c in enumerate(dict.fromkeys(comps[order].tolist()))}
     comp = np.array([dense[c] for c in comps[order].tolist()])
-    x, y = SignatureTree(sizes[order], comp, np.stack([fold(m, words) for m in raw]), percent).pairs()
+    tree = SignatureTree(sizes[order], comp, np.stack([fold(m, words) for m in raw]), percent)
+    x, y = tree.pairs()
+    if nearest is not None:
+        x, y = tree.nearest(x, y, nearest)
     return order[x], order[y]
 
 
@@ -278,30 +305,53 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     cheap = meetings.filter("node <> lead").groupBy("node").agg(F.min("lead").alias("lead")).select(F.col("node").alias("a"), F.col("lead").alias("b"))
     links = materialise(_verified(cheap, sets, percent), "shingle-links")
     known = connected_components(links)
-    # blocks that hold several components yet
-    placed = meetings.select("sig", "node").join(known, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
-    placed = materialise(placed, "shingle-placed")
-    open_blocks = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("sig", "size")
+
+    def traverse(nearest: int | None):
+        def run(batches):
+            held: list = []
+            for b in batches:
+                for r in zip(*(c.to_pylist() for c in b.columns)):
+                    if held and held[0][:3] != r[:3]:
+                        yield from _cell(held, percent, nearest)
+                        held = []
+                    held.append(r)
+            if held:
+                yield from _cell(held, percent, nearest)
+
+        return run
+
+    def candidates(cells: DataFrame, nearest: int | None) -> DataFrame:
+        """Pairs of the cells (sig, i, j, mine, node, component) that may be linked."""
+        full = cells.join(sets.select("node", "n", "bits", "own" if nearest is None else F.lit(None).cast("binary").alias("own")), "node")
+        dealt = full.select("sig", "i", "j", "mine", "node", "component", "n", "bits", "own").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+        return dealt.mapInArrow(traverse(nearest), "a long, b long").distinct()
+
+    def place(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(sig, node, component) of the meetings, and the blocks that hold several components yet."""
+        placed = meetings.select("sig", "node").join(known, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
+        placed = materialise(placed, "shingle-placed")
+        blocks = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("sig", "size")
+        return placed, materialise(blocks, "shingle-open")
+
     cut = F.ceil(F.col("size") / CELL).cast("int")
-    mine = F.pmod(F.xxhash64("node"), cut).cast("int")
-    cells = placed.join(open_blocks, "sig").withColumn("cut", cut).withColumn("mine", mine)
+    placed, open_blocks = place(known)
+    for _ in range(ROUNDS):
+        crowds = open_blocks.filter(F.col("size") > CROWD)
+        if crowds.isEmpty():
+            break
+        # each block deals its documents into chunks in its own way, so what one keeps apart meets in another
+        chunk = F.pmod(F.xxhash64("sig", "node"), cut).cast("int")
+        cells = placed.join(crowds, "sig").withColumn("mine", chunk).select("sig", F.col("mine").alias("i"), F.col("mine").alias("j"), "mine", "node", "component")
+        near = materialise(_verified(materialise(candidates(cells, NEAREST), "shingle-near"), sets, percent), "shingle-near-links")
+        if near.isEmpty():
+            break
+        links = links.unionByName(near)
+        known = connected_components(links)
+        placed, open_blocks = place(known)
+    cells = placed.join(open_blocks, "sig").withColumn("cut", cut).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("cut")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
-    cells = cells.select("sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "component").join(sets.select("node", "n", "bits", "own"), "node")
-
-    def traverse(batches):
-        held: list = []
-        for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns)):
-                if held and held[0][:3] != r[:3]:
-                    yield from _cell(held, percent)
-                    held = []
-                held.append(r)
-        if held:
-            yield from _cell(held, percent)
-
-    dealt = cells.select("sig", "i", "j", "mine", "node", "component", "n", "bits", "own").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    maybe = dealt.mapInArrow(traverse, "a long, b long").distinct()
-    more = _verified(materialise(maybe, "shingle-candidates"), sets, percent)
+    cells = cells.select("sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "component")
+    more = _verified(materialise(candidates(cells, None), "shingle-candidates"), sets, percent)
     # an id with several texts joins their groups
     several = usable.select("id", "fp").distinct().groupBy("id").agg(F.count("*").alias("c")).filter("c > 1").select("id")
     own = usable.join(several, "id", "left_semi").join(groups, "fp").filter("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
@@ -312,17 +362,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return found.select(F.col("id").cast(id_type).alias(id_col), F.col("n").alias("n_shingles"), component.cast(id_type).alias("component_id"))
 
 
-def _cell(rows: list, percent: int):
-    """The pairs of a cell. Two documents meet in every signature that they share, and in several cells of one chunk: they count in the
+def _cell(rows: list, percent: int, nearest: int | None = None):
+    """The pairs of a cell, or of each document those with its nearest few. Two documents meet in every signature that they share, and in several cells of one chunk: they count in the
     cell of their two chunks alone, and nowhere where their smallest signatures show a smaller common one."""
     sig, i, j = rows[0][:3]
     mine, nodes, comps, sizes = (np.array([r[c] for r in rows], np.int64) for c in (3, 4, 5, 6))
     if len(rows) > 1:
-        x, y = _block_pairs(nodes, comps, sizes, [r[7] for r in rows], percent)
+        x, y = _block_pairs(nodes, comps, sizes, [r[7] for r in rows], percent, nearest)
         here = nodes[x] != nodes[y]
         if i != j:
             here &= mine[x] != mine[y]
         x, y = x[here], y[here]
+        if nearest is not None:  # a pair that is nearest in several blocks is told once by what reads the pairs
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(nodes[x], nodes[y])), pa.array(np.minimum(nodes[x], nodes[y]))], ["a", "b"])
+            return
         own = {k: np.frombuffer(rows[k][8], "<i8") for k in np.union1d(x, y).tolist()}
         first = np.array([not (np.intersect1d(own[a], own[b], assume_unique=True) < sig).any() for a, b in zip(x.tolist(), y.tolist())], bool)
         x, y = nodes[x[first]], nodes[y[first]]

@@ -268,6 +268,35 @@ def test_jaccard_join(spark, docs, none, k, percent):
     assert {r.doc_id: r.component_id for r in many} == _components(rows, k, percent)
 
 
+def test_jaccard_join_of_a_crowd(spark, monkeypatch):
+    """Texts of one template, most pairs of which are linked or miss narrowly: comparisons grow with the texts, components are exact."""
+    from civicledger.llm import jaccard_join as J
+
+    compared, plain = {}, J.materialise
+
+    def counting(df, name, *rest):
+        out = plain(df, name, *rest)
+        if name in ("shingle-near", "shingle-candidates"):
+            compared[name] = compared.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(J, "materialise", counting)
+    monkeypatch.setattr(J, "CELL", 64)  # several chunks a block
+    rng = np.random.default_rng(11)
+    base = [f"t{x}" for x in rng.integers(0, 5000, 220)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for at in rng.choice(220, 5 if i % 20 == 7 else 2, replace=False):  # every twentieth misses the others
+            w[at] = f"n{i}-{at}"
+        rows.append((i, " ".join(w)))
+    got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=90).collect()
+    want = _components(rows, 3, 90)
+    assert {r.doc_id: r.component_id for r in got} == want and 2 < len(set(want.values())) < 40
+    apart = sum(want[i] == i for i in want)
+    assert compared["shingle-near"] < 30 * len(rows) and compared["shingle-candidates"] < apart * len(rows)
+
+
 def test_packing(docs, none):
     from civicledger.llm.packing import pack, tokenised_pieces
 
