@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicledger.llm.common import materialise
-from civicledger.llm.tokens import ids_of
+from civicledger.llm.tokens import ids_of, portions
 
 CAPACITY = 4096
 #: The id that ends every document.
@@ -31,7 +31,6 @@ LIVE = 16
 DETAILED = 1_500
 #: Pieces for each group that is ranked by itself.
 RANKED = 100_000
-SUB_BATCH = 256
 
 
 def tokenised_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", capacity: int = CAPACITY) -> DataFrame:
@@ -45,10 +44,10 @@ def tokenised_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def cut(batches):
         for b in batches:
-            for i in range(0, b.num_rows, SUB_BATCH):
-                part = b.slice(i, SUB_BATCH)
+            for i, n in portions(b.column(1)):
+                part = b.slice(i, n)
                 out: list[list] = [[], [], [], [], [], []]
-                for row, ids in enumerate(ids_of(part.column(1).to_pylist(), tokenizer)):
+                for row, ids in enumerate(ids_of(part.column(1), tokenizer)):
                     ids += end
                     for k in range(-(-len(ids) // (4 * capacity))):
                         one = ids[4 * capacity * k : 4 * capacity * (k + 1)]

@@ -19,15 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civicledger.llm.common import materialise
-from civicledger.llm.tokens import ids_of, load
+from civicledger.llm.tokens import ids_of, load, portions
 
 CHUNK = 32_768
 OVERLAP = 512
 WIDEN = 8
 #: Texts whose overlaps would have to be wider than this are encoded whole.
 WIDEST = 1 << 21
-#: Texts encoded together, to bound a worker's memory.
-SUB_BATCH = 256
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", limit: int = 2048, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -44,8 +42,8 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def count_short(batches):
         for b in batches:
             texts, counts = b.column(1), []
-            for i in range(0, b.num_rows, SUB_BATCH):
-                counts += [len(x) // 4 for x in ids_of(texts.slice(i, SUB_BATCH).to_pylist(), tokenizer)]
+            for i, n in portions(texts):
+                counts += [len(x) // 4 for x in ids_of(texts.slice(i, n), tokenizer)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.compute.binary_length(texts).cast(pa.int64()), pa.array(counts, pa.int64())], [id_col, "n_bytes", "n_tokens"])
 
     counted = short.mapInArrow(count_short, f"`{id_col}` {id_type}, n_bytes long, n_tokens long").withColumn("resynced", F.lit(False))
@@ -86,7 +84,7 @@ def _encode(texts: DataFrame, tokenizer: str, chunk: int, overlap: int, whole: b
     out = pa.schema([("fp", pa.string()), ("k", pa.int64()), ("n_chunks", pa.int64()), ("total", pa.int64()), ("head", seam), ("tail", seam)])
 
     def encode(batches):
-        tok, _, _ = load(tokenizer)
+        tok = load(tokenizer)[0]
         for b in batches:
             for r in b.to_pylist():
                 e = tok.encode(r["piece"], add_special_tokens=False)
