@@ -25,8 +25,8 @@ import pyarrow.compute as pc
 from civicledger.llm.common import worker_memo
 
 #: Words of each of a worker's two generations: when the younger is full, the older is forgotten. A portion may bring as many more.
-#: With words of at most CACHE_WORD_BYTES and their ids an entry takes some 200 bytes, so a generation has some 240 MB. Bounds a worker's memory, not the result.
-CACHE_WORDS = 600_000
+#: With words of at most CACHE_WORD_BYTES and their ids an entry takes some 200 bytes, so a generation has some 40 MB. Bounds a worker's memory, not the result.
+CACHE_WORDS = 100_000
 #: Words longer than this many bytes are encoded but not kept.
 CACHE_WORD_BYTES = 64
 #: Bytes of texts whose words are looked up together, but for a longer text. Bounds a worker's memory, not the result.
@@ -173,7 +173,7 @@ def _looked_up(words: pa.Array, tok, letters: tuple | None, known: list[dict]) -
             young[w] = _pack(e.ids)
     ids = pa.array([young[w] for w in different], pa.large_binary())
     for w in missing:
-        if len(w) > CACHE_WORD_BYTES:
+        if len(w) > CACHE_WORD_BYTES or len(young) > 2 * CACHE_WORDS:
             del young[w]
     return ids.take(met.indices)
 

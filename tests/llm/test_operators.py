@@ -365,6 +365,20 @@ def test_words_of_letters_cost_less_than_in_the_library():
     assert min(shares) < 1.3  # 1.7 to 2.3 when each new word went through all steps of the tokenizer
 
 
+def test_words_that_a_worker_keeps_are_few():
+    from sys import getsizeof
+
+    from civicledger.llm.tokens import ids_of, load
+
+    letters = str.maketrans("0123456789", "ghijklmnop")
+    known = load("word_bpe_49k.json")[-1]
+    known[:] = [{}, {}]
+    for k in range(10):  # 768,000 different words in all
+        ids_of([" ".join(f"{10**9 + 10**8 * k + 300 * j + i:x},".translate(letters).capitalize() for i in range(300)).encode() for j in range(256)], "word_bpe_49k.json")
+    assert sum(getsizeof(g) + sum(getsizeof(k) + getsizeof(v) for k, v in g.items()) for g in known) < 100e6
+    known[:] = [{}, {}]
+
+
 def _held(plan, hist, capacity):
     """The number of sequences of a plan that holds each piece once."""
     left = defaultdict(int, hist)
