@@ -277,10 +277,17 @@ class Member(io.RawIOBase):
         return 0
 
 
+def _ahead(stream, n: int) -> bytes:
+    """The next n bytes, fewer only at the end; the stream stays where it is. Its own peek gives what its buffer still holds, which may be a byte."""
+    found = stream.read(n)
+    stream.seek(-len(found), io.SEEK_CUR)
+    return found
+
+
 def records(stream, wanted, payload: bool, verify: bool) -> Iterator[tuple]:
     """(type, id, target, refers to, digest, payload bytes, payload or None) of the wanted records of a file, plain or compressed."""
-    while (start := stream.peek(24)[:24])[:2] == b"\x1f\x8b":
-        length = int.from_bytes(start[16:20], "little") if start[3] == 4 and start[10:16] == struct.pack("<H", 12) + SKIP_FIELD + struct.pack("<H", 8) else 0
+    while (start := _ahead(stream, 24))[:2] == b"\x1f\x8b":
+        length = int.from_bytes(start[16:20], "little") if start[3:4] == b"\x04" and start[10:16] == struct.pack("<H", 12) + SKIP_FIELD + struct.pack("<H", 8) else 0
         if not length:
             stream = io.BufferedReader(gzip.GzipFile(fileobj=stream), 1 << 20)
             break

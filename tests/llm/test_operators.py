@@ -551,6 +551,21 @@ def test_warc_skips_without_decoding(tmp_path):
         assert [r[1] for r in found] == [r[1] for r in made if r[1] != "urn:page:4"] and all(r[6] == big for r in found)
 
 
+def test_warc_members_begin_anywhere_in_a_buffer(monkeypatch):
+    import io
+
+    from civicledger.llm import warc as W
+
+    made = [("response", f"urn:page:{i}", f"http://h/{i}", None, "0" * 64, 9 * i, b"a payload" * i) for i in range(8)]
+    members = [W.member(W.record_of(*r)) for r in made]
+    whole, first = b"".join(members), sum(len(m) for m in members[:4])
+    monkeypatch.setattr(W.gzip, "GzipFile", None)  # every member has its length, so none is read as another writer's
+    for left in range(26):  # so many bytes of the fifth member stand in the first buffer
+        for payload in (False, True):
+            found = list(W.records(io.BufferedReader(io.BytesIO(whole), first + left), lambda r: True, payload, False))
+            assert [r[1] for r in found] == [r[1] for r in made] and (not payload or [r[6] for r in found] == [r[6] for r in made])
+
+
 def test_html_extraction(spark):
     from civicledger.llm.html_extraction import extract_main_text
 
